@@ -29,7 +29,7 @@ def plain_name(name: str) -> str:
     old = None
     while old != name:
         old = name
-        name = name.strip().strip("﻿").strip('"').strip("'")
+        name = name.strip().strip("\ufeff").strip('"').strip("'")
     return name.lower()
 
 
@@ -44,7 +44,7 @@ def _rows(content: str | None) -> list[list[str]]:
     """The records of a file; header first. Line ends of any kind, a byte-order mark and blank lines don't count."""
     if not content:
         return []
-    text = content.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    text = content.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     try:
         return [r for r in csv.reader(io.StringIO(text, newline=""), skipinitialspace=False) if r]
     except csv.Error:

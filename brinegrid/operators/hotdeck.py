@@ -50,8 +50,8 @@ def _nearest(rows: DataFrame, block_hot: list, width: int, kinds: dict[str, Colu
         by = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         yb = Window.partitionBy("block").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
         carried = [F.last(f"last_{n}", True).over(by) for n in kinds] + [F.last(f"first_{n}", True).over(yb) for n in kinds]
-        extra = ends.select("block", "bucket", F.explode(F.array_distinct(F.array(*carried))).alias("d")).where("d is not null")
-        extra = extra.select("block", "d.*", "bucket").withColumn("rec", F.lit(None).cast(rows.schema["rec"].dataType))
+        extra = ends.select("block", "bucket", F.array(*carried).alias("ds")).select("block", "bucket", F.explode(F.array_distinct("ds")).alias("d"))
+        extra = extra.where("d is not null").select("block", "d.*", "bucket").withColumn("rec", F.lit(None).cast(rows.schema["rec"].dataType))
         rows = rows.unionByName(extra)
     fwd = Window.partitionBy("block", "bucket").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, -1)
     bwd = Window.partitionBy("block", "bucket").orderBy(F.desc("t"), F.desc("o")).rowsBetween(Window.unboundedPreceding, -1)
