@@ -1,8 +1,7 @@
 """Mergeable percentiles of numeric columns: dyadic Count-sketches.
 
 Values are encoded as integers of `bits` bits that keep their order. For every binary resolution there is one signed
-Count-sketch of the codes cut to that resolution. A sketch is a table (keys, level, hash row, bucket, value), merged by
-adding values; deletions are additions of weight -1. Quantiles are found by going down the levels.
+Count-sketch of the codes cut to that resolution. A sketch is a table (keys, cell, value), merged by adding values; deletions are additions of weight -1. Quantiles are found by going down the levels.
 """
 
 from __future__ import annotations
@@ -47,32 +46,29 @@ def _exact_levels(bits: int, width: int) -> int:
     return max(0, bits - (width.bit_length() - 1))
 
 
-def _hash(node: Column, level: Column, row: Column) -> Column:
-    return F.xxhash64(node, level, row)
-
-
 def sketch(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, width: int = WIDTH, depth: int = DEPTH, bits: int = BITS) -> DataFrame:
-    """(by..., level, hash_row, bucket, v): the sketch of df's values per group. weight: a column of +1 / -1 (insert, delete).
+    """(by..., cell, v): the sketch of df's values per group. weight: a column of +1 / -1 (insert, delete).
 
-    Null and NaN values are left out; infinities are values. Equal codes are added up before anything is shuffled, which
-    a linear sketch allows, so a hot group costs no hot task. Grouping columns may hold nulls (a group of its own). An
-    empty table gives an empty sketch. Column names level, hash_row, bucket and v can't be grouping columns.
+    cell numbers (level, hash row, bucket): (level x depth + row) x width + bucket. Null and NaN values are left out;
+    infinities are values. Equal codes are added up before anything is shuffled, which a linear sketch allows, so a hot
+    group costs no hot task. Grouping columns may hold nulls (a group of its own). An empty table gives an empty sketch.
+    Columns cell and v can't be grouping columns.
     """
-    if {"level", "hash_row", "bucket", "v"} & {b.lower() for b in by}:
-        raise ValueError("by must not name a column level, hash_row, bucket or v")
+    if {"cell", "v"} & {b.lower() for b in by}:
+        raise ValueError("by must not name a column cell or v")
     x = C.quoted(value).cast("double")
     w = C.quoted(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     codes = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*[C.quoted(b).alias(b) for b in by], encode(x).alias("code")).agg(F.sum(w).alias("w")).where("w <> 0")
     exact = _exact_levels(bits, width)
-    lv = codes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits))))
-    node = F.expr("shiftright(code, level)")
-    lv = lv.select(*by, "w", "level", node.alias("node"))
+    by_cols = [C.quoted(b) for b in by]
+    lv = codes.select(*by_cols, "w", "code", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("level"))
     rows = F.when(F.col("level") >= exact, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(depth - 1)))
-    lv = lv.withColumn("hash_row", F.explode(rows))
-    h = _hash(F.col("node"), F.col("level"), F.col("hash_row"))
-    bucket = F.when(F.col("level") >= exact, F.col("node")).otherwise(F.pmod(h, F.lit(width))).cast("int")
-    sign = F.when((F.col("level") >= exact) | (F.expr("shiftright({0}, 40) & 1".format("xxhash64(node, level, hash_row)")) == 1), F.col("w")).otherwise(-F.col("w"))
-    return lv.select(*by, "level", "hash_row", bucket.alias("bucket"), sign.alias("v")).groupBy(*by, "level", "hash_row", "bucket").agg(F.sum("v").alias("v")).where("v <> 0")
+    lv = lv.select(*by_cols, "w", "level", F.expr("shiftright(code, level)").alias("node"), F.explode(rows).alias("hash_row"))
+    lv = lv.withColumn("h", F.xxhash64("node", "level", "hash_row"))
+    bucket = F.when(F.col("level") >= exact, F.col("node")).otherwise(F.pmod("h", F.lit(width))).cast("int")
+    cell = (F.col("level") * depth + F.col("hash_row")) * width + bucket
+    sign = F.when((F.col("level") >= exact) | (F.expr("shiftright(h, 40) & 1") == 1), F.col("w")).otherwise(-F.col("w"))
+    return lv.select(*by_cols, cell.alias("cell"), sign.alias("v")).groupBy(*by_cols, "cell").agg(F.sum("v").alias("v")).where("v <> 0")
 
 
 def merge_sketches(sketches: Sequence[DataFrame]) -> DataFrame:
@@ -156,8 +152,9 @@ def quantiles(s: DataFrame, qs: Sequence[float], by: Sequence[str] = (), width:
     by = list(by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = np.zeros((bits + 1, depth, width + 1), dtype=np.int64)
-        np.add.at(cells, (pdf["level"].to_numpy(), pdf["hash_row"].to_numpy(), pdf["bucket"].to_numpy()), pdf["v"].to_numpy())
+        cells = np.zeros((bits + 1) * depth * width, dtype=np.int64)
+        np.add.at(cells, pdf["cell"].to_numpy(), pdf["v"].to_numpy())
+        cells = cells.reshape(bits + 1, depth, width)
         total = int(cells[bits, 0, 0])
         if total <= 0:
             return pd.DataFrame(columns=schema.names)
