@@ -67,6 +67,12 @@ def _found(level: str, name: str) -> Column:
     return F.transform(both, lambda d: F.struct(F.lit(level).alias("level"), d.alias("d")))
 
 
+def _joined(have: str, more: str) -> Column:
+    """More candidates, without those there already."""
+    ids = F.transform(have, lambda x: x["d"]["o"])
+    return F.concat(have, F.filter(more, lambda x: ~F.coalesce(F.array_contains(ids, x["d"]["o"]), F.lit(False))))
+
+
 def _weighted(cand: Column, value) -> Column:
     """Lower weighted median of value(donor) over candidates with weight w."""
     arr = F.array_sort(F.transform(cand, lambda x: F.struct(value(x["d"]).alias("v"), x["w"].alias("w"))))
@@ -147,7 +153,7 @@ def fill_from_similar(
     inner = F.struct(*keep, "cp", "cs", "cf")
     seekers = todo.where(wants).select(cell.alias("block"), "t", "o", *[F.lit(None).cast(x).alias(n) for n, x in (("la", "double"), ("lo", "double"), ("s", "double"), ("f", "boolean"))], inner.alias("rec"))
     b = _nearest(givers.withColumn("rec", F.lit(None).cast(seekers.schema["rec"].dataType)).unionByName(seekers), hot_c, bucket_hours * HOUR, {"s": has_s, "f": has_f})
-    b = b.select("rec.*", *[_found("place", n).alias(f"n{n}") for n in "sf"]).select(*keep, "cp", F.concat("cs", "ns").alias("cs"), F.concat("cf", "nf").alias("cf"))
+    b = b.select("rec.*", *[_found("place", n).alias(f"n{n}") for n in "sf"]).select(*keep, "cp", _joined("cs", "ns").alias("cs"), _joined("cf", "nf").alias("cf"))
     todo = b.unionByName(todo.where(~F.coalesce(wants, F.lit(False))))
 
     # similar: a deck of one complete record per (band of a known field, day)
