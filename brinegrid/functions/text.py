@@ -68,4 +68,4 @@ def thousands(n: Column, decimals: int = 0) -> Column:
 
 
 def fixed(x: Column, decimals: int = 3) -> Column:
-    return F.format_string(f"%.{decimals}f", x)
+    return F.when(x.isNotNull(), F.format_string(f"%.{decimals}f", x))

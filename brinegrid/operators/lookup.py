@@ -81,17 +81,20 @@ def pack_corners(cells: DataFrame) -> DataFrame:
     return c.select("ti", "j", "i", "q11", "q12", F.lead("q11").over(up).alias("q21"), F.lead("q12").over(up).alias("q22"))
 
 
-def tile_grid(cells: DataFrame, side: int = 64) -> DataFrame:
+def tile_grid(grid: Grid, side: int = 64) -> DataFrame:
     """(ti, tj, tk, vs): tiles of side x side cells with one row and column of the next tile, values in row order.
 
-    For grids too large to broadcast: the join then moves one array per tile and slice, not one row per cell.
+    For grids too large to broadcast: the join then moves one array per tile and slice, not one row per cell. A grid that
+    is not dense raises, as its rows would be taken for others.
     """
+    n, m = len(grid.lats), len(grid.lons)
     spread = lambda x: F.array_distinct(F.array(F.floor(x / side), F.floor((x - 1) / side)))
-    t = cells.select("ti", "j", "i", "v", F.explode(spread(F.col("j"))).alias("tj")).where("tj >= 0")
+    t = grid.cells.select("ti", "j", "i", "v", F.explode(spread(F.col("j"))).alias("tj")).where("tj >= 0")
     t = t.select("*", F.explode(spread(F.col("i"))).alias("tk")).where("tk >= 0")
-    at = (F.col("j") - F.col("tj") * side) * (side + 1) + F.col("i") - F.col("tk") * side
-    found = F.map_from_entries(F.collect_list(F.struct(at.cast("int"), "v")))
-    return t.groupBy("ti", "tj", "tk").agg(found.alias("m")).select("ti", "tj", "tk", F.transform(F.sequence(F.lit(0), F.lit((side + 1) ** 2 - 1)), lambda k: F.col("m")[k]).alias("vs"))
+    t = t.groupBy("ti", "tj", "tk").agg(F.sort_array(F.collect_list(F.struct("j", "i", "v"))).alias("vs"))
+    whole = F.least(F.lit(side + 1), n - F.col("tj") * side) * F.least(F.lit(side + 1), m - F.col("tk") * side)
+    values = F.transform("vs", lambda x: x["v"])
+    return t.select("ti", "tj", "tk", F.when(F.size("vs") == whole, values).otherwise(F.raise_error(F.lit("the grid is not dense"))).alias("vs"))
 
 
 def place(points: DataFrame, grid: Grid, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -115,11 +118,12 @@ def _nearest_corner() -> Column:
 def _with_corners(placed: DataFrame, grid: Grid, tile: int | None, keys: Sequence[str] = ("ti",), how: str = "left") -> DataFrame:
     if tile is None:
         return placed.join(pack_corners(grid.cells), [*keys, "j", "i"], how)
-    tiles = tile_grid(grid.cells, tile)
-    at = (F.col("j") % tile) * (tile + 1) + F.col("i") % tile + 1
+    tiles = tile_grid(grid, tile)
+    width = F.least(F.lit(tile + 1), len(grid.lons) - F.floor(F.col("i") / tile) * tile)  # tiles at the edge are narrower
+    at = (F.col("j") % tile) * width + F.col("i") % tile + 1
     p = placed.withColumns({"tj": F.floor(F.col("j") / tile), "tk": F.floor(F.col("i") / tile)}).join(tiles, [*keys, "tj", "tk"], how)
     get = lambda k: F.try_element_at("vs", (at + k).cast("int"))
-    return p.withColumns({"q11": get(0), "q12": get(1), "q21": get(tile + 1), "q22": get(tile + 2)}).drop("vs", "tj", "tk")
+    return p.withColumns({"q11": get(0), "q12": get(1), "q21": get(width), "q22": get(width + 1)}).drop("vs", "tj", "tk")
 
 
 def lookup(points: DataFrame, grid: Grid, tolerance_days: int = 31, lat: str = "lat", lon: str = "lon", time: str = "timestamp", tile: int | None = None, fallback: bool = True, interpolate: bool = True) -> DataFrame:

@@ -7,7 +7,11 @@ equal, so that doubles are equal without rounding. Sums and means are rounded, a
 from __future__ import annotations
 
 import datetime as dt
+import os
+import re
+import zipfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,12 @@ from .. import columns as C
 from ..functions import geo, text
 from ..operators import lookup as L
 from ..operators import quality, stratify
+from ..plans import fallback
+from ..plans.jobs import read_grid
+from ..session import fresh_path
+from ..sources import csv_union
+from ..sources.discover import Source, list_files
+from ..sources.grid_source import write_netcdf
 
 TIMES = tuple(dt.datetime(2024, 1, 1) + dt.timedelta(days=6 * k) for k in range(6))
 LATS = tuple(-85.0 + 10 * k for k in range(18))
@@ -364,10 +374,8 @@ def first_n_per_source(spark: SparkSession, sf: str) -> DataFrame:
 
 def plan_simulate(spark: SparkSession, sf: str) -> DataFrame:
     """Sampled lookups per year with their addresses, as the plan lists them."""
-    from ..plans.fallback import plan_requests
-
     v = table(spark, sf, "vessel_points").where(C.usable_lat(F.col("lat"), F.col("lon")) & C.usable_lon(F.col("lat"), F.col("lon")))
-    return plan_requests(v.where("timestamp is not null"), per_year=5, zoom=6, base=BASE, layer=LAYER)
+    return fallback.plan_requests(v.where("timestamp is not null"), per_year=5, zoom=6, base=BASE, layer=LAYER)
 
 
 def pilot_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -375,6 +383,57 @@ def pilot_report(spark: SparkSession, sf: str) -> DataFrame:
     return r.withColumns({c: F.round(c, 6) for c in ("fill_rate", "latency_p50", "latency_p90")})
 
 
+# step 10: sources; each query writes its input in the shared folder first
+
+
+def _local(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, as a plain path (archives and array files are written by the driver)."""
+    path = re.sub(r"^file:/+", "/", fresh_path(spark, name))
+    os.makedirs(path)
+    return path
+
+
+def _text(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+
+
+def zip_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tables with different columns as members of one archive, read back united. Both tables have a fixed size."""
+    path = _local(spark, "zip") + "/fleet.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for t in ("nation", "region"):
+            z.writestr(f"d/{t}.CSV", _text(table(spark, sf, t)).toPandas().to_csv(index=False))
+        z.writestr("readme.txt", "no table")
+    return csv_union.read_sources(spark, [Source("zip", path)])
+
+
+def mixed_header_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "csv")
+    for t in ("customer", "supplier"):
+        table(spark, sf, t).write.csv(f"{path}/{t}", header=True)
+    return csv_union.read_csv_files(spark, [p for p in list_files(spark, path) if p.endswith(".csv")])
+
+
+def grid_source_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The example grid as a NetCDF file, read back by the data source."""
+    v = np.array([[[((t * 1000 + j * 37 + i * 3) % 301) / 10 if (t * 7 + j * 3 + i * 5) % 11 else -999.0 for i in range(36)] for j in range(18)] for t in range(6)])
+    path = _local(spark, "grid") + "/grid.nc"
+    dims = {"time": 6, "lat": 18, "lon": 36}
+    write_netcdf(path, dims, {"time": (("time",), np.arange(6) * 6.0, {"units": "days since 2024-01-01"}), "lat": (("lat",), np.array(LATS), {}), "lon": (("lon",), np.array(LONS), {}), "thetao": (tuple(dims), v, {"_FillValue": np.float64(-999)})}, "time")
+    return read_grid(spark, [path]).select("ti", "t", "j", "i", "lat", "lon", "v")
+
+
+def pilot_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan's requests answered by a deterministic stand-in for the server."""
+
+    def fetch(url: str) -> tuple[int, str]:
+        col, row = (int(url.split(f"{k}=")[1].split("&")[0]) for k in ("TILECOL", "TILEROW"))
+        return (503, "503 busy") if row % 4 == 0 else (200, '{"ok": true, "value": "%d", "sst": [%d.5]}' % (row, col))
+
+    done = fallback.run_pilot(plan_simulate(spark, sf), fetch, rate=0)
+    return done.select("obs_id", "sst_wmts", "status", "attempts", "error")
+
+
 # step 12: beyond parity
 
 
@@ -470,6 +529,11 @@ SQL = {
         from vessel_points where trim(coalesce(MMSI, '')) <> '' and sst between -2.5e0 and 40e0 and not isnan(sst) and not coalesce(sst_missing, false) group by 1""",
 }
 SQL["grid_lookup_tiled"] = SQL["grid_lookup"]
+SQL["zip_csv_scan"] = "select cast(columns(*) as varchar) from (select * from nation union all by name select * from region)"
+SQL["mixed_header_scan"] = """select cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey, cast(c_acctbal as varchar) as c_acctbal, c_mktsegment,
+    cast(s_suppkey as varchar) as s_suppkey, s_name, cast(s_nationkey as varchar) as s_nationkey, cast(s_acctbal as varchar) as s_acctbal from (select * from customer union all by name select * from supplier)"""
+SQL["grid_source_scan"] = f"""with {GRID_SQL} select cast(ti as int) as ti, timestamp '2024-01-01' + to_days(cast(ti * 6 as int)) as t, cast(j as int) as j, cast(i as int) as i, -85e0 + j * 10e0 as lat, -180e0 + i * 10e0 as lon, v from g"""
+SQL["pilot_run"] = f"""with p as ({SQL["plan_simulate"]}) select obs_id, case when tilerow % 4 <> 0 then tilecol + 0.5e0 end as sst_wmts, case when tilerow % 4 = 0 then 503 else 200 end as status, 1 as attempts, null as error from p"""
 
 QUERIES = {
     f.__name__: f
@@ -481,5 +545,6 @@ QUERIES = {
         union_by_name, union_samples, lon_normalize, tile_geodetic, pixel_in_tile, tile_mercator,
         json_first_number, json_first_number_or_flag, text_first_number, feature_url, iso_time, synthetic_points, year_from_name, request_parameters,
         sample_per_year, quota_missing, first_n_per_source, plan_simulate, pilot_report, graph_snapshots, node_features,
+        zip_csv_scan, mixed_header_scan, grid_source_scan, pilot_run,
     )
 }

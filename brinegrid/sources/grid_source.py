@@ -356,5 +356,5 @@ def write_netcdf(path: str, dims: dict[str, int], variables: dict[str, tuple[tup
         for t in range(dims[record] if record else 0):
             for k, r in enumerate(is_rec):
                 if r:
-                    raw = big[k][t].tobytes()
+                    raw = big[k][t : t + 1].tobytes()
                     f.write(raw if alone else raw + b"\0" * (sizes[k] - len(raw)))
