@@ -41,13 +41,15 @@ def _smallest(k: int, at: int):
 
 
 def _merge(df: DataFrame, k: int, fan: int) -> DataFrame:
-    """The k smallest of all partitions: heaps are merged over a tree, fan partitions to one, so no task gets more than fan x k rows."""
+    """The k smallest of all partitions. Heaps are merged over a tree: first over all shuffle partitions, then fan to one;
+    a task streams what it gets through its own heap, so none holds more than k rows and a batch."""
     at = df.columns.index(KEY)
-    n = df.rdd.getNumPartitions() if not df.isStreaming else 1
-    while n > 1:
-        n = -(-n // fan)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
         df = df.repartition(n, F.xxhash64(KEY)).mapInArrow(_smallest(k, at), df.schema)
-    return df
+        if n == 1:
+            return df
+        n = -(-n // fan)
 
 
 def sample_state(df: DataFrame, k: int, seed: int, fan: int = 64) -> DataFrame:
