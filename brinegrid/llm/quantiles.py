@@ -20,19 +20,25 @@ from .. import columns as C
 BITS, WIDTH, DEPTH = 32, 2048, 5
 #: Stated rank error, as a share of all values, for WIDTH and DEPTH as above.
 EPSILON = 0.01
-_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+RESERVED = {"cell", "v", "w", "code", "level", "node", "hash_row", "h", "_x", "_m", "_neg", "_e", "_f", "n", "q", "value", "one"}
 
 
-def encode(x: Column) -> Column:
-    """A double's order as an integer in [0, 2^32): its single-precision form with the sign folded in. -0.0 counts as 0.0."""
-    f = F.when(x == 0, F.lit(0.0)).otherwise(x).cast("float")
-    # the upper half of the double that equals the float, without Python: sign, exponent and mantissa by arithmetic
-    mag = F.abs(f).cast("double")
-    e = F.greatest(F.floor(F.log2(F.when(mag == 0, 1.0).otherwise(mag))), F.lit(-126))
-    e = F.when(mag == 0, -126).when(F.pow(F.lit(2.0), e) > mag, F.greatest(e - 1, F.lit(-126))).when(F.pow(F.lit(2.0), e + 1) <= mag, e + 1).otherwise(e)
-    sub = mag < F.lit(2.0**-126)
-    bits = F.when(sub, F.round(mag * F.lit(2.0**149))).otherwise((e + 127) * F.lit(2.0**23) + F.round((mag / F.pow(F.lit(2.0), e) - 1) * F.lit(2.0**23))).cast("bigint")
-    return F.when(f < 0, F.lit(2**31 - 1) - bits).otherwise(bits + F.lit(2**31))
+def with_code(df: DataFrame, x: Column, name: str = "code") -> DataFrame:
+    """df with a column of x's order as an integer in [0, 2^32): the bits of its single-precision form, the sign folded in.
+
+    -0.0 counts as 0.0. Exponent and mantissa are found by arithmetic, in steps that are computed once each.
+    """
+    mag = F.abs(x.cast("float").cast("double"))
+    d = df.select("*", mag.alias("_m"), (x < 0).alias("_neg"))
+    d = d.select("*", F.when(F.col("_m") == 0, -126.0).otherwise(F.least(F.greatest(F.floor(F.log2("_m")).cast("double"), F.lit(-126.0)), F.lit(127.0))).alias("_e"))
+    d = d.select("*", (F.col("_m") * F.pow(F.lit(2.0), -F.col("_e"))).alias("_f"))
+    # log2 can be off by one next to powers of two
+    up, down = F.col("_f") >= 2, (F.col("_f") < 1) & (F.col("_e") > -126)
+    e = F.when(up, F.col("_e") + 1).when(down, F.col("_e") - 1).otherwise(F.col("_e"))
+    f = F.when(up, F.col("_f") / 2).when(down, F.col("_f") * 2).otherwise(F.col("_f"))
+    bits = F.when(F.col("_m") == float("inf"), F.lit(255 << 23)).otherwise(((e + 126) * 2.0**23 + f * 2.0**23).cast("bigint"))
+    code = F.when(F.col("_neg") & (F.col("_m") > 0), F.lit((1 << 31) - 1) - bits).otherwise(bits + F.lit(1 << 31))
+    return d.select(*[C.quoted(c) for c in df.columns], code.alias(name))
 
 
 def decode(code: np.ndarray) -> np.ndarray:
@@ -52,15 +58,16 @@ def sketch(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None
     cell numbers (level, hash row, bucket): (level x depth + row) x width + bucket. Null and NaN values are left out;
     infinities are values. Equal codes are added up before anything is shuffled, which a linear sketch allows, so a hot
     group costs no hot task. Grouping columns may hold nulls (a group of its own). An empty table gives an empty sketch.
-    Columns cell and v can't be grouping columns.
+    Grouping columns can't be named as in RESERVED.
     """
-    if {"cell", "v"} & {b.lower() for b in by}:
-        raise ValueError("by must not name a column cell or v")
+    if RESERVED & {b.lower() for b in by}:
+        raise ValueError(f"by must not name one of {sorted(RESERVED)}")
     x = C.quoted(value).cast("double")
     w = C.quoted(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    codes = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*[C.quoted(b).alias(b) for b in by], encode(x).alias("code")).agg(F.sum(w).alias("w")).where("w <> 0")
-    exact = _exact_levels(bits, width)
     by_cols = [C.quoted(b) for b in by]
+    given = df.where(x.isNotNull() & ~F.isnan(x)).select(*by_cols, x.alias("_x"), w.alias("w"))
+    codes = with_code(given, F.col("_x")).groupBy(*by_cols, "code").agg(F.sum("w").alias("w")).where("w <> 0")
+    exact = _exact_levels(bits, width)
     lv = codes.select(*by_cols, "w", "code", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("level"))
     rows = F.when(F.col("level") >= exact, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(depth - 1)))
     lv = lv.select(*by_cols, "w", "level", F.expr("shiftright(code, level)").alias("node"), F.explode(rows).alias("hash_row"))
