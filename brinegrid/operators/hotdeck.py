@@ -103,7 +103,7 @@ def fill_from_similar(
 
     fill.lat, fill.lon, fill.value, fill.flag hold the usable or filled values; fill.marks is an array with one
     struct(field, level, donors) for each field that was filled. level is `vessel`, `place`, `similar` (same band of a
-    known field, same month) or `global` (median or majority of all usable values, no single donors) or, when the table
+    known field, nearest days) or `global` (median or majority of all usable values, no single donors) or, when the table
     has no usable value at all, `none` (the value stays null). donors are the ids of the records copied from.
 
     Usable: lat in -90..90, lon in -180..360 and not both 0; value within value_range and not flagged missing; flag not
@@ -135,46 +135,54 @@ def fill_from_similar(
     rec = F.struct(*keep, nothing.alias("cp"), nothing.alias("cs"), nothing.alias("cf"))
     donor_cols = ["t", "o", "la", "lo", "s", "f"]
 
-    # vessel: all rows of the vessel, by time
     by_vessel = F.col("v").isNotNull() & F.col("t").isNotNull()
-    hot_v = heavy_keys(base.where(by_vessel), F.col("v"), hot_share, hot_rows)
-    rows = base.where(by_vessel).select(F.col("v").alias("block"), *donor_cols, F.when(need, rec).alias("rec"))
+    placed = pos & F.col("t").isNotNull()
+    day = F.floor(F.col("t") / DAY)
+    # one row: medians for what has no donor at all, the span of days, and how many rows each blocking has
+    g = base.agg(
+        *[F.percentile_approx(x, 0.5).alias(x) for x in ("la", "lo", "s")],
+        (F.count_if("f") * 2 > F.count("f")).alias("f"), F.count("f").alias("nf"), F.min(day).alias("d0"), F.max(day).alias("d1"), F.count_if(by_vessel).alias("nv"), F.count_if(placed).alias("np"),
+    ).first()
+    # rows that a step has nothing for go through it all the same, spread by their id: so no step is computed twice
+    apart = -1 - F.pmod(F.xxhash64("o"), F.lit(1_000_000))
+    no_donor = [F.lit(None).cast(x).alias(n) for n, x in (("la", "double"), ("lo", "double"), ("s", "double"), ("f", "boolean"))]
+
+    # vessel: all rows of the vessel, by time
+    hot_v = heavy_keys(base.where(by_vessel), F.col("v"), hot_share, hot_rows, g["nv"])
+    rows = base.where(by_vessel | need).select(F.when(by_vessel, F.col("v")).otherwise(apart).alias("block"), F.when(by_vessel, F.col("t")).alias("t"), "o", *[F.when(by_vessel, F.col(c)).alias(c) for c in ("la", "lo", "s", "f")], F.when(need, rec).alias("rec"))
     a = _nearest(rows, hot_v, bucket_hours * HOUR, {"p": pos, "s": has_s, "f": has_f})
-    a = a.select("rec.*", *[_found("vessel", n).alias(f"n{n}") for n in "psf"]).select(*keep, *[F.col(f"n{n}").alias(f"c{n}") for n in "psf"])
-    alone = base.where(need & ~by_vessel).select(*keep, *[nothing.alias(f"c{n}") for n in "psf"])
-    todo = a.unionByName(alone)
+    todo = a.select("rec.*", *[_found("vessel", n).alias(f"n{n}") for n in "psf"]).select(*keep, *[F.col(f"n{n}").alias(f"c{n}") for n in "psf"])
 
     # place: all rows of the one-degree cell, by time
     cell = (F.floor(F.least(F.col("la"), F.lit(89.999999))) + 90) * 360 + F.floor(F.col("lo")) + 180
-    placed = pos & F.col("t").isNotNull()
-    wants = placed & (F.col("s").isNull() | F.col("f").isNull())
-    hot_c = heavy_keys(base.where(placed), cell, hot_share, hot_rows)
+    wants = F.coalesce(placed & (F.col("s").isNull() | F.col("f").isNull()), F.lit(False))
+    hot_c = heavy_keys(base.where(placed), cell, hot_share, hot_rows, g["np"])
     givers = base.where(placed & (has_s | has_f)).select(cell.alias("block"), *donor_cols)
     inner = F.struct(*keep, "cp", "cs", "cf")
-    seekers = todo.where(wants).select(cell.alias("block"), "t", "o", *[F.lit(None).cast(x).alias(n) for n, x in (("la", "double"), ("lo", "double"), ("s", "double"), ("f", "boolean"))], inner.alias("rec"))
+    seekers = todo.select(F.when(wants, cell).otherwise(apart).alias("block"), "t", "o", *no_donor, inner.alias("rec"))
     b = _nearest(givers.withColumn("rec", F.lit(None).cast(seekers.schema["rec"].dataType)).unionByName(seekers), hot_c, bucket_hours * HOUR, {"s": has_s, "f": has_f})
-    b = b.select("rec.*", *[_found("place", n).alias(f"n{n}") for n in "sf"]).select(*keep, "cp", _joined("cs", "ns").alias("cs"), _joined("cf", "nf").alias("cf"))
-    todo = b.unionByName(todo.where(~F.coalesce(wants, F.lit(False))))
+    todo = b.select("rec.*", *[_found("place", n).alias(f"n{n}") for n in "sf"]).select(*keep, "cp", _joined("cs", "ns").alias("cs"), _joined("cf", "nf").alias("cf"))
 
-    # similar: a deck of one complete record per (band of a known field, day)
-    day = F.floor(F.col("t") / DAY)
-    month = F.floor(day / 30)
+    # similar: a deck of one complete record per (band of a known field, day), filled up to all days of its time
     full = base.where(pos & has_s & has_f & F.col("t").isNotNull())
     bands = F.array(F.floor("s").cast("int") + 1000, F.floor(F.col("la") / 5).cast("int") + 2000, F.lit(0))
     deck = full.select(F.explode(bands).alias("band"), day.alias("day"), *donor_cols).groupBy("band", "day")
     deck = deck.agg(F.min("t").alias("t0"), *[F.min_by(c, "t").alias(c) for c in ("o", "la", "lo", "s", "f")]).withColumnRenamed("t0", "t")
+    deck = deck.select("band", "day", _donor().alias("d"))
     lacks = ((F.size("cp") == 0) & ~pos) | ((F.size("cs") == 0) & ~has_s) | ((F.size("cf") == 0) & ~has_f)
     asks = lacks & F.col("t").isNotNull()
     band = F.when(has_s, F.floor("s").cast("int") + 1000).when(F.col("la").isNotNull(), F.floor(F.col("la") / 5).cast("int") + 2000).otherwise(0)
-    seekers = todo.where(asks).select(F.hash(band, month).cast("bigint").alias("block"), "t", "o", *[F.lit(None).cast(x).alias(n) for n, x in (("la", "double"), ("lo", "double"), ("s", "double"), ("f", "boolean"))], inner.alias("rec"))
-    givers = deck.select(F.hash("band", month).cast("bigint").alias("block"), *donor_cols, F.lit(None).cast(seekers.schema["rec"].dataType).alias("rec"))
-    c = _nearest(givers.unionByName(seekers), [], DAY, {"s": has_s})
-    c = c.select("rec.*", _found("similar", "s").alias("ns")).select(*keep, *[F.when(F.size(f"c{n}") == 0, F.col("ns")).otherwise(F.col(f"c{n}")).alias(f"c{n}") for n in "psf"])
-    todo = c.unionByName(todo.where(~F.coalesce(asks, F.lit(False))))
+    if g["d0"] is not None:
+        # (bands of the value's range and of latitude) x days: its size has nothing to do with the number of rows
+        days = deck.select("band").distinct().select("band", F.explode(F.sequence(F.lit(g["d0"]), F.lit(g["d1"]))).alias("day"))
+        w = Window.partitionBy("band").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+        rev = Window.partitionBy("band").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+        near = days.join(deck, ["band", "day"], "left").select("band", "day", F.last("d", True).over(w).alias("s_p"), F.last("d", True).over(rev).alias("s_n"))
+        near = near.select(F.col("band").cast("bigint").alias("_band"), F.col("day").alias("_day"), _found("similar", "s").alias("ns"))
+        c = todo.withColumns({"_b": F.when(asks, band).otherwise(apart), "_d": F.when(asks, day).otherwise(0)}).join(near, (F.col("_b") == F.col("_band")) & (F.col("_d") == F.col("_day")), "left")
+        todo = c.withColumn("ns", F.coalesce("ns", nothing)).select(*keep, *[F.when(F.size(f"c{n}") == 0, F.col("ns")).otherwise(F.col(f"c{n}")).alias(f"c{n}") for n in "psf"])
 
     # global: one row of medians, for what has no donor at all
-    g = base.agg(*[F.percentile_approx(x, 0.5).alias(x) for x in ("la", "lo", "s")], (F.count_if("f") * 2 > F.count("f")).alias("f"), F.count("f").alias("nf")).first()
-
     def weighed(cand: Column) -> Column:
         def w(x):
             d = x["d"]

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def heavy_keys(df: DataFrame, key: Column, share: float = 0.001, least: int = 100_000) -> list:
+def heavy_keys(df: DataFrame, key: Column, share: float = 0.001, least: int = 100_000, total: int | None = None) -> list:
     """Keys with more than max(least, share x all rows) rows.
 
     The counts are pre-aggregated before the shuffle, and only keys above the limit reach the driver: at most 1/share of
-    them, whatever the data. Null keys don't count.
+    them, whatever the data. Null keys don't count. total: the number of rows, if it is known already.
     """
     counts = df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > %d" % least)
     # keys above the absolute limit, largest first: no more than 1/share can also be above the share
     top = counts.where("k is not null").orderBy(F.desc("n")).limit(int(1 / share) + 1).collect()
     if not top:
         return []
-    total = df.count()
+    total = df.count() if total is None else total
     return [r["k"] for r in top if r["n"] > share * total]
