@@ -110,5 +110,6 @@ def usable_value(value: Column, flag: Column, bounds: tuple[float, float] = VALU
 
 def vessel_key(mmsi: Column) -> Column:
     """The vessel without outer spaces and without a final `.0`; null for null and blank."""
-    t = F.regexp_replace(F.trim(mmsi.cast("string")), r"\.0$", "")
+    t = F.trim(mmsi.cast("string"))
+    t = F.when(F.endswith(t, F.lit(".0")), F.left(t, F.length(t) - 2)).otherwise(t)
     return F.when(F.trim(t) != "", t)
