@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import columns as C
@@ -46,6 +46,15 @@ def files_by_year(df: DataFrame, year: Column) -> DataFrame:
     return df.groupBy(year.alias("year")).agg(F.count_distinct(F.col("_metadata.file_path")).alias("n_files"))
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """df, and an observation that holds rows and missing values once an action on it has run: progress without a second pass.
+
+    A stage that is run again after a loss counts again, so these are for progress, not for checks.
+    """
+    o = Observation(name)
+    return df.observe(o, F.count(F.lit(1)).alias("rows"), F.count_if(missing_flag(df)).alias("missing")), o
+
+
 def report_lines(stats: DataFrame) -> DataFrame:
     """One line of text per row of by_year: thousands separators, three decimals."""
     text = F.concat(

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,17 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader(io.StringIO((line or "").lstrip("\ufeff"))), [])
 
 
+def read_headers(spark: SparkSession, paths: list[str], few: int = 200) -> dict[str, list[str]]:
+    """The header of every file. A few are read by the driver, one line each; many by a job over their first blocks."""
+    if len(paths) <= few:
+        return {p: read_header(spark, p) for p in paths}
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    first = lines.where("at = 0").groupBy("p").agg(F.min_by("value", "id").alias("head"))
+    plain = lambda p: re.sub(r"^file:/+", "/", unquote(p))
+    found = {plain(r["p"]): next(csv.reader(io.StringIO((r["head"] or "").lstrip("\ufeff"))), []) for r in first.toLocalIterator()}
+    return {p: found.get(plain(p), []) for p in paths}
+
+
 def union_columns(headers: Iterable[list[str]]) -> list[str]:
     """All names, in the order they are first seen."""
     return list(dict.fromkeys(n for h in headers for n in h))
@@ -50,19 +63,18 @@ def _unique(names: list[str]) -> list[str]:
     return out
 
 
-def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All rows of all files, every value a string; columns a file lacks are null. Quoted fields may hold line breaks."""
-    groups: dict[tuple, list[str]] = {}
-    for p in paths:
-        h = tuple(read_header(spark, p))
-        if h:
-            groups.setdefault(h, []).append(p)
+def read_csv_files(spark: SparkSession, paths: list[str], multiline: bool = False) -> DataFrame:
+    """All rows of all files, every value a string; columns a file lacks are null.
+
+    Quotes inside quoted fields are doubled. With multiline, quoted fields may hold line breaks; a file is then one task's work.
+    """
+    groups = _by_header(spark, paths)
     if not groups:
         return spark.createDataFrame([], T.StructType([]))
     frames = []
     for header, own in groups.items():
         schema = T.StructType([T.StructField(n, T.StringType()) for n in _unique(list(header))])
-        frames.append(spark.read.csv(own, schema=schema, header=True, encoding="UTF-8", mode="PERMISSIVE", multiLine=False, enforceSchema=True))
+        frames.append(spark.read.csv(own, schema=schema, header=True, encoding="UTF-8", mode="PERMISSIVE", multiLine=multiline, enforceSchema=True, quote='"', escape='"'))
     return stratify.union_by_name(*frames)
 
 
@@ -163,10 +175,9 @@ def first_rows_per_file(spark: SparkSession, paths: list[str], n: int = 1000) ->
 
 def _by_header(spark: SparkSession, paths: list[str]) -> dict[tuple, list[str]]:
     out: dict[tuple, list[str]] = {}
-    for p in paths:
-        h = tuple(read_header(spark, p))
+    for p, h in read_headers(spark, paths).items():
         if h:
-            out.setdefault(h, []).append(p)
+            out.setdefault(tuple(h), []).append(p)
     return out
 
 

@@ -95,6 +95,17 @@ def test_quality_flags(spark):
     assert (r[2013].missing, r[2013].mean_sst) == (1, None)
 
 
+def test_files_and_counters(spark, tmp_path):
+    df = spark.createDataFrame([(T, None), (T, 1.0)], "timestamp timestamp_ntz, sst double")
+    for k in range(3):
+        df.coalesce(1).write.parquet(str(tmp_path / f"f/part={k}"))
+    back = spark.read.parquet(str(tmp_path / "f"))
+    assert quality.files_by_year(back, F.year("timestamp")).first().n_files == 3
+    seen, o = quality.counted(back, "progress")
+    seen.write.format("noop").mode("overwrite").save()
+    assert o.get == {"rows": 6, "missing": 3}
+
+
 def test_stream(spark, tmp_path, grid_file):
     src = str(tmp_path / "src")
     p = points(spark)

@@ -68,6 +68,18 @@ def test_headers(spark, tmp_path):
     assert csv_union.union_columns([["b", "a"], ["c", "a"]]) == ["b", "a", "c"]
 
 
+def test_many_headers_equal_single_ones(spark, tmp_path):
+    paths = [text(tmp_path / f"p {k}" / "a.csv", f'c{k % 3},"d e"\n1,2\n') for k in range(12)] + [text(tmp_path / "empty.csv", "")]
+    assert csv_union.read_headers(spark, paths, few=3) == csv_union.read_headers(spark, paths)
+    df = csv_union.read_csv_files(spark, paths)
+    assert (df.count(), set(df.columns)) == (12, {"c0", "c1", "c2", "d e"})
+
+
+def test_multiline_and_doubled_quotes(spark, tmp_path):
+    p = text(tmp_path / "m.csv", 'a,b\n"x ""y""\nz",1\n')
+    assert [tuple(r) for r in csv_union.read_csv_files(spark, [p], multiline=True).collect()] == [('x "y"\nz', "1")]
+
+
 def test_first_rows(spark, tmp_path):
     a = text(tmp_path / "a.csv", "x\n" + "".join(f"{k}\n" for k in range(50)))
     b = text(tmp_path / "b.csv", "y\n1\n")
