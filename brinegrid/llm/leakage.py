@@ -160,45 +160,80 @@ def _parts(segs: list[tuple]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+class _Seen:
+    """Exact segments that widening has covered already, by diagonal."""
+
+    def __init__(self):
+        self.by: dict[int, list] = defaultdict(list)
+
+    def __contains__(self, run: tuple[int, int, int]) -> bool:
+        return any(a <= run[0] < z for a, z in self.by.get(run[0] - run[1], ()))
+
+    def add(self, segs: list[tuple]) -> None:
+        for a, z, j, _, _ in segs:
+            self.by[a - j].append((a, z))
+
+
+def _pair(parts: list[tuple], least: int, item_words: int) -> Iterator[tuple[tuple, tuple]]:
+    """Two parts in the order of both document and item, apart in both, together long enough and within the rate.
+
+    A sweep over the document: of the parts that have ended, the longest for each item position and margin (words minus
+    RATE x edits, which must not be negative in sum) is kept, so long documents cost no pairs.
+    """
+    half = RATE // 2
+    margin = lambda p: max(-half, min(half, p[3] - p[2] - RATE * p[4]))
+    best: dict[int, list] = {m: [None] * (item_words + 1) for m in range(-half, half + 1)}
+    ended = sorted(parts, key=lambda p: p[1])
+    k = 0
+    for q in sorted(parts, key=lambda p: p[0]):
+        while k < len(ended) and ended[k][1] <= q[0]:
+            p = ended[k]
+            row = best[margin(p)]
+            if row[p[3]] is None or p[3] - p[2] > row[p[3]][3] - row[p[3]][2]:
+                row[p[3]] = p
+            k += 1
+        fit = [p for m in range(-margin(q), half + 1) for p in best[m][: q[2] + 1] if p]
+        if fit:
+            p = max(fit, key=lambda p: p[3] - p[2])
+            if p[3] - p[2] + q[3] - q[2] >= least:
+                yield p, q
+
+
 def leaked(doc: Sequence[int], item: Sequence[int], hits: list[tuple[int, int]], size: int, least: int = LEAST) -> tuple[int, int, int] | None:
     """(words, edits, parts) of the passage of item in doc that the exact hits lead to, if it is long enough."""
-    found, covered = [], []
+    seen, parts = _Seen(), []
     for run in sorted(_runs(hits, size), key=lambda r: -r[2]):
-        if any(a <= run[0] < z and c <= run[1] < d for a, z, c, d in covered):
+        if run in seen:
             continue
         segs = _widen(doc, item, run)
-        covered.append((segs[0][0], segs[-1][1], segs[0][2], segs[-1][3]))
-        found.append(segs)
-    whole = [p for segs in found for p in _parts(segs)]
-    best = max((p[3] - p[2] for p in whole), default=0)
-    for p in whole:
-        if p[3] - p[2] >= least and p[4] * RATE <= p[3] - p[2]:
-            edits = myers(item[p[2] : p[3]], doc[p[0] : p[1]])
-            if edits * RATE <= p[3] - p[2]:
-                return p[3] - p[2], edits, 1
-    if best < least // 2 - 1:
+        seen.add(segs)
+        own = _parts(segs)
+        for p in own:
+            n = p[3] - p[2]
+            if n < least:
+                break
+            if p[4] * RATE <= n:
+                edits = myers(item[p[2] : p[3]], doc[p[0] : p[1]])
+                if edits * RATE <= n:
+                    return n, edits, 1
+        parts += own
+    if max((p[3] - p[2] for p in parts), default=0) < least // 2 - 1:
         return None  # the longer part of two must be half of the whole
     # the second part may hold no run as long as a piece: look for shorter ones
     small: dict[tuple, list[int]] = defaultdict(list)
     for j in range(len(item) - 2):
         small[tuple(item[j : j + 3])].append(j)
-    more = [(k, j) for k in range(len(doc) - 2) for j in small.get(tuple(doc[k : k + 3]), ())]
+    more = [(k, j) for k in range(len(doc) - 2) if doc[k] for j in small.get(tuple(doc[k : k + 3]), ())]
     for run in sorted(_runs(more, 3), key=lambda r: -r[2]):
-        if not any(a <= run[0] < z and c <= run[1] < d for a, z, c, d in covered):
+        if run not in seen:
             segs = _widen(doc, item, run)
-            covered.append((segs[0][0], segs[-1][1], segs[0][2], segs[-1][3]))
-            whole += _parts(segs)
-    whole = [p for p in whole if p[3] - p[2] >= PART]
-    long = [p for p in whole if p[3] - p[2] >= least // 2 - 1]
-    for p in sorted(long, key=lambda p: p[2] - p[3]):
-        for q in whole:
-            first, second = (p, q) if p[0] <= q[0] else (q, p)
-            if first[1] <= second[0] and first[3] <= second[2]:
-                n = p[3] - p[2] + q[3] - q[2]
-                if n >= least and (p[4] + q[4]) * RATE <= n:
-                    edits = myers(item[p[2] : p[3]], doc[p[0] : p[1]]) + myers(item[q[2] : q[3]], doc[q[0] : q[1]])
-                    if edits * RATE <= n:
-                        return n, edits, 2
+            seen.add(segs)
+            parts += _parts(segs)
+    for p, q in _pair([p for p in parts if p[3] - p[2] >= PART], least, len(item)):
+        n = p[3] - p[2] + q[3] - q[2]
+        edits = myers(item[p[2] : p[3]], doc[p[0] : p[1]]) + myers(item[q[2] : q[3]], doc[q[0] : q[1]])
+        if edits * RATE <= n:
+            return n, edits, 2
     return None
 
 
