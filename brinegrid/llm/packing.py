@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .. import columns as C
 from ..session import materialize
-from .tokens import default_path, encoding
+from .tokens import default_path, encode, encoding
 
 CAPACITY = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -35,7 +35,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for b in batches:
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
+            n = [len(encode(enc, t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=schema.names)
 
     return df.select(C.quoted(id_col), C.quoted(text_col)).mapInArrow(run, schema)

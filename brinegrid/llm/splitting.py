@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import columns as C
-from .tokens import byte_lengths, default_path, encoding
+from .tokens import byte_lengths, default_path, encode, encoding
 
 LIMIT, OVERLAP = 1024, 64
 #: Strength of a boundary: inside a character (never cut), inside a word, between words, clauses, sentences, lines, paragraphs.
@@ -124,7 +124,7 @@ def split_tokens(text: str, path: str, limit: int = LIMIT, overlap: int = OVERLA
     if len(data_b) <= limit:  # a token is at least one byte
         return None
     enc = encoding(path)
-    ids = enc.encode_ordinary(text)
+    ids = encode(enc, text)
     n = len(ids)
     if n <= limit:
         return None
@@ -143,7 +143,7 @@ def split_tokens(text: str, path: str, limit: int = LIMIT, overlap: int = OVERLA
                 f -= 1
             piece = data_b[starts[f] : starts[z]].decode("utf-8", "surrogatepass")
             if z - f > limit - 16:  # cut out of its context a piece may take more tokens than in it
-                over = max(over, len(enc.encode_ordinary(piece)) - limit, z - f - limit)
+                over = max(over, len(encode(enc, piece)) - limit, z - f - limit)
             out.append((piece, a, f, z))
         if over <= 0:
             return out
