@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import columns as C
 from ..operators import compaction, drift, hotdeck, proximity, records
 
 
@@ -40,6 +41,24 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return proximity.pairs_within(table(spark, sf, "vessel_points")).select("obs_a", "obs_b")
 
 
+# Corners of example regions as (lat, lon); the second crosses the date line, the third has a hole.
+REGIONS = {
+    "gulf": [[(18.0, -98.0), (31.0, -98.0), (30.0, -81.0), (21.0, -87.0)]],
+    "dateline": [[(-25.0, 160.0), (-10.0, 170.0), (5.0, 195.0), (-30.0, 205.0)]],
+    "ring": [[(-60.0, -60.0), (20.0, -60.0), (20.0, 60.0), (-60.0, 60.0)], [(-40.0, -30.0), (0.0, -35.0), (5.0, 30.0), (-45.0, 25.0)]],
+    "north": [[(40.0, -179.5), (85.0, -179.5), (85.0, 179.5), (40.0, 179.5), (55.0, 10.0), (45.0, -20.0)]],
+}
+EDGES = [(name, *a, *b) for name, rings in REGIONS.items() for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]])]
+
+
+def p3_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """The regions that hold each usable position, for quite large regions."""
+    v = table(spark, sf, "vessel_points").where(C.usable_lat(F.col("lat"), F.col("lon")) & C.usable_lon(F.col("lat"), F.col("lon")))
+    v = v.withColumn("lon", F.when(F.col("lon") > 180, F.col("lon") - 360).otherwise(F.col("lon")))
+    edges = spark.createDataFrame(EDGES, "region_id string, lat1 double, lon1 double, lat2 double, lon2 double")
+    return proximity.containing_regions(v, edges, "obs_id")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return drift.schema_changes(table(spark, sf, "drift_files")).select("file_id", "column_name", "change_kind")
 
@@ -63,27 +82,54 @@ def p6_rows(spark: SparkSession, sf: str) -> DataFrame:
 LAT_OK = "coalesce(lat between -90 and 90 and not isnan(lat), false) and not coalesce(lat = 0 and lon = 0, false)"
 LON_OK = "coalesce(lon between -180 and 360 and not isnan(lon), false) and not coalesce(lat = 0 and lon = 0, false)"
 
-SQL = {
-    "p1_found": f"""
-        select obs_id, 'lat' as field from vessel_points where not ({LAT_OK})
-        union all select obs_id, 'lon' from vessel_points where not ({LON_OK})
-        union all select obs_id, 'sst' from vessel_points
-            where not (coalesce(sst between -2.5e0 and 40e0 and not isnan(sst), false) and not coalesce(sst_missing, false))
-        union all select obs_id, 'sst_missing' from vessel_points where sst_missing is null""",
-    "p2_found": r"""
-        with f as (
-            select line_id, line, regexp_full_match(line, '([^,"\r\n]*|"([^"]|"")*")(,([^,"\r\n]*|"([^"]|"")*")){7}') as whole,
+RAW = r"""f as (
+            select *, regexp_full_match(line, '([^,"\r\n]*|"([^"]|"")*")(,([^,"\r\n]*|"([^"]|"")*")){7}') as whole,
                    regexp_extract(line, '^([^,"\r\n]*|"(?:[^"]|"")*"),', 1) as a,
                    regexp_extract(line, '^(?:[^,"\r\n]*|"(?:[^"]|"")*"),([^,"\r\n]*|"(?:[^"]|"")*"),', 1) as b,
                    regexp_extract(line, '^(?:[^,"\r\n]*|"(?:[^"]|"")*"),(?:[^,"\r\n]*|"(?:[^"]|"")*"),([^,"\r\n]*|"(?:[^"]|"")*"),', 1) as c
             from raw_lines where line_no is distinct from 1),
         g as (
-            select line_id, whole, trim(trim(a, '"'), ' ') as d,
+            select *, trim(trim(a, '"'), ' ') as d,
                    case when regexp_full_match(trim(trim(b, '"'), ' '), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim(trim(b, '"'), ' ') as double) end as lat,
                    case when regexp_full_match(trim(trim(c, '"'), ' '), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim(trim(c, '"'), ' ') as double) end as lon
-            from f)
-        select line_id from g where not coalesce(whole and regexp_full_match(d, '[0-9]{4}-[0-9]{2}-[0-9]{2}')
-            and year(try_cast(d as date)) between 2012 and 2019 and lat between -90 and 90 and lon between -180 and 180, false)""",
+            from f),
+        h as (select *, coalesce(whole and regexp_full_match(d, '[0-9]{4}-[0-9]{2}-[0-9]{2}')
+            and year(try_cast(d as date)) between 2012 and 2019 and lat between -90 and 90 and lon between -180 and 180, false) as valid from g)"""
+ROLE = "case when {0} in ('timestamp', 'time', 'datetime', 'date') then 'time' when {0} in ('lat', 'latitude', 'cell_ll_lat') then 'lat' when {0} in ('lon', 'longitude', 'long', 'cell_ll_lon') then 'lon' when {0} in ('mmsi', 'mmsi_id', 'mmsi_present') then 'id' end"
+
+SQL = {
+    "p1_found": f"""
+        select obs_id, 'lat' as field from vessel_points where not ({LAT_OK})
+        union all select obs_id, 'lon' from vessel_points where not ({LON_OK})
+        union all select obs_id, 'sst' from vessel_points
+            where not (coalesce(sst between -2.5e0 and 40e0 and not isnan(sst), false) and not coalesce(sst_missing, false))
+        union all select obs_id, 'sst_missing' from vessel_points where sst_missing is null""",
+    "p2_found": f"with {RAW} select line_id from h where not valid",
+    "p2_valid": f"""with {RAW}, e as (select *, regexp_extract_all(line, '([^,"\\r\\n]*|"(?:[^"]|"")*")(?:,|$)', 1) as x from h where valid),
+        u as (select *, list_transform(x, lambda t: case when starts_with(t, '"') then replace(t[2:-2], '""', '"') else t end) as y from e)
+        select cast(d as date) as date, lat as cell_ll_lat, lon as cell_ll_lon, y[4] as flag, y[5] as geartype, try_cast(y[6] as double) as hours, try_cast(y[7] as double) as fishing_hours,
+          try_cast(y[8] as int) as mmsi_present, line_id, file_name, line_no, line from u""",
+    "p3_regions": f"""
+        with e(r, y1, x1, y2, x2) as (values {", ".join(f"('{n}', {a}e0, {b}e0, {c}e0, {d}e0)" for n, a, b, c, d in EDGES)}),
+        v as (select obs_id, lat as py, case when lon > 180 then lon - 360 else lon end + k.range * 360 - 360 as px from vessel_points, range(3) k where {LAT_OK} and {LON_OK})
+        select distinct obs_id, r as region_id from (
+            select obs_id, px, r, sum(case when (y1 <= py) <> (y2 <= py) and x1 + (py - y1) / nullif(y2 - y1, 0) * (x2 - x1) > px then 1 else 0 end) as n from v, e group by 1, 2, 3) where n % 2 = 1""",
+    "p4_found": f"""
+        with f as (select file_id, lag(file_id) over (partition by feed order by file_date, file_id) as before,
+                string_split(replace(replace(ltrim(content, chr(65279)), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) as lines from drift_files),
+        h as (select file_id, k.range as k, lower(trim(trim(trim(trim(string_split(lines[1], ',')[k.range + 1]), chr(65279)), '"'))) as name from f, range(200) k where k.range < len(string_split(lines[1], ','))),
+        r as (select file_id, unnest(lines[2:]) as line from f),
+        c as (select h.file_id, h.name, max(case when trim(x) = '' then 0 when regexp_full_match(trim(x), '[+-]?[0-9]+') then 0 when regexp_full_match(trim(x), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') then 1 else 2 end) as kind
+            from (select h.file_id, h.name, coalesce(string_split(r.line, ',')[h.k + 1], '') as x from h left join r on r.file_id = h.file_id and r.line <> '') h group by 1, 2),
+        n as (select file_id, role, min(name) as name from (select file_id, name, {ROLE.format("name")} as role from h) where role is not null group by 1, 2 having count(*) = 1),
+        m as (select f.file_id, f.before, a.name as old, b.name as new from f join n a on a.file_id = f.before join n b on b.file_id = f.file_id and b.role = a.role where a.name <> b.name),
+        k as (select file_id, before, old, new from m union all
+            select f.file_id, f.before, a.name, b.name from f join c a on a.file_id = f.before join c b on b.file_id = f.file_id and b.name = a.name
+            where not exists (select 1 from m where m.file_id = f.file_id and (m.old = a.name or m.new = a.name)))
+        select file_id, new as column_name, 'renamed' as change_kind from m
+        union all select f.file_id, b.name, 'added' from f join c b on b.file_id = f.file_id where f.before is not null and not exists (select 1 from c a where a.file_id = f.before and a.name = b.name) and not exists (select 1 from m where m.file_id = f.file_id and m.new = b.name)
+        union all select f.file_id, a.name, 'removed' from f join c a on a.file_id = f.before where not exists (select 1 from c b where b.file_id = f.file_id and a.name = b.name) and not exists (select 1 from m where m.file_id = f.file_id and m.old = a.name)
+        union all select k.file_id, k.new, 'retyped' from k join c a on a.file_id = k.before and a.name = k.old join c b on b.file_id = k.file_id and b.name = k.new where a.kind <> b.kind""",
     "p3_found": f"""
         with v as (
             select obs_id, regexp_replace(trim(MMSI), '[.]0$', '') as vessel, "timestamp" as ts, lat, lon,
@@ -101,4 +147,4 @@ SQL = {
     "p6_rows": "select * from vessel_points",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p2_found, p2_valid, p2_report, p3_found, p4_found, p4_consistent, p6_found, p6_rows)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p2_found, p2_valid, p2_report, p3_found, p3_regions, p4_found, p4_consistent, p6_found, p6_rows)}
