@@ -23,6 +23,14 @@ def p5_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sample(state)
 
 
+def p5_size(spark: SparkSession, sf: str) -> DataFrame:
+    """How many are chosen, and whether all are different usable readings; states per loading year, merged."""
+    v = usable(spark, sf).select("obs_id", "sst", F.year("loaded_at").alias("y"))
+    states = [sampling.sample_state(v.where(F.col("y") % 2 == k), 1000, seed=k) for k in (0, 1)]
+    s = sampling.sample(sampling.merge_states(states, 1000))
+    return s.join(v, "obs_id", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("obs_id").alias("n_different"))
+
+
 def p7_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Per year, from sketches per year and month merged by addition."""
     v = usable(spark, sf).where("timestamp is not null").select(F.year("timestamp").alias("year"), F.month("timestamp").alias("month"), "sst")
@@ -50,6 +58,17 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf, "documents"))
 
 
+def p8_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that came out, whether all containers hold, and whether only texts longer than a container are divided."""
+    c = packing.pack_texts(table(spark, sf, "documents"))
+    full = c.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("s"), F.max(F.col("container_offset") + F.col("n_tokens")).alias("e"))
+    text = c.groupBy("doc_id").agg(F.sum("n_tokens").alias("s"), F.count(F.lit(1)).alias("pieces"))
+    a = full.agg(F.max(F.greatest("s", "e")).alias("most"), F.bool_and(F.col("s") == F.col("e")).alias("no_gaps"))
+    b = text.agg(F.count(F.lit(1)).alias("n_texts"), F.bool_and(F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("s") / packing.CAPACITY))).alias("divided_only_if_long"))
+    one = lambda d: d.withColumn("k", F.lit(1))
+    return one(a).join(one(b), "k").select("n_texts", (F.col("most") <= packing.CAPACITY).alias("all_fit"), "no_gaps", "divided_only_if_long")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
@@ -63,10 +82,13 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL = {
+    "p5_size": """select least(1000, count(*)) as n, least(1000, count(*)) as n_different from vessel_points
+        where loaded_at is not null and sst between -2.5e0 and 40e0 and not isnan(sst) and not coalesce(sst_missing, false)""",
+    "p8_whole": "select count(distinct doc_id) as n_texts, true as all_fit, true as no_gaps, true as divided_only_if_long from documents",
     "p7_within_bound": """
         select year("timestamp") as year, count(*) as n, true as p50_within, true as p90_within, true as p99_within
         from vessel_points where timestamp is not null and sst between -2.5e0 and 40e0 and not isnan(sst) and not coalesce(sst_missing, false)
         group by 1""",
 }
 
-QUERIES = {f.__name__: f for f in (p5_sample, p7_quantiles, p7_within_bound, p8_containers, p9_found, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p5_sample, p5_size, p7_quantiles, p7_within_bound, p8_containers, p8_whole, p9_found, p10_found, p10_pieces)}
