@@ -68,6 +68,8 @@ def sketch(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None
     given = df.where(x.isNotNull() & ~F.isnan(x)).select(*by_cols, x.alias("_x"), w.alias("w"))
     codes = with_code(given, F.col("_x")).groupBy(*by_cols, "code").agg(F.sum("w").alias("w")).where("w <> 0")
     exact = _exact_levels(bits, width)
+    # codes are few bytes but many cells: spread them over all tasks before they are multiplied
+    codes = codes.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by_cols, F.expr("shiftright(code, 16)"))
     lv = codes.select(*by_cols, "w", "code", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("level"))
     rows = F.when(F.col("level") >= exact, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(depth - 1)))
     lv = lv.select(*by_cols, "w", "level", F.expr("shiftright(code, level)").alias("node"), F.explode(rows).alias("hash_row"))
