@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,7 @@ CLASS[ord(",")], CLASS[ord('"')], CLASS[ord("\n")], CLASS[ord("\r")] = COMMA, QU
 # The header of the fleet files and the years they cover.
 FLEET_HEADER = ("date", "cell_ll_lat", "cell_ll_lon", "flag", "geartype", "hours", "fishing_hours", "mmsi_present")
 YEARS = (2012, 2019)
+BLOCK_BYTES = 4 << 20
 NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", re.ASCII)
 DATE = re.compile(r"\d{4}-\d{2}-\d{2}", re.ASCII)
 
@@ -218,8 +220,12 @@ def parse_records(df: DataFrame, line_col: str = "line", number_col: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 20_000):
-                part = b.slice(k, 20_000)
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+            k = 0
+            while k < b.num_rows:  # a few MB at a time: the tokenizer's arrays take about twenty times that
+                z = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + BLOCK_BYTES, side="right")))
+                part = b.slice(k, z - k)
+                k = z
                 header = [x == 1 for x in part.column(num).to_pylist()] if num is not None else [False] * part.num_rows
                 records, errors = _read(part.column(at), header)
                 yield pa.RecordBatch.from_arrays([*part.columns, _struct(records, RECORD_ARROW), _struct(errors, ERROR_ARROW)], names=schema.names)
