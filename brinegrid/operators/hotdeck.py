@@ -120,7 +120,7 @@ def fill_from_similar(
         C.quoted(id_col).alias("o"),
         F.xxhash64(C.vessel_key(C.quoted(vessel_col))).alias("v0"),
         C.vessel_key(C.quoted(vessel_col)).isNotNull().alias("known"),
-        F.unix_micros(C.quoted(time_col).cast("timestamp")).alias("t"),
+        C.micros_of(df, time_col).alias("t"),
         F.when(la_ok, lat.cast("double")).alias("la"),
         F.when(lo_ok, F.when(lon > 180, lon.cast("double") - 360).otherwise(lon.cast("double"))).alias("lo"),
         F.when(C.usable_value(val, flag, value_range), val.cast("double")).alias("s"),

@@ -39,17 +39,13 @@ class Grid:
         return geo.normalize_lon(lon, min(self.lons), max(self.lons))
 
 
-def time_micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
-
-
 def nearest_time(ts: Column, times: Sequence[dt.datetime], tolerance_days: int | None = None) -> Column:
     """struct(delta, ti): the slice nearest in time, the earlier one on a tie; null beyond the tolerance (inclusive). No join.
 
     On an even axis two candidates are compared; else all slices of the axis, which is short.
     """
     axis = [micros(t) for t in times]
-    us = time_micros(ts)
+    us = C.wall_micros(ts)
     n, step = len(axis), (axis[-1] - axis[0]) // max(1, len(axis) - 1)
     if n > 2 and step > 0 and all(axis[0] + k * step == a for k, a in enumerate(axis)):
         low = F.least(F.greatest(F.floor((us - axis[0]) / step).cast("int"), F.lit(0)), F.lit(n - 2))
@@ -66,7 +62,7 @@ def nearest_time(ts: Column, times: Sequence[dt.datetime], tolerance_days: int |
 def bracketing_times(ts: Column, times: Sequence[dt.datetime]) -> tuple[Column, Column]:
     """(index of the slice at or before, share of the way to the next), clamped to the axis."""
     axis = F.array(*[F.lit(micros(t)).cast("bigint") for t in times])
-    us = time_micros(ts)
+    us = C.wall_micros(ts)
     low = F.least(F.greatest(F.size(F.filter(axis, lambda a: a <= us)) - 1, F.lit(0)), F.lit(max(0, len(times) - 2)))
     a, z = axis[low], axis[F.least(low + 1, F.lit(len(times) - 1))]
     share = F.when(z == a, 0.0).otherwise((us - a) / (z - a))

@@ -100,7 +100,7 @@ def pairs_within(
         C.quoted(id_col).alias("id"),
         F.xxhash64(C.vessel_key(C.quoted(vessel_col))).alias("v"),
         C.vessel_key(C.quoted(vessel_col)).isNotNull().alias("known"),
-        F.unix_micros(C.quoted(time_col).cast("timestamp")).alias("t"),
+        C.micros_of(df, time_col).alias("t"),
         lat.cast("double").alias("y"),
         F.pmod(lon.cast("double"), F.lit(360.0)).alias("x"),
     )

@@ -99,6 +99,20 @@ def test_vessel_key(spark):
     assert [r.v for r in df.select(C.vessel_key(F.col("m")).alias("v")).collect()] == ["12", "12", None, None, None, None]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin", "America/St_Johns"])
+def test_micros_do_not_depend_on_the_zone(spark, zone):
+    times = [dt.datetime(2015, 3, 29, 2, 30), dt.datetime(2015, 10, 25, 2, 30, 1, 7), dt.datetime(1969, 12, 31, 23, 59, 59, 999999), None]
+    want = [None if t is None else round((t - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)) for t in times]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(t, str(t) if t else "x", k) for k, t in enumerate(times)], "t timestamp_ntz, s string, k int")
+        r = df.select("k", C.micros_of(df, "t").alias("a"), C.wall_micros(F.col("t")).alias("b"), C.micros_of(df, "s").alias("c")).orderBy("k").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert [x.a for x in r] == [x.b for x in r] == [x.c for x in r] == want
+
+
 def test_free_name():
     assert C.free_name(["fill", "FILL_"], "fill") == "fill__"
     assert not math.isnan(1.0)
