@@ -95,6 +95,18 @@ def test_quality_flags(spark):
     assert (r[2013].missing, r[2013].mean_sst) == (1, None)
 
 
+def test_exact_quantiles_equal_the_built_in(spark):
+    r = np.random.default_rng(1)
+    rows = [(None if k % 7 == 0 else int(k % 3), float(x)) for k, x in enumerate(np.round(r.normal(0, 5, 4000), 1))]
+    rows += [(9, 1.0), (8, 1.0), (8, 2.0), (7, None), (7, float("nan"))] + [(6, 4.0)] * 500
+    df = spark.createDataFrame(rows, "y int, x double")
+    qs = {"a": 0.0, "b": 0.5, "c": 0.9, "d": 0.99, "e": 1.0}
+    got = {x.year: tuple(x)[1:] for x in quality.exact_quantiles(df, F.col("y"), F.col("x"), qs, accuracy=100).collect()}
+    want = {x.y: tuple(x)[1:] for x in df.where("x is not null and not isnan(x)").groupBy("y").agg(*[F.percentile("x", q) for q in qs.values()]).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_files_and_counters(spark, tmp_path):
     df = spark.createDataFrame([(T, None), (T, 1.0)], "timestamp timestamp_ntz, sst double")
     for k in range(3):
