@@ -9,8 +9,6 @@ Python code runs per byte.
 
 from __future__ import annotations
 
-import datetime as dt
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +33,9 @@ NEXT = np.array(
     ],
     dtype=np.uint8,
 )
+#: The same for whole files, where a line break outside quotes ends a record, and a broken one too.
+NEXT_IN_FILE = NEXT.copy()
+NEXT_IN_FILE[BREAK] = [START, START, QUOTED, START, START]
 CLASS = np.zeros(256, dtype=np.uint8)
 CLASS[ord(",")], CLASS[ord('"')], CLASS[ord("\n")], CLASS[ord("\r")] = COMMA, QUOTE, BREAK, BREAK
 
@@ -42,8 +43,8 @@ CLASS[ord(",")], CLASS[ord('"')], CLASS[ord("\n")], CLASS[ord("\r")] = COMMA, QU
 FLEET_HEADER = ("date", "cell_ll_lat", "cell_ll_lon", "flag", "geartype", "hours", "fishing_hours", "mmsi_present")
 YEARS = (2012, 2019)
 BLOCK_BYTES = 4 << 20
-NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", re.ASCII)
-DATE = re.compile(r"\d{4}-\d{2}-\d{2}", re.ASCII)
+NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 
 
 def _compose(chunk_fn: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -66,9 +67,10 @@ def _compose(chunk_fn: np.ndarray, first: np.ndarray) -> np.ndarray:
     return begin
 
 
-def tokenize(data: np.ndarray, offsets: np.ndarray, chunk: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """data: bytes of all records; offsets: n + 1 bounds. Returns the positions of field separators, the record of each
-    separator, the position of each record's first error (-1: none) and each record's last state."""
+def tokenize(data: np.ndarray, offsets: np.ndarray, chunk: int = 64, table: np.ndarray = NEXT, mark: int = COMMA) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """data: bytes of all records; offsets: n + 1 bounds. Returns the positions of separators (of class mark, outside
+    quotes), the record of each separator, the position of each record's first error (-1: none) and each record's last
+    state."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     parts = np.maximum(1, -(-size // chunk))
@@ -82,56 +84,24 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, chunk: int = 64) -> tuple[np
     kinds[inside] = CLASS[data[grid[inside]]]
     fn = np.tile(np.arange(5, dtype=np.uint8), (len(owner), 1))
     for c in range(chunk):
-        fn = NEXT[kinds[:, c][:, None], fn]
+        fn = table[kinds[:, c][:, None], fn]
     state = _compose(fn, first)
     seps, breaks = np.zeros(grid.shape, dtype=bool), np.zeros(grid.shape, dtype=bool)
     for c in range(chunk):
         k = kinds[:, c]
-        seps[:, c] = (k == COMMA) & (state != QUOTED) & (state != BROKEN)
-        new = NEXT[k, state]
+        seps[:, c] = (k == mark) & (state != QUOTED) & ((state != BROKEN) | (mark == BREAK))
+        new = table[k, state]
         breaks[:, c] = (new == BROKEN) & (state != BROKEN)
         state = new
     error = np.full(n, -1, dtype=np.int64)
     e_row, e_col = np.nonzero(breaks)
-    error[owner[e_row]] = grid[e_row, e_col]
+    error[owner[e_row[::-1]]] = grid[e_row[::-1], e_col[::-1]]  # the first of each is written last
     last = np.zeros(n, dtype=np.uint8)
     last[owner] = state  # the last chunk of a record is written last
     s_row, s_col = np.nonzero(seps)
     return grid[s_row, s_col], owner[s_row], error, last
 
 
-def _plain(raw: bytes) -> str:
-    text = raw.decode("utf-8", "replace")
-    return text[1:-1].replace('""', '"') if text[:1] == '"' else text
-
-
-def _number(text: str, low: float, high: float) -> tuple[float | None, str | None]:
-    text = text.strip(" ")
-    if not NUMBER.fullmatch(text):
-        return None, "not a number"
-    x = float(text)
-    return (x, None) if low <= x <= high else (None, "out of range")
-
-
-def _loose(text: str, kind):
-    try:
-        x = kind(text.strip(" "))
-        return x if kind is not int or -(2**31) <= x < 2**31 else None
-    except ValueError:
-        return None
-
-
-def _day(text: str) -> tuple[dt.date | None, str | None]:
-    text = text.strip(" ")
-    if not DATE.fullmatch(text):
-        return None, "not a date"
-    try:
-        day = dt.date.fromisoformat(text)
-    except ValueError:
-        return None, "no such day"
-    return (day, None) if YEARS[0] <= day.year <= YEARS[1] else (None, "year out of range")
-
-
 RECORD = T.StructType(
     [
         T.StructField("date", T.DateType()),
@@ -149,57 +119,136 @@ RECORD_ARROW = pa.struct([("date", pa.date32()), ("cell_ll_lat", pa.float64()),
 ERROR_ARROW = pa.struct([("reason", pa.string()), ("field", pa.string()), ("offset", pa.int64())])
 
 
-def _read(lines: pa.Array, header: list[bool]) -> tuple[list, list]:
-    """Records and errors of one batch; both are None for header lines."""
-    lines = pa.concat_arrays([lines.cast(pa.large_string())])
-    if lines.offset:
-        lines = pa.array(lines.to_pylist(), pa.large_string())
+# Reasons, numbered in the order in which they are tried.
+REASONS = ("", "no record", "line break outside quotes", "quote inside a plain field", "text after a closing quote", "quote never closed", "too few fields", "too many fields", "not a date", "no such day", "year out of range", "not a number", "out of range")
+_CODE = {r: k for k, r in enumerate(REASONS)}
+_MONTH_DAYS = np.array([0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])
+
+
+def _texts_raw(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges as an array of strings."""
+    size = ends - starts
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    at = np.repeat(starts - off[:-1], size) + np.arange(off[-1])
+    raw = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data[at]))])
+    try:
+        return raw.cast(pa.large_string())
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.large_string())
+
+
+def _texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Fields as texts; outer quotes and doubled inner ones are undone."""
+    quoted = (ends > starts) & (data[np.minimum(starts, max(0, len(data) - 1))] == ord('"')) if len(data) else np.zeros(len(starts), bool)
+    return pc.replace_substring(_texts_raw(data, starts + quoted, ends - quoted), '""', '"')
+
+
+def _matches(text: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(text, rf"\A(?:{pattern})\z").to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _numbers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and which texts are plain decimal numbers; NaN for the others. Spaces around don't count."""
+    t = pc.utf8_trim(text, " ")
+    ok = _matches(t, NUMBER)
+    out = np.full(len(t), np.nan)
+    plain = pc.replace_substring_regex(t.filter(pa.array(ok)), r"\A\+", "")
+    try:
+        out[ok] = plain.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    except pa.ArrowInvalid:  # beyond a double's range
+        out[ok] = [float(x) for x in plain.to_pylist()]
+    return out, ok
+
+
+def _integers(text: pa.Array) -> pa.Array:
+    t = pc.utf8_trim(text, " ")
+    ok = _matches(t, "[+-]?[0-9]{1,15}")
+    x = np.zeros(len(t), np.int64)
+    x[ok] = pc.replace_substring_regex(t.filter(pa.array(ok)), r"\A\+", "").cast(pa.int64()).to_numpy(zero_copy_only=False)
+    return pa.array(x, mask=~(ok & (x >= -(2**31)) & (x < 2**31))).cast(pa.int32())
+
+
+def _days(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Days since 1970 and the code of what is wrong (0: nothing)."""
+    t = pc.utf8_trim(text, " ")
+    ok = _matches(t, DATE)
+    y, m, d = (np.zeros(len(t), np.int64) for _ in range(3))
+    good = t.filter(pa.array(ok))
+    for x, (a, z) in ((y, (0, 4)), (m, (5, 7)), (d, (8, 10))):
+        x[ok] = pc.utf8_slice_codeunits(good, a, z).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    leap = (m == 2) & ((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0)))
+    real = ok & (m >= 1) & (m <= 12) & (d >= 1) & (d <= _MONTH_DAYS[np.clip(m, 0, 12)] + leap)
+    days = ((y - 1970) * 12 + m - 1).astype("datetime64[M]").astype("datetime64[D]").astype(np.int64) + d - 1
+    code = np.where(~ok, _CODE["not a date"], np.where(~real, _CODE["no such day"], np.where((y < YEARS[0]) | (y > YEARS[1]), _CODE["year out of range"], 0)))
+    return days, code
+
+
+def _spread(values: pa.Array, rows: np.ndarray, n: int) -> pa.Array:
+    """values at rows of n, null elsewhere."""
+    at = np.zeros(n, np.int64)
+    at[rows] = np.arange(len(rows))
+    there = np.zeros(n, bool)
+    there[rows] = True
+    return values.take(pa.array(at, mask=~there))
+
+
+def _read(lines: pa.Array, header: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Records and errors of one batch; both are null for header lines."""
     n = len(lines)
-    records, errors = [None] * n, [None] * n
-    if not n:
-        return records, errors
+    lines = pa.concat_arrays([lines.cast(pa.large_string())])
+    null = lines.is_null().to_numpy(zero_copy_only=False)
+    first = lines.offset
     _, off, buf = lines.buffers()
-    offsets = np.frombuffer(off, dtype=np.int64, count=n + 1)
+    offsets = np.frombuffer(off, dtype=np.int64)[first : first + n + 1]
     data = np.frombuffer(buf, dtype=np.uint8) if buf is not None and buf.size else np.zeros(0, np.uint8)
     seps, owner, broken, last = tokenize(data, offsets)
+    begin, end = offsets[:-1], offsets[1:]
+    fields = np.bincount(owner, minlength=n) + 1
+    want = len(FLEET_HEADER)
+
+    code, where, which = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     bounds = np.searchsorted(owner, np.arange(n + 1))
-    null = lines.is_null().to_pylist()
-    blob = memoryview(data)
-    for i in range(n):
-        if header[i]:
-            continue
-        if null[i]:
-            errors[i] = ("no record", None, None)
-            continue
-        a, z = int(offsets[i]), int(offsets[i + 1])
-        if broken[i] >= 0:
-            at = int(broken[i])
-            what = blob[at]
-            reason = "line break outside quotes" if what in b"\r\n" else "quote inside a plain field" if what == 34 else "text after a closing quote"
-            errors[i] = (reason, None, at - a)
-            continue
-        if last[i] == QUOTED:
-            errors[i] = ("quote never closed", None, z - a)
-            continue
-        cuts = [a - 1, *map(int, seps[bounds[i] : bounds[i + 1]]), z]
-        if len(cuts) != len(FLEET_HEADER) + 1:
-            errors[i] = ("too few fields" if len(cuts) <= len(FLEET_HEADER) else "too many fields", None, cuts[min(len(FLEET_HEADER), len(cuts) - 1)] - a)
-            continue
-        f = [_plain(bytes(blob[p + 1 : q])) for p, q in zip(cuts, cuts[1:])]
-        day, why = _day(f[0])
-        lat, why1 = _number(f[1], -90, 90)
-        lon, why2 = _number(f[2], -180, 180)
-        bad = next(((k, w) for k, w in enumerate((why, why1, why2)) if w), None)
-        if bad:
-            errors[i] = (bad[1], FLEET_HEADER[bad[0]], cuts[bad[0]] + 1 - a)
+    many = np.minimum(bounds[:-1] + want - 1, np.maximum(len(seps) - 1, 0))
+    for wrong, reason, at in (
+        (null, "no record", None),
+        (broken >= 0, None, broken),
+        (last == QUOTED, "quote never closed", end),
+        (fields < want, "too few fields", end),
+        (fields > want, "too many fields", seps[many] if len(seps) else end),
+    ):
+        new = wrong & (code == 0) & ~header
+        if reason is None:
+            what = data[np.maximum(broken, 0)] if len(data) else np.zeros(n, np.uint8)
+            code[new] = np.where((what == 10) | (what == 13), _CODE["line break outside quotes"], np.where(what == 34, _CODE["quote inside a plain field"], _CODE["text after a closing quote"]))[new]
         else:
-            records[i] = (day, lat, lon, f[3], f[4], _loose(f[5], float), _loose(f[6], float), _loose(f[7], int))
-    return records, errors
-
-
-def _struct(rows: list, kind: pa.StructType) -> pa.Array:
-    parts = [pa.array([None if r is None else r[k] for r in rows], kind.field(k).type) for k in range(kind.num_fields)]
-    return pa.StructArray.from_arrays(parts, fields=[kind.field(k) for k in range(kind.num_fields)], mask=pa.array([r is None for r in rows]))
+            code[new] = _CODE[reason]
+        if at is not None:
+            where[new] = (at - begin)[new]
+
+    rows = np.nonzero((code == 0) & ~header)[0]
+    cuts = np.empty((len(rows), want + 1), np.int64)
+    cuts[:, 0], cuts[:, want] = begin[rows] - 1, end[rows]
+    if len(rows):
+        cuts[:, 1:want] = seps[bounds[rows][:, None] + np.arange(want - 1)]
+    f = [_texts(data, cuts[:, k] + 1, cuts[:, k + 1]) for k in range(want)]
+    days, bad_day = _days(f[0])
+    (lat, ok_lat), (lon, ok_lon) = _numbers(f[1]), _numbers(f[2])
+    judge = lambda x, ok, most: np.where(~ok, _CODE["not a number"], np.where(np.abs(x) <= most, 0, _CODE["out of range"]))
+    for k, bad in enumerate((bad_day, judge(lat, ok_lat, 90), judge(lon, ok_lon, 180))):
+        new = (bad > 0) & (code[rows] == 0)
+        code[rows[new]], which[rows[new]], where[rows[new]] = bad[new], k, (cuts[:, k] + 1 - begin[rows])[new]
+
+    good = code[rows] == 0
+    keep = pa.array(good)
+    free = [pa.array(x, mask=~ok) for x, ok in (_numbers(f[5]), _numbers(f[6]))]
+    values = [pa.array(days.astype(np.int32)).cast(pa.date32()), pa.array(lat), pa.array(lon), f[3].cast(pa.string()), f[4].cast(pa.string()), *free, _integers(f[7])]
+    there = np.zeros(n, bool)
+    there[rows[good]] = True
+    record = pa.StructArray.from_arrays([_spread(v.filter(keep), rows[good], n) for v in values], fields=list(RECORD_ARROW), mask=pa.array(~there))
+    words = pa.array(REASONS).take(pa.array(code))
+    names = pa.array(FLEET_HEADER).take(pa.array(which, mask=which < 0))
+    error = pa.StructArray.from_arrays([words, names, pa.array(where, mask=where < 0)], fields=list(ERROR_ARROW), mask=pa.array(code == 0))
+    return record, error
 
 
 def parse_records(df: DataFrame, line_col: str = "line", number_col: str | None = "line_no") -> DataFrame:
@@ -226,13 +275,49 @@ def parse_records(df: DataFrame, line_col: str = "line", number_col: str | None
                 z = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + BLOCK_BYTES, side="right")))
                 part = b.slice(k, z - k)
                 k = z
-                header = [x == 1 for x in part.column(num).to_pylist()] if num is not None else [False] * part.num_rows
-                records, errors = _read(part.column(at), header)
-                yield pa.RecordBatch.from_arrays([*part.columns, _struct(records, RECORD_ARROW), _struct(errors, ERROR_ARROW)], names=schema.names)
+                header = pc.fill_null(pc.equal(part.column(num), 1), False).to_numpy(zero_copy_only=False).astype(bool) if num is not None else np.zeros(part.num_rows, bool)
+                yield pa.RecordBatch.from_arrays([*part.columns, *_read(part.column(at), header)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def split_records(files: DataFrame, content_col: str = "content") -> DataFrame:
+    """The records of whole CSV files: files without their content, with columns line_no (1 is the header), line and
+    offset (in bytes). A line break within quotes belongs to the record; CR LF, CR and LF end one. Empty lines between
+    records are dropped but counted; a file that is null or empty has no records. A quote that is never closed takes in the
+    rest of its file, as one record that fails. Existing columns of those names are kept; the new ones get underscores.
+
+    A file is one row, cut into chunks whose states are composed, so its size makes no difference per byte.
+    """
+    rest = [f for f in files.schema.fields if f.name != content_col]
+    names = [f.name for f in rest]
+    for n in ("line_no", "line", "offset"):
+        names.append(C.free_name(names, n))
+    schema = T.StructType([*rest, T.StructField(names[-3], T.IntegerType()), T.StructField(names[-2], T.StringType()), T.StructField(names[-1], T.LongType())])
+    at = len(rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                text = b.column(at)[k].as_py()
+                if not text:
+                    continue
+                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                ends = tokenize(data, np.array([0, len(data)]), 256, NEXT_IN_FILE, BREAK)[0]
+                pair = (data[ends] == 10) & (ends > 0) & (data[np.maximum(ends - 1, 0)] == 13)  # CR LF is one end
+                start = np.concatenate([[0], ends + 1])
+                stop = np.concatenate([ends, [len(data)]])
+                keep = np.concatenate([~pair, [start[-1] < len(data)]])
+                no = np.cumsum(keep)
+                keep &= stop > start
+                line = _texts_raw(data, start[keep], stop[keep])
+                n = len(line)
+                same = [c.slice(k, 1).take(pa.array(np.zeros(n, np.int64))) for c in b.columns[:at]]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(no[keep].astype(np.int32)), line.cast(pa.string()), pa.array(start[keep].astype(np.int64))], names=names)
+
+    return files.select(*[C.quoted(f.name) for f in rest], C.quoted(content_col)).mapInArrow(run, schema)
+
+
 def valid_records(parsed: DataFrame) -> DataFrame:
     """The typed rows, with what identified them. Field names of the record win; clashing input columns get underscores."""
     rec = next(c for c in reversed(parsed.columns) if c.startswith("record"))

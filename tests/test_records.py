@@ -132,3 +132,27 @@ def test_report(spark):
     df = spark.createDataFrame([(1, 2, GOOD, "f"), (2, 3, "x", "f")], "line_id long, line_no int, line string, file_name string")
     assert {(r.reason, r.n_rows) for r in R.failure_report(R.parse_records(df)).collect()} == {(None, 1), ("too few fields", 1)}
     assert re.fullmatch("[a-z ]+", R.parse_records(df).where("error is not null").select(F.col("error.reason")).first()[0])
+
+
+def test_records_of_whole_files(spark):
+    r = random.Random(7)
+    lines = []
+    for k in range(300):
+        f = io.StringIO()
+        csv.writer(f, lineterminator="").writerow(["".join(r.choice('ab",\n\r é') for _ in range(r.randrange(12))) for _ in range(3)] + ["x"])
+        lines.append(f.getvalue())
+    files = [(1, "\n".join(lines) + "\n", "m"), (2, "\r\n".join(lines), "m"), (3, "\r".join(lines), "m"), (4, None, "m"), (5, "", "m"), (6, 'a\n\nb"c\nd\n"e\nf', "m")]
+    df = spark.createDataFrame(files, "file_id long, content string, line string")
+    got = {}
+    for x in R.split_records(df).orderBy("file_id", "line_no").collect():
+        got.setdefault(x.file_id, []).append(x)
+    for k in (1, 2, 3):
+        assert [x.line_ for x in got[k]] == lines
+        assert [x.line_no for x in got[k]] == list(range(1, 301))
+        data = files[k - 1][1].encode()
+        assert all(data[x.offset :].startswith(x.line_.encode()) for x in got[k])
+        assert {x.line for x in got[k]} == {"m"}
+    assert [(x.line_no, x.line_) for x in got[6]] == [(1, "a"), (3, 'b"c'), (4, "d"), (5, '"e\nf')]
+    assert set(got) == {1, 2, 3, 6}
+    parsed = R.parse_records(R.split_records(df.where("file_id = 6").drop("line")))
+    assert {x.error.reason for x in parsed.where("error is not null").collect()} == {"quote inside a plain field", "too few fields", "quote never closed"}
