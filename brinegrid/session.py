@@ -26,14 +26,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     )
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or an own temporary one where that is unset (tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not given:
-        given = "file://" + (own := tempfile.mkdtemp(prefix="brinegrid-shared-"))
+    if given:
+        return given.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + (own := tempfile.mkdtemp(prefix="brinegrid-shared-"))
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", given)
-    return given.rstrip("/")
+    return _OWN[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
