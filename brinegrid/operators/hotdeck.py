@@ -187,9 +187,10 @@ def fill_from_similar(
         def w(x):
             d = x["d"]
             hours = F.coalesce(F.abs(d["t"] - F.col("t")) / HOUR, F.lit(0.0))
-            degrees = F.coalesce(F.abs(d["la"] - F.col("la")) + F.abs(_wrap(d["lo"] - F.col("lo"))) * F.cos(F.radians("la")), F.lit(0.0))
+            degrees = F.coalesce(F.abs(d["la"] - F.col("la")), F.lit(0.0)) + F.coalesce(F.abs(_wrap(d["lo"] - F.col("lo"))) * F.cos(F.radians(F.coalesce(F.col("la"), d["la"]))), F.lit(0.0))
+            gap = F.coalesce(F.abs(d["s"] - F.col("s")), F.lit(0.0))
             level = F.element_at(F.create_map(*[F.lit(z) for kv in LEVELS.items() for z in kv]), x["level"])
-            return F.struct(x["level"].alias("level"), d.alias("d"), (1.0 / (1.0 + hours / 6 + degrees * 2 + level)).alias("w"))
+            return F.struct(x["level"].alias("level"), d.alias("d"), (1.0 / (1.0 + hours / 6 + degrees * 2 + gap + level)).alias("w"))
 
         return F.transform(cand, w)
 

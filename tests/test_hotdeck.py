@@ -107,3 +107,19 @@ def test_donors_are_the_nearest_in_time(spark, random_rows):
             mark = next(m for m in got[row[0]].marks if m.field == "lat")
             assert set(mark.donors) == want
             assert got[row[0]].lat in {x[3] for x in donors if x[0] in want}
+
+
+def test_held_out_values_are_filled_better_than_by_the_median(spark):
+    """Readings and positions of the driver's table are hidden and filled again."""
+    v = spark.read.parquet("/root/testdata/sf0.01/vessel_points.parquet").select("obs_id", "MMSI", "timestamp", "lat", "lon", "sst", "sst_missing")
+    v = v.where("lat between -90 and 90 and lon between -180 and 180 and sst between -2.5 and 40 and not sst_missing and not (lat = 0 and lon = 0) and timestamp is not null").cache()
+    hide = F.pmod(F.xxhash64("obs_id"), F.lit(20))
+    gaps = v.withColumn("sst", F.when(hide != 0, F.col("sst"))).withColumn("lat", F.when(hide != 1, F.col("lat")))
+    f = fill_from_similar(gaps).select("obs_id", "fill.*").join(v.select("obs_id", "lat", "sst").toDF("obs_id", "true_lat", "true_sst"), "obs_id")
+    middle = v.agg(F.percentile("sst", 0.5).alias("sst"), F.percentile("lat", 0.5).alias("lat")).first()
+    err = lambda a, b: F.avg(F.abs(a - F.col(b)))
+    s = f.where(hide == 0).agg(err(F.col("value"), "true_sst").alias("own"), err(F.lit(middle.sst), "true_sst").alias("median")).first()
+    p = f.where(hide == 1).agg(err(F.col("lat"), "true_lat").alias("own"), err(F.lit(middle.lat), "true_lat").alias("median")).first()
+    print(s, p)
+    assert s.own < 0.6 * s.median
+    assert p.own < p.median
