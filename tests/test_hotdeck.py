@@ -109,6 +109,16 @@ def test_donors_are_the_nearest_in_time(spark, random_rows):
             assert got[row[0]].lat in {x[3] for x in donors if x[0] in want}
 
 
+def test_other_types(spark):
+    rows = [(1, "7", at(0), 1.0, 2.0, 3.0, False), (2, "7", at(1), None, 2.0, 3.0, False), (3, "8", None, None, None, None, None)]
+    df = frame(spark, rows).select(F.concat(F.lit("id"), "obs_id").alias("obs_id"), F.col("MMSI").cast("long").alias("MMSI"), F.col("timestamp").cast("timestamp").alias("timestamp"), F.col("lat").cast("float").alias("lat"), F.col("lon").cast("decimal(9,4)").alias("lon"), "sst", "sst_missing")
+    got = by_id(fill_from_similar(df))
+    assert (got["id2"].lat, list(got["id2"].marks[0].donors)) == (1.0, ["id1"])
+    assert [m.level for m in got["id3"].marks] == ["global"] * 4
+    daily = by_id(fill_from_similar(df.withColumn("timestamp", F.col("timestamp").cast("date"))))
+    assert daily["id2"].lat == 1.0
+
+
 def test_held_out_values_are_filled_better_than_by_the_median(spark):
     """Readings and positions of the driver's table are hidden and filled again."""
     v = spark.read.parquet("/root/testdata/sf0.01/vessel_points.parquet").select("obs_id", "MMSI", "timestamp", "lat", "lon", "sst", "sst_missing")
