@@ -52,13 +52,17 @@ def _exact_levels(bits: int, width: int) -> int:
     return max(0, bits - (width.bit_length() - 1))
 
 
-def sketch(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, width: int = WIDTH, depth: int = DEPTH, bits: int = BITS) -> DataFrame:
+def sketch(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, width: int = WIDTH, depth: int = DEPTH, bits: int = BITS, preaggregate: bool = True) -> DataFrame:
     """(by..., cell, v): the sketch of df's values per group. weight: a column of +1 / -1 (insert, delete).
 
     cell numbers (level, hash row, bucket): (level x depth + row) x width + bucket. Null and NaN values are left out;
     infinities are values. Equal codes are added up before anything is shuffled, which a linear sketch allows, so a hot
     group costs no hot task. Grouping columns may hold nulls (a group of its own). An empty table gives an empty sketch.
     Grouping columns can't be named as in RESERVED.
+
+    preaggregate: rounded readings have few codes, so adding these up first saves most of the work. Where nearly every
+    value is different, set it to false: rows then become cells where they are read, and only cells (at most as many as
+    a sketch has, per group and task) are shuffled. The sketch is the same either way.
     """
     if RESERVED & {b.lower() for b in by}:
         raise ValueError(f"by must not name one of {sorted(RESERVED)}")
@@ -66,10 +70,12 @@ def sketch(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None
     w = C.quoted(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     by_cols = [C.quoted(b) for b in by]
     given = df.where(x.isNotNull() & ~F.isnan(x)).select(*by_cols, x.alias("_x"), w.alias("w"))
-    codes = with_code(given, F.col("_x")).groupBy(*by_cols, "code").agg(F.sum("w").alias("w")).where("w <> 0")
+    codes = with_code(given, F.col("_x"))
+    if preaggregate:
+        codes = codes.groupBy(*by_cols, "code").agg(F.sum("w").alias("w")).where("w <> 0")
+        # codes are few bytes but many cells: spread them over all tasks before they are multiplied
+        codes = codes.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by_cols, F.expr("shiftright(code, 16)"))
     exact = _exact_levels(bits, width)
-    # codes are few bytes but many cells: spread them over all tasks before they are multiplied
-    codes = codes.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by_cols, F.expr("shiftright(code, 16)"))
     lv = codes.select(*by_cols, "w", "code", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("level"))
     rows = F.when(F.col("level") >= exact, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(depth - 1)))
     lv = lv.select(*by_cols, "w", "level", F.expr("shiftright(code, level)").alias("node"), F.explode(rows).alias("hash_row"))

@@ -57,7 +57,7 @@ def test_merging_equals_one_pass_and_deletes(spark):
     cells = lambda s: sorted(map(tuple, s.collect()))
     one = Q.sketch(df, "x")
     parts = [Q.sketch(df.where(F.col("part") == k), "x") for k in range(3)]
-    assert cells(Q.merge_sketches(parts)) == cells(one)
+    assert cells(Q.merge_sketches(parts)) == cells(one) == cells(Q.sketch(df, "x", preaggregate=False))
     assert cells(Q.drop_column_from_sketch(Q.sketch(df, "x", by=["part"]), "part")) == cells(one)
     signed = df.withColumn("w", F.lit(1)).unionByName(df.where("part = 2").withColumn("w", F.lit(-1)))
     assert cells(Q.sketch(signed, "x", weight="w")) == cells(Q.merge_sketches(parts[:2]))
