@@ -142,3 +142,22 @@ def test_stream_dedup_and_windows(spark, tmp_path):
     q.awaitTermination()
     r = spark.sql("select total, missing from wq").collect()
     assert [tuple(x) for x in r] == [(3, 1)]
+
+
+def test_split_and_reunite_is_the_identity(spark, tmp_path):
+    rows = [(dt.datetime(2012 + k % 5, 1 + k % 12, 1 + k % 28), k, None if k % 3 else float(k)) for k in range(200)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, k int, sst double")
+    jobs.split_by_year(df, str(tmp_path / "y"), format="parquet")
+    back = spark.read.parquet(str(tmp_path / "y")).select("timestamp", "k", "sst")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    q = quality.by_year(back, F.year("timestamp")).collect()
+    assert all(r.total == r.present + r.missing for r in q)
+    assert sum(r.total for r in q) == 200
+
+
+def test_union_keeps_all_rows(spark):
+    a = spark.createDataFrame([(1, 2)], "x int, y int")
+    b = spark.createDataFrame([(3, 4)] * 2, "y int, z int")
+    u = stratify.union_by_name(a, b)
+    assert u.columns == ["x", "y", "z"]
+    assert sorted(map(tuple, u.collect()), key=str) == sorted([(1, 2, None), (None, 3, 4), (None, 3, 4)], key=str)

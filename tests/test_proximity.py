@@ -64,10 +64,11 @@ def test_ties_repeats_and_extra_columns(spark):
     assert {(r.obs_a, r.obs_b) for r in P.pairs_within(df).collect()} == {(1, 2)}
 
 
-def test_other_limits(spark):
+@pytest.mark.parametrize(("km_", "minutes", "spread", "strip"), [(30, 90, 1, 0.1), (3000, 60, 90, 5.0), (0.05, 600, 0.001, 0.1), (300, 0, 10, 1.0)])
+def test_other_limits(spark, km_, minutes, spread, strip):
     r = random.Random(5)
-    rows = [(k, str(k % 7), T + dt.timedelta(minutes=r.randrange(600)), r.uniform(-1, 1), r.uniform(-1, 1)) for k in range(200)]
-    assert found(spark, rows, km=30, minutes=90) == brute(rows, 30, 90)
+    rows = [(k, str(k % 7), T + dt.timedelta(minutes=r.randrange(600)), r.uniform(-1, 1) * spread, r.uniform(-1, 1) * 2 * spread) for k in range(200)]
+    assert found(spark, rows, km=km_, minutes=minutes, strip=strip) == brute(rows, km_, minutes)
 
 
 def ring(name, pts):
