@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import columns as C
-from ..session import fresh_path
+from ..session import fresh_path, rebalanced
 
 
 class ChecksumMismatch(RuntimeError):
@@ -61,16 +61,9 @@ def compact(df: DataFrame, path: str | None = None, target_bytes: int = 256 << 2
     fs, final = _fs(spark, path)
     if fs.exists(final):
         raise FileExistsError(path)
-    keys = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled")
-    old = {k: spark.conf.get(k, None) for k in keys}
-    try:
-        for k, v in zip(keys, ("true", str(target_bytes), "true")):
-            spark.conf.set(k, v)
-        before = df.agg(multiset_checksum(df).alias("c")).first()["c"]
+    before = df.agg(multiset_checksum(df).alias("c")).first()["c"]
+    with rebalanced(spark, target_bytes):
         df.hint("rebalance", *[C.quoted(c) for c in layout]).write.parquet(staging)
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     written = spark.read.schema(df.schema).parquet(staging)
     after = written.agg(multiset_checksum(written).alias("c")).first()["c"]
     if tuple(before) != tuple(after):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import rebalanced
+
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """One header per part; columns are the union the table was read with."""
@@ -17,22 +19,17 @@ def write_by_year(df: DataFrame, path: str, time: str = "timestamp", format: str
     Rows are rebalanced by year first, so that each year gets files of good size, a hot year several tasks, and no task
     writes small files into every year.
     """
-    spark = df.sparkSession
-    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    old = spark.conf.get(key, None)
-    try:
-        spark.conf.set(key, str(target_bytes))
+    with rebalanced(df.sparkSession, target_bytes):
         w = df.withColumn("year", F.year(time)).hint("rebalance", "year").write.mode("overwrite").partitionBy("year").option("partitionOverwriteMode", "dynamic")
         if max_rows:
             w = w.option("maxRecordsPerFile", max_rows)
         w.option("header", "true").format(format).save(path)
-    finally:
-        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
-def write_grid(cells: DataFrame, path: str) -> None:
+def write_grid(cells: DataFrame, path: str, target_bytes: int = 128 << 20) -> None:
     """The grid table, partitioned by year and slice, so that a lookup of a year and slice prunes to its files."""
-    cells.hint("rebalance", "year", "ti").write.mode("overwrite").partitionBy("year", "ti").option("partitionOverwriteMode", "dynamic").parquet(path)
+    with rebalanced(cells.sparkSession, target_bytes):
+        cells.hint("rebalance", "year", "ti").write.mode("overwrite").partitionBy("year", "ti").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_document(doc: DataFrame, path: str) -> None:

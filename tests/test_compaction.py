@@ -15,7 +15,7 @@ def test_same_rows_fewer_files(spark, tmp_path):
     df.repartition(60).write.parquet(src)
     many = spark.read.parquet(src)
     done = K.compact(many, str(tmp_path / "few"))
-    assert done.files <= 2 < len(many.inputFiles())
+    assert done.files == 1 < len(many.inputFiles())
     assert done.rows == many.count()
     assert rows(spark.read.parquet(done.path)) == rows(many)
     with pytest.raises(FileExistsError):
@@ -56,7 +56,7 @@ def test_empty_maps_and_nested(spark):
 def test_layout_and_target(spark):
     df = spark.range(20_000).select((F.col("id") % 3).alias("k"), F.md5(F.col("id").cast("string")).alias("s"))
     done = K.compact(df, target_bytes=100_000, layout=("k",))
-    assert 3 <= done.files <= 30
+    assert 3 <= done.files <= 12  # about 850 kB are shuffled
     assert done.rows == 20_000
 
 
