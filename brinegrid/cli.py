@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import columns as C
 from .plans import fallback, jobs
+from .session import ship_package
 from .sources import discover, http_lookup, sinks
 
 
@@ -64,6 +65,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("brinegrid").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    ship_package(spark)
     try:
         if a.job == "combine":
             done = jobs.combine(spark, a.root, a.out, a.years, a.overwrite, a.dry_run)
