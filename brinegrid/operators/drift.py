@@ -159,14 +159,29 @@ def hemisphere_number(text: Column) -> Column:
     return F.when(letter.isin("S", "W"), -num).otherwise(num)
 
 
+def time_value(text: Column) -> Column:
+    """A timestamp without zone: whatever coerce_time reads, a day written YYYYMMDD, or seconds since 1970 in UTC (9 or 10 digits, perhaps with a fraction). Null for anything else."""
+    day = F.regexp_replace(text, r"^\s*(\d{4})(\d{2})(\d{2})\s*$", "$1-$2-$3")
+    seconds = F.regexp_extract(text, r"^\s*\+?(\d{9,10}(?:\.\d*)?)\s*$", 1).try_cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.when(seconds.isNotNull(), epoch).otherwise(C.coerce_time(day))
+
+
+#: How the values of a role are read.
+READ = {"time": time_value, "lat": hemisphere_number, "lon": hemisphere_number, "id": lambda text: text}
+
+
 def consistent_table(files: DataFrame, file_id: str = "file_id", content_col: str = "content", most_columns: int = 2000) -> DataFrame:
-    """All rows of all files in one table: file_id, row_no, time, lat, lon, id, then one column per other name, in order of name.
+    """All rows of all files in one table: file_id, row_no, time, lat, lon, id, then one column per name, in order of name.
 
     The four role columns are filled from whatever spelling a file uses (first match in priority order). A column with
     one type has that type; one with alternatives is a struct of typed branches (integer, decimal, text; the branch the
-    value has is set) plus `canonical`, the value in the widest type. lat and lon are numbers, also if written with a
-    hemisphere letter. Blank values are null. The number of distinct columns is bounded by most_columns; beyond it this
-    raises ValueError, as a table that wide needs a different form.
+    value has is set) plus `canonical`, the value in the widest type. The column of a name with a role is always such a
+    struct, with the text as written in `raw` and the value as the role reads it in `canonical`; it is null where the file
+    has no such value, and `time`, `lat` and `lon` as names of a file become `time_`, `lat_` and `lon_`. Times may be
+    written as seconds since 1970 or YYYYMMDD; lat and lon are numbers, also if written with a hemisphere letter. What a
+    role cannot read is null there and stays in `raw` and its branch. Blank values are null. The number of distinct
+    columns is bounded by most_columns; beyond it this raises ValueError, as a table that wide needs a different form.
     """
     names = fused_schema(files, content_col).select("name", "role", "alternatives", "kind").limit(most_columns + 1).collect()
     if len(names) > most_columns:
@@ -187,14 +202,16 @@ def consistent_table(files: DataFrame, file_id: str = "file_id", content_col: st
     long = files.select(C.quoted(file_id), C.quoted(content_col)).mapInArrow(run, schema)
     cell = lambda n: F.col("cells")[n]
     role = {r: F.coalesce(*[cell(n) for n in ns]) for r, ns in C.ROLES.items()}
-    out = [C.quoted(file_id), F.col("row_no"), C.coerce_time(role["time"]).alias("time"), hemisphere_number(role["lat"]).alias("lat"), hemisphere_number(role["lon"]).alias("lon"), role["id"].alias("id")]
+    out = [C.quoted(file_id), F.col("row_no"), *[READ[r](v).alias(r) for r, v in role.items()]]
     taken = [file_id, "row_no", "time", "lat", "lon", "id"]
     spark_type = {"integer": "bigint", "decimal": "double", "text": "string"}
-    for n in sorted((n for n in names if n["role"] is None), key=lambda n: n["name"]):
+    for n in sorted(names, key=lambda n: n["name"]):
         v = cell(n["name"])
-        if len(n["alternatives"]) > 1:
-            tag = F.when(v.rlike(f"^{INTEGER.pattern}$"), "integer").when(v.rlike(f"^{DECIMAL.pattern}$"), "decimal").otherwise("text")
-            branches = [F.when(tag == a, v.try_cast(spark_type[a])).alias(a) for a in n["alternatives"]]
+        tag = F.when(v.rlike(f"^{INTEGER.pattern}$"), "integer").when(v.rlike(f"^{DECIMAL.pattern}$"), "decimal").otherwise("text")
+        branches = [F.when(tag == a, v.try_cast(spark_type[a])).alias(a) for a in n["alternatives"]]
+        if n["role"]:
+            v = F.when(v.isNotNull(), F.struct(v.alias("raw"), *branches, READ[n["role"]](v).alias("canonical")))
+        elif len(n["alternatives"]) > 1:
             v = F.struct(*branches, v.try_cast(spark_type[n["kind"]]).alias("canonical"))
         else:
             v = v.try_cast(spark_type[n["kind"]])

@@ -104,6 +104,18 @@ def test_fused_schema_and_table(spark):
     assert (t[1].x.decimal, t[2].x.text, t[1].z, t[0].z) == (7.5, "oops", "q", None)
 
 
+def test_role_columns_keep_every_value(spark):
+    df = files(spark, ["time,lat,mmsi\n1337178420,bad,n1\n20120516,5,3\n1337178420.5,2N,1 hulls\nsoon,,\n20121399,1.5,3.0\n", "date\n2012-05-16\n"])
+    t = {(r.file_id, r.row_no): r for r in D.consistent_table(df).collect()}
+    first = dt.datetime(2012, 5, 16, 14, 27)
+    assert [t[0, k].time for k in range(1, 6)] == [first, dt.datetime(2012, 5, 16), first + dt.timedelta(seconds=0.5), None, None]
+    assert (t[0, 1].time_.raw, t[0, 1].time_.integer, t[0, 1].time_.canonical) == ("1337178420", 1337178420, first)
+    assert (t[0, 4].time_.raw, t[0, 4].time_.text, t[0, 5].time_.raw) == ("soon", "soon", "20121399")
+    assert (t[0, 1].lat, t[0, 1].lat_.text, t[0, 3].lat_.raw, t[0, 3].lat_.canonical, t[0, 4].lat_) == (None, "bad", "2N", 2.0, None)
+    assert [(t[0, k].mmsi.integer, t[0, k].mmsi.decimal, t[0, k].mmsi.text, t[0, k].id) for k in (1, 2, 3, 5)] == [(None, None, "n1", "n1"), (3, None, None, "3"), (None, None, "1 hulls", "1 hulls"), (None, 3.0, None, "3.0")]
+    assert (t[1, 1].time_, t[1, 1].date.text, t[1, 1].time) == (None, "2012-05-16", dt.datetime(2012, 5, 16))
+
+
 def test_table_of_nothing(spark):
     assert D.consistent_table(files(spark, [])).count() == 0
     assert D.consistent_table(files(spark, [None, "", "a,b\n"])).count() == 0
