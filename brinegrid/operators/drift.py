@@ -174,7 +174,9 @@ READ = {"time": time_value, "lat": hemisphere_number, "lon": hemisphere_number,
 def consistent_table(files: DataFrame, file_id: str = "file_id", content_col: str = "content", most_columns: int = 2000) -> DataFrame:
     """All rows of all files in one table: file_id, row_no, time, lat, lon, id, then one column per name, in order of name.
 
-    The four role columns are filled from whatever spelling a file uses (first match in priority order). A column with
+    The four role columns are filled from whatever spelling a file uses (the first in priority order whose value the role
+    can read). If a name occurs twice in a header its first value counts, and the last column, `repeats`, maps the name to
+    the others (null where there are none); roles read those last. A column with
     one type has that type; one with alternatives is a struct of typed branches (integer, decimal, text; the branch the
     value has is set) plus `canonical`, the value in the widest type. The column of a name with a role is always such a
     struct, with the text as written in `raw` and the value as the role reads it in `canonical`; it is null where the file
@@ -186,7 +188,13 @@ def consistent_table(files: DataFrame, file_id: str = "file_id", content_col: st
     names = fused_schema(files, content_col).select("name", "role", "alternatives", "kind").limit(most_columns + 1).collect()
     if len(names) > most_columns:
         raise ValueError(f"more than {most_columns} distinct column names")
-    schema = T.StructType([files.schema[file_id], T.StructField("row_no", T.LongType()), T.StructField("cells", T.MapType(T.StringType(), T.StringType()))])
+    schema = T.StructType([files.schema[file_id], T.StructField("row_no", T.LongType()), T.StructField("cells", T.MapType(T.StringType(), T.StringType())), T.StructField("repeats", T.MapType(T.StringType(), T.ArrayType(T.StringType())))])
+
+    def repeats_of(cells: list[tuple[str, str]]) -> list[tuple[str, list[str]]] | None:
+        more: dict[str, list[str]] = {}
+        for n, v in cells:
+            more.setdefault(n, []).append(v)
+        return [(n, v[1:]) for n, v in more.items() if len(v) > 1] or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,14 +203,23 @@ def consistent_table(files: DataFrame, file_id: str = "file_id", content_col: st
                 if len(rows) < 2:
                     continue
                 head = [plain_name(x) for x in rows[0]]
-                cells = [[(n, v.strip()) for n, v in reversed(list(zip(head, r))) if v.strip()] for r in rows[1:]]
-                m = pa.array([list(dict(c).items()) for c in cells], pa.map_(pa.string(), pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * len(cells), b.column(0).type), pa.array(range(1, len(cells) + 1), pa.int64()), m], names=schema.names)
+                cells = [[(n, v.strip()) for n, v in zip(head, r) if v.strip()] for r in rows[1:]]
+                m = pa.array([list(dict(reversed(c)).items()) for c in cells], pa.map_(pa.string(), pa.string()))
+                twice = len(set(head)) < len(head)
+                more = pa.array([repeats_of(c) if twice else None for c in cells], pa.map_(pa.string(), pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * len(cells), b.column(0).type), pa.array(range(1, len(cells) + 1), pa.int64()), m, more], names=schema.names)
 
     long = files.select(C.quoted(file_id), C.quoted(content_col)).mapInArrow(run, schema)
     cell = lambda n: F.col("cells")[n]
-    role = {r: F.coalesce(*[cell(n) for n in ns]) for r, ns in C.ROLES.items()}
-    out = [C.quoted(file_id), F.col("row_no"), *[READ[r](v).alias(r) for r, v in role.items()]]
+    again = lambda n, read: F.filter(F.transform(F.col("repeats")[n], read), lambda v: v.isNotNull())
+    seen = {n["name"] for n in names}
+
+    def role(r: str) -> Column:
+        own = [n for n in C.ROLES[r] if n in seen]
+        more = F.when(F.col("repeats").isNotNull(), F.coalesce(*[F.get(again(n, READ[r]), F.lit(0)) for n in own], READ[r](F.lit(None).cast("string"))))
+        return F.coalesce(*[READ[r](cell(n)) for n in own], more)
+
+    out = [C.quoted(file_id), F.col("row_no"), *[role(r).alias(r) for r in C.ROLES]]
     taken = [file_id, "row_no", "time", "lat", "lon", "id"]
     spark_type = {"integer": "bigint", "decimal": "double", "text": "string"}
     for n in sorted(names, key=lambda n: n["name"]):
@@ -218,4 +235,4 @@ def consistent_table(files: DataFrame, file_id: str = "file_id", content_col: st
         name = C.free_name(taken, n["name"] or "unnamed")
         taken.append(name)
         out.append(v.alias(name))
-    return long.select(*out)
+    return long.select(*out, F.col("repeats").alias(C.free_name(taken, "repeats")))

@@ -116,6 +116,18 @@ def test_role_columns_keep_every_value(spark):
     assert (t[1, 1].time_, t[1, 1].date.text, t[1, 1].time) == (None, "2012-05-16", dt.datetime(2012, 5, 16))
 
 
+def test_two_columns_of_a_role(spark):
+    df = files(spark, ["latitude,cell_ll_lat,mmsi,mmsi_present,time,date\n23.0,-31.38,1,3,1337178420,2012-05-16\nbad,4,,5,soon,2012-05-17\n", "lat,LAT,lat,x,X\n1,2,3,7,8\nbad,,4,,9\nbad,,,,\n"])
+    t = {(r.file_id, r.row_no): r for r in D.consistent_table(df).collect()}
+    a, b = t[0, 1], t[0, 2]
+    assert (a.lat, a.latitude.canonical, a.cell_ll_lat.canonical, a.id, a.mmsi_present.integer) == (23.0, 23.0, -31.38, "1", 3)
+    assert (a.time, a.date.canonical) == (dt.datetime(2012, 5, 16, 14, 27), dt.datetime(2012, 5, 16))
+    assert (b.lat, b.latitude.raw, b.id, b.time, b.time_.raw, b.repeats) == (4.0, "bad", "5", dt.datetime(2012, 5, 17), "soon", None)
+    assert (t[1, 1].lat, t[1, 1].repeats, t[1, 1].x) == (1.0, {"lat": ["2", "3"], "x": ["8"]}, 7)
+    assert (t[1, 2].lat, t[1, 2].repeats, t[1, 2].x) == (4.0, {"lat": ["4"]}, 9)
+    assert (t[1, 3].lat, t[1, 3].repeats) == (None, None)
+
+
 def test_table_of_nothing(spark):
     assert D.consistent_table(files(spark, [])).count() == 0
     assert D.consistent_table(files(spark, [None, "", "a,b\n"])).count() == 0
