@@ -33,12 +33,13 @@ def _wrap(x: Column) -> Column:
     return F.pmod(x + 180.0, F.lit(360.0)) - 180.0
 
 
-def _nearest(rows: DataFrame, block_hot: list, width: int, kinds: dict[str, Column]) -> DataFrame:
+def _nearest(rows: DataFrame, block_hot: list | bool, width: int, kinds: dict[str, Column], wanted: Column | None = None) -> DataFrame:
     """rows: block, t, o, la, lo, s, f, rec. For each row with rec: per kind the last donor before and the first after it in its block.
 
-    Ties in time are ordered by o. Returns rec and columns {kind}_p, {kind}_n.
+    Ties in time are ordered by o. Returns rec and columns {kind}_p, {kind}_n. block_hot True splits all blocks; wanted
+    then tells the buckets that hold a rec, the others being needed for their summary only.
     """
-    hot = F.col("block").isin(block_hot) if block_hot else F.lit(False)
+    hot = F.lit(True) if block_hot is True else F.col("block").isin(block_hot) if block_hot else F.lit(False)
     rows = rows.withColumn("bucket", F.when(hot, F.floor(F.col("t") / width)).otherwise(F.lit(0).cast("bigint")))
     if block_hot:
         d = _donor()
@@ -52,7 +53,7 @@ def _nearest(rows: DataFrame, block_hot: list, width: int, kinds: dict[str, Colu
         carried = [F.last(f"last_{n}", True).over(by) for n in kinds] + [F.last(f"first_{n}", True).over(yb) for n in kinds]
         extra = ends.select("block", "bucket", F.array(*carried).alias("ds")).select("block", "bucket", F.explode(F.array_distinct("ds")).alias("d"))
         extra = extra.where("d is not null").select("block", "d.*", "bucket").withColumn("rec", F.lit(None).cast(rows.schema["rec"].dataType))
-        rows = rows.unionByName(extra)
+        rows = (rows if wanted is None else rows.where(wanted)).unionByName(extra if wanted is None else extra.where(wanted))
     fwd = Window.partitionBy("block", "bucket").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, -1)
     bwd = Window.partitionBy("block", "bucket").orderBy(F.desc("t"), F.desc("o")).rowsBetween(Window.unboundedPreceding, -1)
     out = rows
@@ -61,6 +62,70 @@ def _nearest(rows: DataFrame, block_hot: list, width: int, kinds: dict[str, Colu
     return out.select("rec", *[F.last(f"{n}_k", True).over(w).alias(f"{n}_{s}") for s, w in (("p", fwd), ("n", bwd)) for n in kinds]).where("rec is not null")
 
 
+#: Millionths of a degree in a bucket when a block is ordered by a known field; where donors that lack the field stand.
+STEP, LAST = 250_000, 10**12
+#: Blocks or buckets that are asked for are collected by hash: so many at most.
+SLOTS = 4096
+AXES = ("la", "lo", "s")
+
+
+def _slot(*keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+
+
+def _timeless(base: DataFrame, seekers: DataFrame, nothing: Column, keep: list[str]) -> DataFrame:
+    """Candidates (cp, cs, cf) for rows without time: the donors of the vessel, then of the cell, then of all rows, that stand next to the row
+    by a field it has (latitude, else longitude, else value). A row with nothing but a vessel stands at its vessel's median latitude.
+    """
+    has = {"p": F.col("la").isNotNull() & F.col("lo").isNotNull(), "s": F.col("s").isNotNull(), "f": F.col("f").isNotNull()}
+    cell = (F.floor(F.least(F.col("la"), F.lit(89.999999))) + 90) * 360 + F.floor(F.col("lo")) + 180
+    scaled = lambda c: F.round(c * 1_000_000).cast("bigint")
+    axis = F.when(F.col("la").isNotNull(), "la").when(F.col("lo").isNotNull(), "lo").when(has["s"], "s")
+    own = F.coalesce(*AXES)
+    # block by axis, and the seekers that have one
+    levels = {
+        "vessel": (lambda a: F.when(F.col("v").isNotNull(), F.xxhash64("v", a)), F.coalesce(axis, F.lit("la"))),
+        "place": (lambda a: F.when(has["p"] & (a == "la"), cell), axis),
+        "similar": (lambda a: F.when(a.isNotNull(), F.xxhash64(a)), axis),
+    }
+    bare = seekers.where(axis.isNull() & F.col("v").isNotNull())
+    slots = [r[0] for r in bare.select(_slot(F.col("v"))).distinct().collect()]
+    middle = base.where(_slot(F.col("v")).isin(slots) & F.col("v").isNotNull()).groupBy(F.col("v").alias("vm")).agg(F.percentile_approx("la", 0.5, 10_000).alias("middle"))
+    if slots:
+        todo = seekers.join(middle, F.col("v") == F.col("vm"), "left").drop("vm")
+    else:
+        todo = seekers.withColumn("middle", F.lit(None).cast("double"))
+    todo = todo.select(*keep, "middle", *[nothing.alias(f"c{n}") for n in "psf"])
+    for level, (block, a) in levels.items():
+        lacks = F.lit(False)
+        for n, k in has.items():
+            lacks = lacks | (~k & (F.size(f"c{n}") == 0))
+        x = F.coalesce(scaled(own), scaled(F.col("middle")), F.lit(LAST))
+        asks = todo.withColumns({"block": F.when(lacks, block(a)), "t_": x})
+        bucket = F.floor(F.col("t_") / STEP)
+        key = (lambda: _slot(F.col("block"))) if level != "similar" else (lambda: _slot(F.col("block"), F.floor(F.col("t") / STEP)))
+        sought = asks.where("block is not null").select((_slot(F.col("block")) if level != "similar" else _slot(F.col("block"), bucket)).alias("k"), a.alias("a")).groupBy("k", "a").count().select("k", "a").collect()
+        if not sought:
+            continue
+        axes = sorted({r["a"] for r in sought})
+        among = key().isin(sorted({r["k"] for r in sought}))
+        held = F.explode(F.array(*[F.struct(F.lit(n).alias("a"), F.coalesce(scaled(F.col(n)), F.lit(LAST)).alias("x")) for n in axes]))
+        givers = base.where(has["p"] | has["s"] | has["f"]).select("*", held.alias("h")).withColumn("block", block(F.col("h.a"))).where("block is not null")
+        givers = givers.select("block", F.col("h.x").alias("t"), "o", "la", "lo", "s", "f")
+        if level != "similar":
+            givers = givers.where(among)
+        rec = F.struct(*keep, "middle", "cp", "cs", "cf")
+        none = [F.lit(None).cast(t).alias(n) for n, t in (("la", "double"), ("lo", "double"), ("s", "double"), ("f", "boolean"))]
+        seek = asks.where("block is not null").select("block", F.col("t_").alias("t"), "o", *none, rec.alias("rec"))
+        both = givers.withColumn("rec", F.lit(None).cast(seek.schema["rec"].dataType)).unionByName(seek)
+        wanted = None if level != "similar" else _slot(F.col("block"), F.col("bucket")).isin(sorted({r["k"] for r in sought}))
+        got = _nearest(both, True, STEP, has, wanted)
+        got = got.select("rec.*", *[_found(level, n).alias(f"n{n}") for n in "psf"])
+        got = got.select(*keep, "middle", *[F.when(F.size(f"c{n}") == 0, F.col(f"n{n}")).otherwise(F.col(f"c{n}")).alias(f"c{n}") for n in "psf"])
+        todo = got.unionByName(asks.where("block is null").drop("block", "t_"))
+    return todo.drop("middle")
+
+
 def _found(level: str, name: str) -> Column:
     """The donors of one kind as an array of (level, donor)."""
     both = F.filter(F.array(f"{name}_p", f"{name}_n"), lambda x: x.isNotNull())
@@ -107,7 +172,8 @@ def fill_from_similar(
     has no usable value at all, `none` (the value stays null). donors are the ids of the records copied from.
 
     Usable: lat in -90..90, lon in -180..360 and not both 0; value within value_range and not flagged missing; flag not
-    null. Null and NaN are not usable. Rows with a null time or blank vessel are filled from what else is known of them.
+    null. Null and NaN are not usable. Rows with a null time or blank vessel are filled from what else is known of them:
+    without time, donors are those of the vessel, else of the place, else of all rows (`similar`), next to the row by a known field.
     Repeated rows are filled each for itself and may serve each other as donors; ties in time are ordered by id, tied
     weights of the flag give false. An empty table gives an empty result. A column named `fill` is kept; the new one is
     then `fill_`. Longitudes are
@@ -141,7 +207,7 @@ def fill_from_similar(
     # one row: medians for what has no donor at all, the span of days, and how many rows each blocking has
     g = base.agg(
         *[F.percentile_approx(x, 0.5).alias(x) for x in ("la", "lo", "s")],
-        (F.count_if("f") * 2 > F.count("f")).alias("f"), F.count("f").alias("nf"), F.min(day).alias("d0"), F.max(day).alias("d1"), F.count_if(by_vessel).alias("nv"), F.count_if(placed).alias("np"),
+        (F.count_if("f") * 2 > F.count("f")).alias("f"), F.count("f").alias("nf"), F.min(day).alias("d0"), F.max(day).alias("d1"), F.count_if(by_vessel).alias("nv"), F.count_if(placed).alias("np"), F.count_if(need & F.col("t").isNull()).alias("late"),
     ).first()
     # rows that a step has nothing for go through it all the same, spread by their id: so no step is computed twice
     apart = -1 - F.pmod(F.xxhash64("o"), F.lit(1_000_000))
@@ -149,7 +215,8 @@ def fill_from_similar(
 
     # vessel: all rows of the vessel, by time
     hot_v = heavy_keys(base.where(by_vessel), F.col("v"), hot_share, hot_rows, g["nv"])
-    rows = base.where(by_vessel | need).select(F.when(by_vessel, F.col("v")).otherwise(apart).alias("block"), F.when(by_vessel, F.col("t")).alias("t"), "o", *[F.when(by_vessel, F.col(c)).alias(c) for c in ("la", "lo", "s", "f")], F.when(need, rec).alias("rec"))
+    late, need_t = base.where(need & F.col("t").isNull()), need & F.col("t").isNotNull()
+    rows = base.where(by_vessel | need_t).select(F.when(by_vessel, F.col("v")).otherwise(apart).alias("block"), F.when(by_vessel, F.col("t")).alias("t"), "o", *[F.when(by_vessel, F.col(c)).alias(c) for c in ("la", "lo", "s", "f")], F.when(need_t, rec).alias("rec"))
     a = _nearest(rows, hot_v, bucket_hours * HOUR, {"p": pos, "s": has_s, "f": has_f})
     todo = a.select("rec.*", *[_found("vessel", n).alias(f"n{n}") for n in "psf"]).select(*keep, *[F.col(f"n{n}").alias(f"c{n}") for n in "psf"])
 
@@ -182,11 +249,14 @@ def fill_from_similar(
         c = todo.withColumns({"_b": F.when(asks, band).otherwise(apart), "_d": F.when(asks, day).otherwise(0)}).join(near, (F.col("_b") == F.col("_band")) & (F.col("_d") == F.col("_day")), "left")
         todo = c.withColumn("ns", F.coalesce("ns", nothing)).select(*keep, *[F.when(F.size(f"c{n}") == 0, F.col("ns")).otherwise(F.col(f"c{n}")).alias(f"c{n}") for n in "psf"])
 
+    if g["late"]:
+        todo = todo.unionByName(_timeless(base, late, nothing, keep))
+
     # global: one row of medians, for what has no donor at all
     def weighed(cand: Column) -> Column:
         def w(x):
             d = x["d"]
-            hours = F.coalesce(F.abs(d["t"] - F.col("t")) / HOUR, F.lit(0.0))
+            hours = F.coalesce(F.abs(d["t"] - F.col("t")) / HOUR, F.when(d["t"] == LAST, 10_000.0), F.lit(0.0))  # LAST: not known to be near
             degrees = F.coalesce(F.abs(d["la"] - F.col("la")), F.lit(0.0)) + F.coalesce(F.abs(_wrap(d["lo"] - F.col("lo"))) * F.cos(F.radians(F.coalesce(F.col("la"), d["la"]))), F.lit(0.0))
             gap = F.coalesce(F.abs(d["s"] - F.col("s")), F.lit(0.0))
             level = F.element_at(F.create_map(*[F.lit(z) for kv in LEVELS.items() for z in kv]), x["level"])

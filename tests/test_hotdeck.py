@@ -81,6 +81,21 @@ def test_repeated_rows_are_kept(spark):
     assert out.where("obs_id = 2 and fill.lat = 1.0").count() == 2
 
 
+def test_rows_without_time_take_donors_too(spark):
+    far = [(k, "far", at(k), 60.0 + k / 100, -100.0, 2.0 + k / 100, False) for k in range(100, 140)]
+    own = [(1, "7", at(0), 10.0, 20.0, 15.0, False), (2, "7", at(1), 11.0, 21.0, 16.0, False), (3, "7", None, 12.0, 22.0, 17.0, False)]
+    late = [(11, "7", None, None, 21.1, 16.1, False), (12, "7", None, None, None, None, None), (13, None, None, 10.1, 20.1, None, None), (14, "x", None, None, None, 15.2, False), (15, "y", None, 60.9, None, None, None), (16, "z", None, None, None, None, False)]
+    got = by_id(fill_from_similar(frame(spark, far + own + late)))
+    marks = {k: {m.field: (m.level, sorted(m.donors)) for m in got[k].marks} for k in range(11, 17)}
+    assert (marks[11], got[11].lat) == ({"lat": ("vessel", [2, 3])}, 11.0)
+    assert {l for l, _ in marks[12].values()} == {"vessel"}
+    assert (10.0 <= got[12].lat <= 12.0, 15.0 <= got[12].value <= 17.0, got[12].flag) == (True, True, False)
+    assert (marks[13]["sst"][0], got[13].value, got[13].flag) == ("place", 15.0, False)
+    assert (marks[14]["lat"], got[14].lat) == (("similar", [1, 2]), 10.0)
+    assert marks[15]["sst"][0] == "similar" and got[15].value < 4
+    assert {l for l, _ in marks[16].values()} == {"global"}
+
+
 @pytest.fixture(scope="module")
 def random_rows():
     r = random.Random(3)
