@@ -56,6 +56,20 @@ def clean_floats(df: DataFrame) -> DataFrame:
     return df.select(*[nan_to_null(quoted(f.name)).alias(f.name) if isinstance(f.dataType, kinds) else quoted(f.name) for f in df.schema])
 
 
+def tell_nan(df: DataFrame, suffix: str = "_is_nan") -> DataFrame:
+    """NaN becomes null in every floating column, with a column beside it that tells NaN from null (never null itself)."""
+    out, taken = [], list(df.columns)
+    for f in df.schema:
+        c = quoted(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            name = free_name(taken, f.name + suffix)
+            taken.append(name)
+            out += [nan_to_null(c).alias(f.name), F.coalesce(F.isnan(c), F.lit(False)).alias(name)]
+        else:
+            out.append(c)
+    return df.select(*out)
+
+
 def coerce_time(c: Column) -> Column:
     """Timestamp without zone; null where the text is no timestamp."""
     return c.try_cast("timestamp_ntz")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import columns as C
-from ..session import fresh_path, rebalanced
+from ..session import fresh_path, hadoop_path, rebalanced
 
 
 class ChecksumMismatch(RuntimeError):
@@ -41,24 +41,19 @@ class Compaction:
     checksum: tuple
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def compact(df: DataFrame, path: str | None = None, target_bytes: int = 256 << 20, layout: tuple[str, ...] = ()) -> Compaction:
     """Write all rows of df, repeats included, to path in files of about target_bytes of shuffled data each.
 
     The REBALANCE hint shuffles the rows evenly (or by the layout columns, then split where those are skewed); AQE merges
     or splits the output partitions by their measured sizes. Rows go to a staging folder first; its checksum is compared
     with the source's and only then is it renamed to path. path must not exist yet. Without path, a new folder
-    in the shared folder is used. An empty table gives one empty file. Column names that differ only by case raise.
+    in the shared folder is used, which is deleted when the driver ends. The source is read once for its checksum and once to be
+    written: a checksum observed in passing would count the tasks twice that a lost executor makes run again. An empty table gives one empty file. Column names that differ only by case raise.
     """
     spark = df.sparkSession
     path = path or fresh_path(spark, "compacted")
     staging = path.rstrip("/") + "._staging"
-    fs, final = _fs(spark, path)
+    fs, final = hadoop_path(spark, path)
     if fs.exists(final):
         raise FileExistsError(path)
     before = df.agg(multiset_checksum(df).alias("c")).first()["c"]
@@ -67,9 +62,9 @@ def compact(df: DataFrame, path: str | None = None, target_bytes: int = 256 << 2
     written = spark.read.schema(df.schema).parquet(staging)
     after = written.agg(multiset_checksum(written).alias("c")).first()["c"]
     if tuple(before) != tuple(after):
-        fs.delete(_fs(spark, staging)[1], True)
+        fs.delete(hadoop_path(spark, staging)[1], True)
         raise ChecksumMismatch(f"{tuple(before)} read, {tuple(after)} written")
-    if not fs.rename(_fs(spark, staging)[1], final):
+    if not fs.rename(hadoop_path(spark, staging)[1], final):
         raise OSError(f"{staging} could not be renamed to {path}")
     return Compaction(path, after["n"], len(spark.read.parquet(path).inputFiles()), tuple(after))
 

@@ -3,7 +3,9 @@
 A ray is sent from each point along its parallel of latitude; the point is inside a region if the ray crosses the
 region's edges an odd number of times. Edges are binned into latitude strips, so that a point meets only edges of its
 own strip. For pairs of near points, the region of a point is a box that holds the whole disc around it; the exact
-great-circle distance is checked on what the parity lets through.
+great-circle distance is checked on what the parity lets through. Boundaries are decided explicitly: an edge counts for
+its lower end only, points on an edge are told by on_edge, and boxes are drawn a little larger than their discs, so that
+no point of a disc lies on its box.
 """
 
 from __future__ import annotations
@@ -41,32 +43,60 @@ def on_edge(py: Column, px: Column, y1: Column, x1: Column, y2: Column, x2: Colu
     return (side == 0) & py.between(F.least(y1, y2), F.greatest(y1, y2)) & px.between(F.least(x1, x2), F.greatest(x1, x2))
 
 
-def containing_regions(points: DataFrame, edges: DataFrame, point_id: str, region_id: str = "region_id", lat: str = "lat", lon: str = "lon", strip: float = 0.5, boundary: bool = True) -> DataFrame:
+#: Edges of regions are sent to every task up to this number (about 100 bytes each); beyond it points and edges are shuffled.
+FEW_EDGES = 200_000
+
+
+def _binned_edges(edges: DataFrame, region_id: str, strip: float, cell: float) -> DataFrame:
+    """(r, e, lat1, lon1, lat2, lon2, strip, cell): every edge in each latitude strip it touches and each longitude cell from
+    which a ray can meet it: from its region's west end to its own east end. Regions that run across the date line are
+    repeated a whole turn away, so that points between -180 and 180 meet them."""
+    e = edges.select(C.quoted(region_id).alias("r"), *[C.quoted(c).cast("double").alias(c) for c in ("lat1", "lon1", "lat2", "lon2")])
+    e = e.where("r is not null and lat1 is not null and lon1 is not null and lat2 is not null and lon2 is not null and not isnan(lat1) and not isnan(lon1) and not isnan(lat2) and not isnan(lon2)")
+    e = e.distinct().withColumn("e", F.xxhash64("lat1", "lon1", "lat2", "lon2"))
+    ends = e.groupBy(F.col("r").alias("er")).agg(F.min(F.least("lon1", "lon2")).alias("west"), F.max(F.greatest("lon1", "lon2")).alias("east"))
+    # turns that bring some of the region between -180 and 180
+    turns = F.sequence(F.ceil((F.lit(-180.0) - F.col("east")) / 360), F.floor((F.lit(180.0) - F.col("west")) / 360))
+    ends = ends.select("er", "west", F.explode(turns).alias("turn"))
+    e = e.join(ends, F.col("r") == F.col("er")).withColumns({c: F.col(c) + F.col("turn") * 360 for c in ("lon1", "lon2", "west")})
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    e = e.withColumn("strip", F.explode(F.sequence(F.floor(low / strip), F.floor(high / strip))))
+    # an edge wholly west of -180 is met by no ray
+    first = F.floor(F.greatest("west", F.lit(-180.0)) / cell)
+    last = F.floor(F.least(F.greatest("lon1", "lon2"), F.lit(180.0)) / cell)
+    e = e.where(F.greatest("lon1", "lon2") >= -180).withColumn("cell", F.explode(F.sequence(first, last)))
+    return e.drop("er", "west", "turn")
+
+
+def containing_regions(points: DataFrame, edges: DataFrame, point_id: str, region_id: str = "region_id", lat: str = "lat", lon: str = "lon", strip: float = 0.5, boundary: bool = True, cell: float = 5.0, few_edges: int = FEW_EDGES) -> DataFrame:
     """(point_id, region_id), once for each point and region that contains it.
 
     edges: region_id, lat1, lon1, lat2, lon2, one row per edge of the region's closed rings, in any order; holes are
     further rings. Longitudes of a region run on across the date line (179 -> 181), so edges are never cut there; points
-    are tried at lon, lon - 360 and lon + 360. Points on an edge or vertex belong to the region if boundary is true,
+    may have any longitude. Points on an edge or vertex belong to the region if boundary is true,
     else they don't. Points with null or NaN position, edges with a null end, and null ids take no part; repeated points
     (same id and place) and repeated edges count once. Empty inputs give an empty result. Extra columns are ignored.
 
-    A strip bounds what is joined; hot strips are split by AQE's skew join. Rays are counted as they are joined and
-    pre-aggregated by point and region before the shuffle.
+    Edges are binned by latitude strip and longitude cell. They are sent to all tasks if, counted, they are no more than
+    few_edges rows (points are then not shuffled); else points and edges meet by a shuffle join on their bin, of which AQE
+    splits the hot ones. Rays that meet an edge are grouped by point and region, pre-aggregated before the shuffle.
     """
-    p = points.select(C.quoted(point_id).alias("p"), C.quoted(lat).cast("double").alias("py"), C.quoted(lon).cast("double").alias("px0"))
-    p = p.where("p is not null and not isnan(py) and not isnan(px0)").distinct()
-    p = p.withColumn("px", F.explode(F.array(F.col("px0"), F.col("px0") - 360, F.col("px0") + 360)))
-    p = p.withColumn("strip", F.floor(F.col("py") / strip))
-    e = edges.select(C.quoted(region_id).alias("r"), *[C.quoted(c).cast("double").alias(c) for c in ("lat1", "lon1", "lat2", "lon2")])
-    e = e.where("r is not null and lat1 is not null and lon1 is not null and lat2 is not null and lon2 is not null").distinct()
-    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
-    e = e.withColumn("strip", F.explode(F.sequence(F.floor(low / strip), F.floor(high / strip))))
-    args = [F.col(x) for x in ("py", "px", "lat1", "lon1", "lat2", "lon2")]
+    x = C.quoted(lon).cast("double")
+    p = points.select(C.quoted(point_id).alias("p"), C.quoted(lat).cast("double").alias("py"), F.when(x >= 180, x - 360 * F.floor((x + 180) / 360)).when(x < -180, x - 360 * F.floor((x + 180) / 360)).otherwise(x).alias("px"))
+    p = p.where("p is not null and not isnan(py) and not isnan(px)")
+    p = p.withColumns({"ps": F.floor(F.col("py") / strip), "pc": F.floor(F.col("px") / cell)})
+    e = _binned_edges(edges, region_id, strip, cell)
+    if e.limit(few_edges + 1).count() <= few_edges:
+        e = F.broadcast(e)
+    args = [F.col(c) for c in ("py", "px", "lat1", "lon1", "lat2", "lon2")]
     # an edge wholly west of the point is neither crossed nor touched
-    met = p.join(e, (p["strip"] == e["strip"]) & (F.greatest("lon1", "lon2") >= F.col("px")))
-    rays = met.groupBy("p", "py", "px", "r").agg(F.sum(crossing(*args)).alias("n"), F.max(on_edge(*args).cast("int")).alias("on"))
+    met = p.join(e, (F.col("ps") == F.col("strip")) & (F.col("pc") == F.col("cell")) & (F.greatest("lon1", "lon2") >= F.col("px")))
+    met = met.withColumns({"n": crossing(*args), "touch": on_edge(*args).cast("int")}).where("n = 1 or touch = 1")
+    # a repeated point meets an edge again: edges are counted once each
+    once = met.groupBy("p", "py", "px", "r", "e").agg(F.max("n").alias("n"), F.max("touch").alias("touch"))
+    rays = once.groupBy("p", "py", "px", "r").agg(F.sum("n").alias("n"), F.max("touch").alias("touch"))
     inside = F.col("n") % 2 == 1
-    ok = (inside | (F.col("on") == 1)) if boundary else (inside & (F.col("on") == 0))
+    ok = (inside | (F.col("touch") == 1)) if boundary else (inside & (F.col("touch") == 0))
     return rays.where(ok).select(F.col("p").alias(point_id), F.col("r").alias(region_id)).distinct()
 
 
@@ -91,7 +121,10 @@ def pairs_within(
 
     Each row goes once, as a point, into its own (time bin, latitude strip, longitude cell), and, as a region, into
     every bin its box reaches: the later of two rows is looked for in the box of the earlier one, over the next
-    `minutes`. Boxes touch one or two strips, cells and bins (1.4 copies on average).
+    `minutes`. The two edges of a box that a ray can cross lie on meridians and span the same strips, so they travel as
+    one row (centre and half width) and part after the join. Crossings are grouped by point and region; a point is in the
+    box if their number is odd. The grouping has its own shuffle, so AQE's skew join can split a hot bin; nothing is
+    salted beforehand. Boxes touch one or two strips, cells and bins (1.4 copies on average).
     """
     half = math.degrees(km / EARTH_KM) * (1 + 1e-6) + 1e-9  # a little more than the disc: nothing lies on the box itself
     span, width = int(minutes * 60e6), int(bin_minutes * 60e6)
@@ -133,11 +166,16 @@ def pairs_within(
         & ((F.col("t") > F.col("rt")) | ((F.col("t") == F.col("rt")) & (F.col("id") > F.col("rid"))))
         & (F.col("t") - F.col("rt") <= span),
     ).drop(r["s"], r["c"], r["b"])
-    # the two sides of the box that lie on meridians; those on parallels are never crossed. Seen from the box's centre.
+    # seen from the box's centre; a disc that holds a pole reaches all around, and its box from -180 to 180
     off = F.pmod(F.col("x") - F.col("rx") + 180, F.lit(360.0)) - 180
-    # every pair meets in one bin only, so its rays are grouped in its own row: a hot bin can be split by AQE's skew join
-    rays = sum(crossing(F.col("y"), off, F.col("ry") - half, side, F.col("ry") + half, side) for side in (-F.col("w"), F.col("w")))
-    whole = F.col("w") >= 180  # a disc that holds a pole has no sides
+    edge = F.explode(F.array(-F.col("w"), F.col("w")))
+    met = met.select("id", "rid", "t", "rt", "y", "x", "ry", "rx", off.alias("off"), edge.alias("side"))
+    rays = crossing(F.col("y"), F.col("off"), F.col("ry") - half, F.col("side"), F.col("ry") + half, F.col("side"))
+    # a repeated row crosses the same edge again, so each of the two edges counts once
+    place = ["id", "rid", "t", "rt", "y", "x", "ry", "rx"]
+    sides = [F.max(F.when(F.col("side") < 0, F.col("ray"))).alias("west"), F.max(F.when(F.col("side") >= 0, F.col("ray"))).alias("east")]
+    crossed = met.withColumn("ray", rays).where("ray = 1").groupBy(*place).agg(*sides)
+    inside = (F.coalesce("west", F.lit(0)) + F.coalesce("east", F.lit(0))) % 2 == 1
     far = haversine_km(F.col("ry"), F.col("rx"), F.col("y"), F.col("x"))
-    near = met.where((rays % 2 == 1) | whole).withColumn("km", far).where(F.col("km") <= km)
+    near = crossed.where(inside).withColumn("km", far).where(F.col("km") <= km)
     return near.select(F.least("id", "rid").alias("obs_a"), F.greatest("id", "rid").alias("obs_b"), "km", ((F.col("t") - F.col("rt")) / 1e6).alias("seconds")).distinct()

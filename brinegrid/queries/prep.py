@@ -75,8 +75,9 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows as compacted; NaN is told from null in columns of its own, as NaN equals nothing in a comparison."""
     done = compaction.compact(table(spark, sf, "vessel_points"))
-    return spark.read.parquet(done.path)
+    return C.tell_nan(spark.read.parquet(done.path))
 
 
 LAT_OK = "coalesce(lat between -90 and 90 and not isnan(lat), false) and not coalesce(lat = 0 and lon = 0, false)"
@@ -144,7 +145,7 @@ SQL = {
     "p6_found": """
         select c.chunk_id from chunk_files c left join (select chunk_id, count(*) as n from vessel_points group by chunk_id) v on v.chunk_id = c.chunk_id
         group by c.chunk_id having coalesce(max(v.n), 0) < 200""",
-    "p6_rows": "select * from vessel_points",
+    "p6_rows": "select * replace (" + ", ".join(f"case when not isnan({c}) then {c} end as {c}" for c in ("lat", "lon", "sst")) + "), " + ", ".join(f"coalesce(isnan({c}), false) as {c}_is_nan" for c in ("lat", "lon", "sst")) + " from vessel_points",
 }
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p2_found, p2_valid, p2_report, p3_found, p3_regions, p4_found, p4_consistent, p6_found, p6_rows)}

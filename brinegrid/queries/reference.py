@@ -273,7 +273,7 @@ def union_by_name(spark: SparkSession, sf: str) -> DataFrame:
 def union_samples(spark: SparkSession, sf: str) -> DataFrame:
     v = stratify.first_per_stratum(table(spark, sf, "vessel_points").select("obs_id", "chunk_id", "lat", "lon"), F.col("chunk_id"), [F.col("obs_id")], 1000)
     f = stratify.first_per_stratum(table(spark, sf, "fleet_daily"), F.col("flag"), [F.col("fleet_id")], 1000).select("fleet_id", "flag", F.col("cell_ll_lat").alias("lat"), F.col("cell_ll_lon").alias("lon"))
-    return stratify.union_by_name(v, f)
+    return C.tell_nan(stratify.union_by_name(v, f))
 
 
 # step 7: geo functions
@@ -495,8 +495,9 @@ SQL = {
     "bbox_filter": "select obs_id, lat, lon from vessel_points where lat between -20 and 35 and lon between -60 and 40 and not isnan(lat) and not isnan(lon)",
     "depth_surface": "select event_id, value from events where event_id % 4 = 1",
     "union_by_name": "select * from customer union all by name select * from supplier",
-    "union_samples": """select obs_id, chunk_id, lat, lon, null as fleet_id, null as flag from (select *, row_number() over (partition by chunk_id order by obs_id) as rn from vessel_points) where rn <= 1000
-        union all select null, null, cell_ll_lat, cell_ll_lon, fleet_id, flag from (select *, row_number() over (partition by flag order by fleet_id) as rn from fleet_daily) where rn <= 1000""",
+    "union_samples": """with u as (select obs_id, chunk_id, lat, lon, null as fleet_id, null as flag from (select *, row_number() over (partition by chunk_id order by obs_id) as rn from vessel_points) where rn <= 1000
+        union all select null, null, cell_ll_lat, cell_ll_lon, fleet_id, flag from (select *, row_number() over (partition by flag order by fleet_id) as rn from fleet_daily) where rn <= 1000)
+        select * replace (case when not isnan(lat) then lat end as lat, case when not isnan(lon) then lon end as lon), coalesce(isnan(lat), false) as lat_is_nan, coalesce(isnan(lon), false) as lon_is_nan from u""",
     "lon_normalize": f"with {EVENTS_SQL} select event_id, {LON_HALF} as half, case when lon - 180 < 0 then lon - 180 + 360 else lon - 180 end as whole from p0",
     "tile_geodetic": f"{TILES} select event_id, tilecol, tilerow from w",
     "pixel_in_tile": f"{TILES} select event_id, i, j from w",

@@ -33,11 +33,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets an own
+    temporary one; on a cluster this raises, as each machine would write to a disk of its own."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if app not in _OWN:
         _OWN[app] = "file://" + (own := tempfile.mkdtemp(prefix="brinegrid-shared-"))
         atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -62,9 +65,24 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, both of the JVM."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+_FOLDERS: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path that nothing else uses, in a folder of this application in the shared folder; it is deleted when the driver ends."""
+    folder = f"{shared_dir(spark)}/brinegrid-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        fs, p = hadoop_path(spark, folder)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _FOLDERS.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ def connect(sf: str):
 
 def _norm(x):
     if isinstance(x, float):
-        return "NaN" if math.isnan(x) else repr(x)
+        return f"NaN {id(x)}" if math.isnan(x) else repr(x)  # a NaN equals nothing: queries must tell it apart themselves
     return repr(x)
 
 

@@ -119,3 +119,47 @@ def test_random_polygons(spark):
 def test_no_regions(spark):
     assert inside(spark, [(0.0, 0.0), (None, 1.0), (float("nan"), 1.0)], []) == set()
     assert inside(spark, [], ring("s", [(0.0, 0.0), (0.0, 4.0), (4.0, 4.0)])) == set()
+
+
+def test_the_parity_decides(spark, monkeypatch):
+    """Without crossings nothing is inside anything; with one for both sides of a box, nothing is near anything."""
+    rows = [(1, "a", T, 1.0, 1.0), (2, "b", T, 1.0, 1.0005)]
+    e = ring("s", [(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0)])
+    assert (found(spark, rows), inside(spark, [(2.0, 2.0)], e)) == ({(1, 2)}, {(0, "s")})
+    for made in (0, 1):
+        monkeypatch.setattr(P, "crossing", lambda *a, made=made: F.lit(made))
+        assert found(spark, rows) == set()
+        assert made or inside(spark, [(2.0, 2.0)], e) == set()
+
+
+def test_shuffled_regions_equal_sent_ones(spark):
+    r = random.Random(8)
+    edges = []
+    for n in range(12):
+        c = (r.uniform(-60, 60), r.uniform(-180, 180))
+        edges += ring(f"r{n}", [(c[0] + 25 * math.sin(k), c[1] + r.uniform(5, 60) * math.cos(k)) for k in range(6)])
+    pts = [(r.uniform(-89, 89), r.uniform(-180, 360)) for _ in range(300)] + [(c[1], c[2]) for c in edges[:20]]
+    sent = inside(spark, pts, edges)
+    assert sent and sent == inside(spark, pts, edges, few_edges=0, strip=3.0, cell=7.0)
+
+
+def test_a_hot_bin_is_split(spark):
+    """One hour and place with most rows: the join is split where it is skewed, and the pairs stay the same."""
+    rows = [(k, str(k % 3000), T + dt.timedelta(seconds=k % 3000), 10.0 + (k % 997) / 20000, 20.0 + (k % 991) / 20000) for k in range(4000)]
+    rows += [(10_000 + k, str(k), T + dt.timedelta(hours=k), -40.0, float(k)) for k in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = sorted(map(tuple, P.pairs_within(df, minutes=0.1).select("obs_a", "obs_b").collect()))
+    # partitions of a few KB, so that this one counts as skewed
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        out = P.pairs_within(df.repartition(8), minutes=0.1).select("obs_a", "obs_b")
+        split = sorted(map(tuple, out.collect()))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert plain and split == plain
+    assert "skew=true" in plan

@@ -1,3 +1,5 @@
+import pytest
+
 from brinegrid import session as S
 
 
@@ -15,6 +17,7 @@ def test_own_folder_where_none_is_set():
 
     class Context:
         applicationId = "app-test"
+        master = "local[2]"
 
         def getConf(self):
             return Conf()
@@ -25,6 +28,17 @@ def test_own_folder_where_none_is_set():
     first = S.shared_dir(Session())
     assert first.startswith("file:///")
     assert S.shared_dir(Session()) == first
+    Context.master, Context.applicationId = "spark://somewhere:7077", "app-far"
+    with pytest.raises(RuntimeError):
+        S.shared_dir(Session())
+
+
+def test_intermediate_tables_are_in_a_folder_deleted_at_the_end(spark):
+    path = S.fresh_path(spark, "t")
+    folder = path.rsplit("/", 1)[0]
+    fs, p = S.hadoop_path(spark, folder)
+    assert fs.exists(p) and folder.endswith(spark.sparkContext.applicationId)
+    assert fs.cancelDeleteOnExit(p) and fs.deleteOnExit(p)
 
 
 def test_materialized_tables_keep_rows_and_schema(spark):
