@@ -2,8 +2,9 @@
 
 Pigeonhole edit matching: what is looked for is a stretch of at least `least` words of an item, in one part or two, with
 up to one edit in ten words. Cut into as many pieces as there can be edits and parts, plus one, one piece must occur
-unaltered. So every run of that many words of every item is a piece; documents are searched for exact hits of pieces,
-hits are widened over single edits, and the distance of what results is verified with Myers' bit-parallel algorithm.
+unaltered. So every run of that many words of every item is a piece; documents are searched for exact hits of pieces.
+Where one is hit, all agreements of item and document are taken: each is widened over edits as far as it goes for every
+number of edits, the results are combined, and the distance is verified with Myers' bit-parallel algorithm.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import columns as C
 
 LEAST, RATE = 25, 10
-#: An item's part of a stretch in two parts is looked for from this many words on.
-PART = 6
+#: Items of so many words together are sent to every task (about 16 bytes a word); more are joined by their pieces.
+MOST_WORDS = 2_000_000
 
 _TAG = re.compile(r"</?(?P<name>[A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>|<!--.*?-->", re.S)
 # Tags that stand inside words and sentences.
@@ -89,235 +92,272 @@ def myers(pattern: Sequence[int], text: Sequence[int]) -> int:
     return score
 
 
-def _runs(hits: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
-    """Hits (document position, item position) on one diagonal, joined to runs (document, item, length)."""
-    out: list[tuple[int, int, int]] = []
-    ends: dict[int, int] = {}
-    for k, j in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
-        d = k - j
-        at = ends.get(d)
-        if at is not None and out[at][0] + out[at][2] >= k:
-            a = out[at]
-            out[at] = (a[0], a[1], max(a[2], k + size - a[0]))
-        else:
-            ends[d] = len(out)
-            out.append((k, j, size))
+def _threes(seq: np.ndarray) -> np.ndarray:
+    """Codes of all runs of three words; word numbers are below 2^21, so codes are exact. Words numbered 0 agree with nothing."""
+    s = seq.astype(np.int64)
+    return (s[:-2] << 42) | (s[1:-1] << 21) | s[2:] if len(s) > 2 else np.zeros(0, np.int64)
+
+
+class _Item:
+    """An item's words, and its runs of one and of three words in order, to look up."""
+
+    def __init__(self, seq: list[int]):
+        self.seq = seq
+        self.tables = []
+        for codes in (np.array(seq, np.int64), _threes(np.array(seq, np.int64))):
+            order = np.argsort(codes, kind="stable")
+            self.tables.append((codes[order], order))
+
+    def agreements(self, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(document positions, item positions) of all runs of size words that agree."""
+        have, at = self.tables[size // 3]
+        lo, hi = np.searchsorted(have, codes, "left"), np.searchsorted(have, codes, "right")
+        n = hi - lo
+        k = np.repeat(np.arange(len(codes)), n)
+        return k, at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(k))]
+
+
+def _runs(k: np.ndarray, j: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """Agreements on one diagonal, joined to longest runs (document, item, length)."""
+    order = np.lexsort((k, k - j))
+    k, j = k[order], j[order]
+    d = k - j
+    new = np.ones(len(k), bool)
+    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1] + 1)
+    first = np.nonzero(new)[0]
+    return list(zip(k[first].tolist(), j[first].tolist(), (np.diff(np.append(first, len(k))) + size - 1).tolist()))
+
+
+def _reach(doc: Sequence[int], item: Sequence[int], k: int, j: int, way: int, most: int) -> list[tuple[int, int, int]]:
+    """(edits, document words, item words) that can be walked from the gap before (k, j) in direction way, with ever more edits
+    and ever more item words, to where words agree. The furthest point of every diagonal is kept for each number of edits."""
+    nd, ni = (len(doc) - k, len(item) - j) if way > 0 else (k + 1, j + 1)
+    out, best = [(0, 0, 0)], 0
+    front = {0: 0}  # diagonal (document words - item words) -> item words walked
+    for e in range(1, most + 1):
+        nxt: dict[int, int] = {}
+        for d in range(-e, e + 1):
+            y = max(front.get(d, -2) + 1, front.get(d + 1, -2) + 1, front.get(d - 1, -1))
+            if y < 0 or y > ni or y + d < 0 or y + d > nd:
+                continue
+            z = y
+            while z < ni and z + d < nd and doc[k + way * (z + d)] == item[j + way * z]:
+                z += 1
+            nxt[d] = z
+            if z > y and z > best:
+                best, at = z, (e, z + d, z)
+        front = nxt
+        if best > out[-1][2]:
+            out.append(at)
     return out
 
 
-def _step(doc: Sequence[int], item: Sequence[int], k: int, j: int, way: int, far: int = 3) -> tuple[int, int] | None:
-    """The cheapest jump over an edit from (k, j) in direction way, to where two words agree again."""
-    nd, ni = len(doc), len(item)
-    for cost in range(1, far + 1):
-        for dk in range(cost + 1):
-            for dj in (range(cost + 1) if dk == cost else (cost,)):
-                a, b = k + way * dk, j + way * dj
-                a2, b2 = a + way, b + way
-                if 0 <= a < nd and 0 <= b < ni and doc[a] == item[b] and (b2 < 0 or b2 >= ni or (0 <= a2 < nd and doc[a2] == item[b2])):
-                    return dk, dj
-    return None
-
-
-def _widen(doc: Sequence[int], item: Sequence[int], run: tuple[int, int, int]) -> list[tuple[int, int, int, int, int]]:
-    """A run, widened over edits both ways: exact segments (document from, to, item from, to, edits before it)."""
+def _parts(doc: Sequence[int], item: Sequence[int], run: tuple[int, int, int], most: int) -> set[tuple[int, int, int, int, int]]:
+    """A run widened both ways: (document from, to, item from, to, edits), for all numbers of edits up to most."""
     k, j, n = run
-    segs = [[k, k + n, j, j + n, 0]]
-    nd, ni = len(doc), len(item)
-    while True:  # onwards
-        a, b = segs[-1][1], segs[-1][3]
-        while a < nd and b < ni and doc[a] == item[b]:
-            a, b = a + 1, b + 1
-        segs[-1][1], segs[-1][3] = a, b
-        s = _step(doc, item, a, b, 1) if b < ni else None
-        if s is None:
-            break
-        segs.append([a + s[0], a + s[0], b + s[1], b + s[1], max(s)])
-    while True:  # backwards
-        a, b = segs[0][0], segs[0][2]
-        while a > 0 and b > 0 and doc[a - 1] == item[b - 1]:
-            a, b = a - 1, b - 1
-        segs[0][0], segs[0][2] = a, b
-        s = _step(doc, item, a - 1, b - 1, -1) if b > 0 else None
-        if s is None:
-            break
-        segs[0][4] = max(s)
-        segs.insert(0, [a - s[0], a - s[0], b - s[1], b - s[1], 0])
-    return [tuple(s) for s in segs]
-
-
-def _parts(segs: list[tuple]) -> list[tuple[int, int, int, int, int]]:
-    """Stretches of adjacent segments within the edit rate: (document from, to, item from, to, edits), longest first."""
-    out = []
-    for a in range(len(segs)):
-        edits = 0
-        for z in range(a, len(segs)):
-            if z > a:
-                edits += segs[z][4]
-            n = segs[z][3] - segs[a][2]
-            if edits * RATE <= n + RATE // 2:
-                out.append((segs[a][0], segs[z][1], segs[a][2], segs[z][3], edits))
-    out.sort(key=lambda p: p[2] - p[3])
-    return out
+    on = _reach(doc, item, k + n, j + n, 1, most)
+    back = _reach(doc, item, k - 1, j - 1, -1, most)
+    return {(k - b[1], k + n + a[1], j - b[2], j + n + a[2], a[0] + b[0]) for a in on for b in back if a[0] + b[0] <= most}
 
 
-class _Seen:
-    """Exact segments that widening has covered already, by diagonal."""
+def _longer(p: tuple[int, int, int, int, int], least: int) -> bool:
+    """Whether a part can be the longer one of two: it is half of the whole at least, and the whole is within the rate."""
+    return 2 * (p[3] - p[2]) >= max(least, RATE * p[4])
 
-    def __init__(self):
-        self.by: dict[int, list] = defaultdict(list)
 
-    def __contains__(self, run: tuple[int, int, int]) -> bool:
-        return any(a <= run[0] < z for a, z in self.by.get(run[0] - run[1], ()))
+def _two(doc: Sequence[int], item: Sequence[int], parts: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """(words, edits, 2) of two parts in the order of both document and item, together long enough and within the rate.
 
-    def add(self, segs: list[tuple]) -> None:
-        for a, z, j, _, _ in segs:
-            self.by[a - j].append((a, z))
+    Parts that run into each other give up what they share. The longer part is at least half of the whole, so few parts
+    are tried as the longer one, each against all others at once.
+    """
+    k0, k1, j0, j1, e = parts.T
+    n = j1 - j0
+    for x in np.nonzero((2 * n >= least) & (2 * n >= RATE * e))[0][np.argsort(-n[(2 * n >= least) & (2 * n >= RATE * e)], kind="stable")].tolist():
+        later = (k0 > k0[x]) & (k1 > k1[x]) & (j0 > j0[x]) & (j1 > j1[x])
+        sooner = (k0 < k0[x]) & (k1 < k1[x]) & (j0 < j0[x]) & (j1 < j1[x])
+        shared = np.maximum(0, np.where(later, np.maximum(j1[x] - j0, k1[x] - k0), np.maximum(j1 - j0[x], k1 - k0[x])))
+        whole = n[x] + n - shared
+        ok = (later | sooner) & (shared < n) & (shared < n[x]) & (whole >= least) & (RATE * (e[x] + e) <= whole)
+        for y in np.nonzero(ok)[0][np.argsort(-whole[ok], kind="stable")].tolist():
+            p, q = (parts[x].tolist(), parts[y].tolist()) if later[y] else (parts[y].tolist(), parts[x].tolist())
+            o = int(shared[y])
+            for a, b in ((o, 0), (0, o)) if o else ((0, 0),):
+                made = myers(item[p[2] : p[3] - a], doc[p[0] : p[1] - a]) + myers(item[q[2] + b : q[3]], doc[q[0] + b : q[1]])
+                if made * RATE <= whole[y]:
+                    return int(whole[y]), made, 2
+    return None
 
 
-def _pair(parts: list[tuple], least: int, item_words: int) -> Iterator[tuple[tuple, tuple]]:
-    """Two parts in the order of both document and item, apart in both, together long enough and within the rate.
+def leaked(doc: Sequence[int], item: _Item, singles: np.ndarray, threes: np.ndarray, least: int = LEAST) -> tuple[int, int, int] | None:
+    """(words, edits, parts) of a passage of item in doc, or None. singles and threes: codes of the document's runs.
 
-    A sweep over the document: of the parts that have ended, the longest for each item position and margin (words minus
-    RATE x edits, which must not be negative in sum) is kept, so long documents cost no pairs.
+    A passage of at least three times `least` words holds a shorter one within the rate, so no more edits than that has
+    are walked over. A part begins and ends with agreeing words.
     """
-    half = RATE // 2
-    margin = lambda p: max(-half, min(half, p[3] - p[2] - RATE * p[4]))
-    best: dict[int, list] = {m: [None] * (item_words + 1) for m in range(-half, half + 1)}
-    ended = sorted(parts, key=lambda p: p[1])
-    k = 0
-    for q in sorted(parts, key=lambda p: p[0]):
-        while k < len(ended) and ended[k][1] <= q[0]:
-            p = ended[k]
-            row = best[margin(p)]
-            if row[p[3]] is None or p[3] - p[2] > row[p[3]][3] - row[p[3]][2]:
-                row[p[3]] = p
-            k += 1
-        fit = [p for m in range(-margin(q), half + 1) for p in best[m][: q[2] + 1] if p]
-        if fit:
-            p = max(fit, key=lambda p: p[3] - p[2])
-            if p[3] - p[2] + q[3] - q[2] >= least:
-                yield p, q
-
-
-def leaked(doc: Sequence[int], item: Sequence[int], hits: list[tuple[int, int]], size: int, least: int = LEAST) -> tuple[int, int, int] | None:
-    """(words, edits, parts) of the passage of item in doc that the exact hits lead to, if it is long enough."""
-    seen, parts = _Seen(), []
-    for run in sorted(_runs(hits, size), key=lambda r: -r[2]):
-        if run in seen:
-            continue
-        segs = _widen(doc, item, run)
-        seen.add(segs)
-        own = _parts(segs)
-        for p in own:
-            n = p[3] - p[2]
-            if n < least:
-                break
-            if p[4] * RATE <= n:
-                edits = myers(item[p[2] : p[3]], doc[p[0] : p[1]])
-                if edits * RATE <= n:
-                    return n, edits, 1
-        parts += own
-    if max((p[3] - p[2] for p in parts), default=0) < least // 2 - 1:
-        return None  # the longer part of two must be half of the whole
-    # the second part may hold no run as long as a piece: look for shorter ones
-    small: dict[tuple, list[int]] = defaultdict(list)
-    for j in range(len(item) - 2):
-        small[tuple(item[j : j + 3])].append(j)
-    more = [(k, j) for k in range(len(doc) - 2) if doc[k] for j in small.get(tuple(doc[k : k + 3]), ())]
-    for run in sorted(_runs(more, 3), key=lambda r: -r[2]):
-        if run not in seen:
-            segs = _widen(doc, item, run)
-            seen.add(segs)
-            parts += _parts(segs)
-    for p, q in _pair([p for p in parts if p[3] - p[2] >= PART], least, len(item)):
-        n = p[3] - p[2] + q[3] - q[2]
-        edits = myers(item[p[2] : p[3]], doc[p[0] : p[1]]) + myers(item[q[2] : q[3]], doc[q[0] : q[1]])
-        if edits * RATE <= n:
-            return n, edits, 2
+    most = (3 * least - 1) // RATE
+    k, j = item.agreements(threes, 3)
+    if not len(k):
+        return None
+    # n words with e edits in two parts keep n - 3e - 4 runs of three, half of them near one diagonal
+    d = np.sort(k - j)
+    near = np.searchsorted(d, d + most, "right") - np.arange(len(d))
+    half = -(-min(n - 3 * (n // RATE) - 4 for n in range(least, 3 * least)) // 2)
+    dense = near >= half
+    if not dense.any():
+        return None
+    seq = item.seq
+    parts: set[tuple] = set()
+    begins = np.unique(d[dense])
+    runs = np.array(_runs(k, j, 3))
+    diagonal = runs[:, 0] - runs[:, 1]
+    before = np.searchsorted(begins, diagonal, "right") - 1
+    likely = (before >= 0) & (diagonal <= begins[before] + most)
+    for some in (likely, ~likely):  # those near a dense diagonal first: one of the parts is there, and keeps that many runs of three
+        for run in sorted(map(tuple, runs[some].tolist()), key=lambda r: -r[2]):
+            new = _parts(doc, seq, run, most) - parts
+            for p in new:
+                n = p[3] - p[2]
+                if n >= least and p[4] * RATE <= n:
+                    edits = myers(seq[p[2] : p[3]], doc[p[0] : p[1]])
+                    if edits * RATE <= n:
+                        return n, edits, 1
+            parts |= new
+        if not any(p[3] - p[2] >= half + 2 * (p[4] + 1) for p in parts):
+            return None
+    got = _two(doc, seq, np.array(sorted(parts)), least)
+    if got:
+        return got
+    # the shorter part may have no run of three: then it has at most 2 + 3e words
+    if any(_longer(p, least) and (n := p[3] - p[2]) + 2 + 3 * max(0, (n + 2 + 3 * most) // RATE - p[4]) >= least for p in parts):
+        for run in _runs(*item.agreements(singles, 1), 1):
+            parts |= _parts(doc, seq, run, most)
+        return _two(doc, seq, np.array(sorted(parts)), least)
     return None
 
 
+def piece_size(least: int) -> int:
+    """One piece more than edits and the parting: of that many pieces of `least` words one is unaltered."""
+    return least // (least // RATE + 2)
+
+
+def _hashes(seq: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of size numbers."""
+    n = len(seq) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            h = (h + seq[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h
+
+
 class ItemIndex:
-    """The pieces of a block of items: hashes of all their runs of `size` words."""
+    """The pieces of items: hashes of all their runs of `size` words."""
 
     def __init__(self, items: list[tuple[int, str]], least: int = LEAST):
-        # one piece more than edits and the parting: of that many pieces of `least` words one is unaltered
-        self.size = least // (least // RATE + 2)
+        self.size = piece_size(least)
         self.least = least
         self.words: dict[str, int] = {}
-        self.ids, self.seqs = [], []
+        self.ids, self.items = [], []
         for item_id, text in items:
             seq = [self.words.setdefault(w, len(self.words) + 1) for w in plain_words(text)]
             if len(seq) >= least:
                 self.ids.append(item_id)
-                self.seqs.append(seq)
-        rows = [(self._hash(np.array(s, dtype=np.uint64)), n) for n, s in enumerate(self.seqs)]
-        hashes = np.concatenate([h for h, _ in rows]) if rows else np.zeros(0, np.uint64)
-        owner = np.concatenate([np.full(len(h), n) for h, n in rows]) if rows else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(h)) for h, _ in rows]) if rows else np.zeros(0, np.int64)
+                self.items.append(_Item(seq))
+        rows = [_hashes(np.array(x.seq, dtype=np.uint64), self.size) for x in self.items]
+        hashes = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(rows)), [len(h) for h in rows])
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner, self.place = hashes[order], owner[order], place[order]
-
-    def _hash(self, seq: np.ndarray) -> np.ndarray:
-        n = len(seq) - self.size + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        h = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(self.size):
-                h = (h + seq[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-        return h
+        self.hashes, self.owner = hashes[order], owner[order]
 
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, words, edits, parts) of every item of which text holds a passage."""
         get = self.words.get
         doc = [get(w, 0) for w in plain_words(text)]
-        h = self._hash(np.array(doc, dtype=np.uint64))
+        singles = np.array(doc, dtype=np.int64)
+        h = _hashes(singles.astype(np.uint64), self.size)
         if not len(h) or not len(self.hashes):
             return []
-        lo = np.searchsorted(self.hashes, h, side="left")
-        at = np.nonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == h)[0]
-        if not len(at):
+        lo, hi = np.searchsorted(self.hashes, h, side="left"), np.searchsorted(self.hashes, h, side="right")
+        hit = [self.owner[a:z] for a, z in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist())]
+        if not hit:
             return []
-        hi = np.searchsorted(self.hashes, h[at], side="right")
-        hits: dict[int, list] = defaultdict(list)
-        size = self.size
-        for k, a, z in zip(at.tolist(), lo[at].tolist(), hi.tolist()):
-            for x in range(a, z):
-                n, j = int(self.owner[x]), int(self.place[x])
-                if self.seqs[n][j : j + size] == doc[k : k + size]:
-                    hits[n].append((k, j))
+        threes = _threes(singles)
         out = []
-        for n, hs in hits.items():
-            got = leaked(doc, self.seqs[n], hs, size, self.least)
+        for n in np.unique(np.concatenate(hit)).tolist():
+            got = leaked(doc, self.items[n], singles, threes, self.least)
             if got:
                 out.append((self.ids[n], *got))
         return out
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, most_chars: int) -> Iterator[list[tuple]]:
-    block, size = [], 0
-    for r in items.select(C.quoted(id_col).alias("i"), C.quoted(text_col).alias("t")).where("t is not null").toLocalIterator():
-        block.append((r["i"], r["t"]))
-        size += len(r["t"])
-        if size >= most_chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _piece_rows(least: int):
+    """For mapInArrow over (key, text): (key, piece), the hashes of all pieces of a text, each once. Words are numbered by their hash."""
+    size = piece_size(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, text in enumerate(b.column(1).to_pylist()):
+                seq = np.array([xxhash.xxh64_intdigest(w) for w in plain_words(text)], dtype=np.uint64)
+                h = np.unique(_hashes(seq, size)).view(np.int64)
+                if len(seq) >= least and len(h):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1).take(pa.array(np.zeros(len(h), np.int64))), pa.array(h)], names=["key", "piece"])
+
+    return run
+
+
+def _verified(least: int):
+    """For mapInArrow over (key, item key, text, item text): the pairs that hold a passage, with its words, edits and parts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            idx, rows = [], []
+            for k, (text, item) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                got = ItemIndex([(0, item)], least).search(text)
+                if got:
+                    idx.append(k)
+                    rows.append(got[0][1:])
+            if rows:
+                at = pa.array(idx)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *[pa.array(x, pa.int32()) for x in zip(*rows)]], names=["key", "item_key", "n_words", "n_edits", "n_parts"])
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST, block_chars: int = 8_000_000) -> DataFrame:
+    return run
+
+
+def _by_pieces(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    """(d, i, n_words, n_edits, n_parts) for docs (d, text) and items (i, text) of any number: pieces meet by a join on their hash.
+
+    Equal texts are searched for and through once, under a key made of two hashes. A piece that many texts share is a hot
+    key of the join, which AQE splits; pairs are made distinct before any text travels.
+    """
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    docs, items = docs.withColumn("key", key), items.withColumn("item_key", key)
+    texts = docs.dropDuplicates(["key"]).select("key", "text")
+    asked = items.dropDuplicates(["item_key"]).select("item_key", F.col("text").alias("item_text"))
+    kind = "key struct<a:bigint,b:bigint>, piece bigint"
+    have = texts.mapInArrow(_piece_rows(least), kind)
+    want = asked.mapInArrow(_piece_rows(least), kind).withColumnRenamed("key", "item_key")
+    pairs = have.join(want, "piece").select("key", "item_key").distinct()
+    full = pairs.join(asked, "item_key").join(texts, "key").select("key", "item_key", "text", "item_text")
+    found = full.mapInArrow(_verified(least), "key struct<a:bigint,b:bigint>, item_key struct<a:bigint,b:bigint>, n_words int, n_edits int, n_parts int")
+    return found.join(items.select("item_key", "i"), "item_key").join(docs.select("key", "d"), "key").select("d", "i", "n_words", "n_edits", "n_parts")
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST, most_words: int = MOST_WORDS) -> DataFrame:
     """(doc_id, item_id, n_words, n_edits, n_parts): the documents that hold passages of items.
 
-    A passage is least or more words of the item in their order, in one part or in two with foreign text between, with at
-    most one word in ten altered, left out or added; words are those of plain_words. An item of fewer words, null and
-    empty texts yield nothing. Repeated documents count each for itself; an item that occurs twice is two items. Empty
-    tables give an empty result; extra columns are ignored, and the two tables may use the same names.
+    A passage is least or more words of the item in their order, in one part or in two with foreign text between, each
+    beginning and ending with a word that agrees, with at most one word in ten altered, left out or added; words are those
+    of plain_words. The parts may be of any length. n_words, n_edits and n_parts tell of one such passage. An item of fewer
+    words, null and empty texts yield nothing. Repeated documents count each for itself; an item that occurs twice is two
+    items. Empty tables give an empty result; extra columns are ignored, and the two tables may use the same names.
 
-    The items are the stated query set: they are taken in blocks of block_chars characters, each small enough to be sent
-    to every task, and each block is searched for in all documents. Documents are never shuffled nor cut.
+    Documents are read once, whatever the number of items. Items whose texts hold no more than most_words words (their
+    characters are counted first, two to a word at least) are sent to every task, and documents are neither shuffled nor cut;
+    larger sets of items meet the documents by a join on the hash of their pieces.
     """
     schema = T.StructType(
         [
@@ -329,27 +369,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
         ]
     )
     spark = docs.sparkSession
-    narrow = docs.select(C.quoted(doc_id), C.quoted(doc_text)).where(F.length(C.quoted(doc_text)) >= least)
-
-    def search_block(block: list[tuple]) -> DataFrame:
-        index = spark.sparkContext.broadcast(ItemIndex(block, least))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                idx, rows = [], []
-                for k, text in enumerate(b.column(1).to_pylist()):
-                    for row in index.value.search(text):
-                        idx.append(k)
-                        rows.append(row)
-                if rows:
-                    item, n, e, p = zip(*rows)
-                    item_array = pa.array(item, pa.int64()) if isinstance(item[0], int) else pa.array(item)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(idx)), item_array, *[pa.array(x, pa.int32()) for x in (n, e, p)]], names=schema.names)
-
-        return narrow.mapInArrow(run, schema)
-
-    out = None
-    for block in _blocks(items, item_id, item_text, block_chars):
-        found = search_block(block)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    narrow = docs.select(C.quoted(doc_id).alias("d"), C.quoted(doc_text).alias("text")).where(F.length("text") >= least)
+    asked = items.select(C.quoted(item_id).alias("i"), C.quoted(item_text).alias("text")).where(F.length("text") >= least)
+    chars = asked.agg(F.sum(F.length("text").cast("bigint"))).first()[0]
+    if chars is None:
+        return spark.createDataFrame([], schema)
+    if chars > 2 * most_words:
+        return _by_pieces(narrow, asked, least).toDF(*schema.names)
+    index = spark.sparkContext.broadcast(ItemIndex([(r["i"], r["text"]) for r in asked.collect()], least))
+    item_type = to_arrow_type(schema[1].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            idx, rows = [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                for row in index.value.search(text):
+                    idx.append(k)
+                    rows.append(row)
+            if rows:
+                item, n, e, p = zip(*rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(idx)), pa.array(item, item_type), *[pa.array(x, pa.int32()) for x in (n, e, p)]], names=schema.names)
+
+    return narrow.mapInArrow(run, schema)
