@@ -33,7 +33,18 @@ NEXT = np.array(
     ],
     dtype=np.uint8,
 )
-#: The same for whole files, where a line break outside quotes ends a record, and a broken one too.
+#: The same for files that are read leniently: a quote inside a plain field is text, and so is what follows a closing quote.
+NEXT_LENIENT = np.array(
+    [
+        [PLAIN, PLAIN, QUOTED, PLAIN, PLAIN],
+        [START, START, QUOTED, START, START],
+        [QUOTED, PLAIN, CLOSED, QUOTED, PLAIN],
+        [START, START, QUOTED, START, START],
+        [START, PLAIN, QUOTED, CLOSED, BROKEN],
+    ],
+    dtype=np.uint8,
+)
+#: The strict rules for whole files, where a line break outside quotes ends a record, and a broken one too.
 NEXT_IN_FILE = NEXT.copy()
 NEXT_IN_FILE[BREAK] = [START, START, QUOTED, START, START]
 CLASS = np.zeros(256, dtype=np.uint8)
@@ -67,8 +78,8 @@ def _compose(chunk_fn: np.ndarray, first: np.ndarray) -> np.ndarray:
     return begin
 
 
-def tokenize(data: np.ndarray, offsets: np.ndarray, chunk: int = 64, table: np.ndarray = NEXT, mark: int = COMMA) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """data: bytes of all records; offsets: n + 1 bounds. Returns the positions of separators (of class mark, outside
+def tokenize(data: np.ndarray, offsets: np.ndarray, chunk: int = 64, table: np.ndarray = NEXT, marks: tuple[int, ...] = (COMMA,)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """data: bytes of all records; offsets: n + 1 bounds. Returns the positions of separators (of the classes marks, outside
     quotes), the record of each separator, the position of each record's first error (-1: none) and each record's last
     state."""
     n = len(offsets) - 1
@@ -86,10 +97,11 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, chunk: int = 64, table: np.n
     for c in range(chunk):
         fn = table[kinds[:, c][:, None], fn]
     state = _compose(fn, first)
+    want = np.isin(np.arange(5), marks)
     seps, breaks = np.zeros(grid.shape, dtype=bool), np.zeros(grid.shape, dtype=bool)
     for c in range(chunk):
         k = kinds[:, c]
-        seps[:, c] = (k == mark) & (state != QUOTED) & ((state != BROKEN) | (mark == BREAK))
+        seps[:, c] = want[k] & (state != QUOTED) & ((state != BROKEN) | (k == BREAK))
         new = table[k, state]
         breaks[:, c] = (new == BROKEN) & (state != BROKEN)
         state = new
@@ -137,20 +149,20 @@ def _texts_raw(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arr
         return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.large_string())
 
 
-def _texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+def texts_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Fields as texts; outer quotes and doubled inner ones are undone."""
     quoted = (ends > starts) & (data[np.minimum(starts, max(0, len(data) - 1))] == ord('"')) if len(data) else np.zeros(len(starts), bool)
     return pc.replace_substring(_texts_raw(data, starts + quoted, ends - quoted), '""', '"')
 
 
-def _matches(text: pa.Array, pattern: str) -> np.ndarray:
+def matches(text: pa.Array, pattern: str) -> np.ndarray:
     return pc.match_substring_regex(text, rf"\A(?:{pattern})\z").to_numpy(zero_copy_only=False).astype(bool)
 
 
 def _numbers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and which texts are plain decimal numbers; NaN for the others. Spaces around don't count."""
     t = pc.utf8_trim(text, " ")
-    ok = _matches(t, NUMBER)
+    ok = matches(t, NUMBER)
     out = np.full(len(t), np.nan)
     plain = pc.replace_substring_regex(t.filter(pa.array(ok)), r"\A\+", "")
     try:
@@ -162,7 +174,7 @@ def _numbers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _integers(text: pa.Array) -> pa.Array:
     t = pc.utf8_trim(text, " ")
-    ok = _matches(t, "[+-]?[0-9]{1,15}")
+    ok = matches(t, "[+-]?[0-9]{1,15}")
     x = np.zeros(len(t), np.int64)
     x[ok] = pc.replace_substring_regex(t.filter(pa.array(ok)), r"\A\+", "").cast(pa.int64()).to_numpy(zero_copy_only=False)
     return pa.array(x, mask=~(ok & (x >= -(2**31)) & (x < 2**31))).cast(pa.int32())
@@ -171,7 +183,7 @@ def _integers(text: pa.Array) -> pa.Array:
 def _days(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Days since 1970 and the code of what is wrong (0: nothing)."""
     t = pc.utf8_trim(text, " ")
-    ok = _matches(t, DATE)
+    ok = matches(t, DATE)
     y, m, d = (np.zeros(len(t), np.int64) for _ in range(3))
     good = t.filter(pa.array(ok))
     for x, (a, z) in ((y, (0, 4)), (m, (5, 7)), (d, (8, 10))):
@@ -183,6 +195,24 @@ def _days(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return days, code
 
 
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and n + 1 bounds of n texts; null is empty."""
+    texts = pc.fill_null(pa.concat_arrays([texts.cast(pa.large_string())]), "")
+    _, off, buf = texts.buffers()
+    offsets = np.frombuffer(off, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return (np.frombuffer(buf, dtype=np.uint8) if buf is not None and buf.size else np.zeros(0, np.uint8)), offsets
+
+
+def parts_of(batch: pa.RecordBatch, at: int, most_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of a few MB of the texts in column at: the tokenizer's arrays take about twenty times that."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    k = 0
+    while k < batch.num_rows:
+        z = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + most_bytes, side="right")))
+        yield batch.slice(k, z - k)
+        k = z
+
+
 def _spread(values: pa.Array, rows: np.ndarray, n: int) -> pa.Array:
     """values at rows of n, null elsewhere."""
     at = np.zeros(n, np.int64)
@@ -195,12 +225,8 @@ def _spread(values: pa.Array, rows: np.ndarray, n: int) -> pa.Array:
 def _read(lines: pa.Array, header: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Records and errors of one batch; both are null for header lines."""
     n = len(lines)
-    lines = pa.concat_arrays([lines.cast(pa.large_string())])
     null = lines.is_null().to_numpy(zero_copy_only=False)
-    first = lines.offset
-    _, off, buf = lines.buffers()
-    offsets = np.frombuffer(off, dtype=np.int64)[first : first + n + 1]
-    data = np.frombuffer(buf, dtype=np.uint8) if buf is not None and buf.size else np.zeros(0, np.uint8)
+    data, offsets = raw_bytes(lines)
     seps, owner, broken, last = tokenize(data, offsets)
     begin, end = offsets[:-1], offsets[1:]
     fields = np.bincount(owner, minlength=n) + 1
@@ -230,7 +256,7 @@ def _read(lines: pa.Array, header: np.ndarray) -> tuple[pa.Array, pa.Array]:
     cuts[:, 0], cuts[:, want] = begin[rows] - 1, end[rows]
     if len(rows):
         cuts[:, 1:want] = seps[bounds[rows][:, None] + np.arange(want - 1)]
-    f = [_texts(data, cuts[:, k] + 1, cuts[:, k + 1]) for k in range(want)]
+    f = [texts_of(data, cuts[:, k] + 1, cuts[:, k + 1]) for k in range(want)]
     days, bad_day = _days(f[0])
     (lat, ok_lat), (lon, ok_lon) = _numbers(f[1]), _numbers(f[2])
     judge = lambda x, ok, most: np.where(~ok, _CODE["not a number"], np.where(np.abs(x) <= most, 0, _CODE["out of range"]))
@@ -269,12 +295,7 @@ def parse_records(df: DataFrame, line_col: str = "line", number_col: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
-            k = 0
-            while k < b.num_rows:  # a few MB at a time: the tokenizer's arrays take about twenty times that
-                z = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + BLOCK_BYTES, side="right")))
-                part = b.slice(k, z - k)
-                k = z
+            for part in parts_of(b, at):
                 header = pc.fill_null(pc.equal(part.column(num), 1), False).to_numpy(zero_copy_only=False).astype(bool) if num is not None else np.zeros(part.num_rows, bool)
                 yield pa.RecordBatch.from_arrays([*part.columns, *_read(part.column(at), header)], names=schema.names)
 
@@ -303,7 +324,7 @@ def split_records(files: DataFrame, content_col: str = "content") -> DataFrame:
                 if not text:
                     continue
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                ends = tokenize(data, np.array([0, len(data)]), 256, NEXT_IN_FILE, BREAK)[0]
+                ends = tokenize(data, np.array([0, len(data)]), 256, NEXT_IN_FILE, (BREAK,))[0]
                 pair = (data[ends] == 10) & (ends > 0) & (data[np.maximum(ends - 1, 0)] == 13)  # CR LF is one end
                 start = np.concatenate([[0], ends + 1])
                 stop = np.concatenate([ends, [len(data)]])

@@ -67,6 +67,16 @@ def p4_consistent(spark: SparkSession, sf: str) -> DataFrame:
     return drift.consistent_table(table(spark, sf, "drift_files"))
 
 
+def p4_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    """The role columns of the one table."""
+    t = drift.consistent_table(table(spark, sf, "drift_files")).select("file_id", "row_no", "time", "lat", "lon", "id")
+    return t.withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
+
+
+def p4_alternatives(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.new_alternatives(table(spark, sf, "drift_files"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """The chunks that were too small, told from the compacted rows (written and checked first)."""
     done = compaction.compact(table(spark, sf, "vessel_points"))
@@ -98,7 +108,24 @@ RAW = r"""f as (
             and year(try_cast(d as date)) between 2012 and 2019 and lat between -90 and 90 and lon between -180 and 180, false) as valid from g)"""
 ROLE = "case when {0} in ('timestamp', 'time', 'datetime', 'date') then 'time' when {0} in ('lat', 'latitude', 'cell_ll_lat') then 'lat' when {0} in ('lon', 'longitude', 'long', 'cell_ll_lon') then 'lon' when {0} in ('mmsi', 'mmsi_id', 'mmsi_present') then 'id' end"
 
+FILES = f"""f as (select file_id, feed, file_date, string_split(replace(replace(ltrim(content, chr(65279)), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) as lines from drift_files),
+        h as (select file_id, k.range as k, lower(trim(trim(trim(trim(string_split(lines[1], ',')[k.range + 1]), chr(65279)), '"'))) as name from f, range(200) k where k.range < len(string_split(lines[1], ','))),
+        r as (select file_id, row_number() over (partition by file_id order by n) as row_no, line from (select file_id, unnest(lines[2:]) as line, unnest(range(len(lines) - 1)) as n from f) where line <> ''),
+        c as (select h.file_id, row_no, k, name, trim(trim(trim(string_split(line, ',')[k + 1]), '"')) as x from h join r on r.file_id = h.file_id)"""
+
 SQL = {
+    "p4_alternatives": f"""with {FILES}, t as (select feed, name, case when regexp_full_match(x, '[+-]?[0-9]+') then 'integer' when regexp_full_match(x, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') then 'decimal' else 'text' end as tag,
+            min(row(file_date, c.file_id)) as seen from c join f on f.file_id = c.file_id where x <> '' group by 1, 2, 3),
+        s as (select *, min(seen) over (partition by feed, name) as start from t)
+        select feed, name as column_name, tag as new_type, seen[2] as file_id, 'alternative' as change_kind from s where seen <> start""",
+    "p4_canonical": f"""with {FILES}, v as (select file_id, row_no, {ROLE.format("name")} as role, x,
+              k + 1000 * list_position(['timestamp', 'time', 'datetime', 'date', 'lat', 'latitude', 'cell_ll_lat', 'lon', 'longitude', 'long', 'cell_ll_lon', 'mmsi', 'mmsi_id', 'mmsi_present'], name) as p from c where x <> ''),
+        w as (select *, case when regexp_full_match(x, '[0-9]{{9,10}}([.][0-9]*)?') then epoch_ms(cast(floor(cast(x as double)) as bigint) * 1000)
+                when regexp_full_match(x, '[0-9]{{8}}') then try_cast(concat(x[:4], '-', x[5:6], '-', x[7:]) as timestamp) else try_cast(rtrim(x, 'Z') as timestamp) end as t,
+              case when regexp_full_match(x, '.*[SWsw]') then -1e0 else 1e0 end * try_cast(trim(rtrim(upper(x), 'NSEW')) as double) as d from v where role is not null)
+        select r.file_id, r.row_no, strftime(min_by(t, p) filter (role = 'time' and t is not null), '%Y-%m-%d %H:%M:%S') as time, min_by(d, p) filter (role = 'lat' and d is not null) as lat,
+          min_by(d, p) filter (role = 'lon' and d is not null) as lon, min_by(x, p) filter (role = 'id') as id
+        from r left join w on w.file_id = r.file_id and w.row_no = r.row_no group by 1, 2""",
     "p1_found": f"""
         select obs_id, 'lat' as field from vessel_points where not ({LAT_OK})
         union all select obs_id, 'lon' from vessel_points where not ({LON_OK})
@@ -148,4 +175,4 @@ SQL = {
     "p6_rows": "select * replace (" + ", ".join(f"case when not isnan({c}) then {c} end as {c}" for c in ("lat", "lon", "sst")) + "), " + ", ".join(f"coalesce(isnan({c}), false) as {c}_is_nan" for c in ("lat", "lon", "sst")) + " from vessel_points",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p2_found, p2_valid, p2_report, p3_found, p3_regions, p4_found, p4_consistent, p6_found, p6_rows)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p2_found, p2_valid, p2_report, p3_found, p3_regions, p4_found, p4_consistent, p4_canonical, p4_alternatives, p6_found, p6_rows)}

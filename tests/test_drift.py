@@ -133,3 +133,34 @@ def test_table_of_nothing(spark):
     assert D.consistent_table(files(spark, [None, "", "a,b\n"])).count() == 0
     with pytest.raises(ValueError, match="distinct"):
         D.consistent_table(files(spark, ["a,b,c\n1,2,3\n"]), most_columns=2)
+
+
+def test_huge_fields_surplus_cells_and_odd_quotes(spark):
+    long = "q" * 140_000
+    content = f'a,b\n"{long},x",2\n1,2,3,,4\n"un""quoted"tail,7\n" ""q"" ",\nplain"quote,8\n\n"two\nlines",9\n"open,1\n2'
+    df = files(spark, [content, "a,b\n1\n"])
+    rows = {(r.file_id, r.row_no): r for r in D.united_rows(df).collect()}
+    cells = [rows[0, k].cells for k in range(1, 8)]
+    assert cells == [{"a": long + ",x", "b": "2"}, {"a": "1", "b": "2"}, {"a": 'un"quotedtail', "b": "7"}, {"a": '"q"'}, {"a": 'plain"quote', "b": "8"}, {"a": "two\nlines", "b": "9"}, {"a": "open,1\n2"}]
+    assert (rows[0, 2].surplus, rows[0, 1].surplus, rows[1, 1].cells) == (["3", "4"], None, {"a": "1"})
+    s = {r.file_id: r for r in D.infer_schemas(df).collect()}
+    assert (s[0].surplus, s[1].surplus) == (3, 0)
+    assert [c.blank for c in s[0]["columns"]] == [0, 2]
+    t = {(r.file_id, r.row_no): r for r in D.consistent_table(df).collect()}
+    assert (t[0, 2].surplus, t[0, 3].surplus) == (["3", "4"], None)
+
+
+def test_alternatives_that_appear(spark):
+    df = files(spark, ["x,y\n1,\n2,\n", "x,y\n1,a\n", "x,y\n1,2\noops,3\n2.5,4\n", "x,x\nbad,2.5\n"])
+    got = sorted((r.file_id, r.column_name, r.new_type) for r in D.new_alternatives(df).collect())
+    assert got == [(2, "x", "decimal"), (2, "x", "text"), (2, "y", "integer")]
+    assert D.new_alternatives(df.limit(0)).count() == 0
+
+
+def test_files_before_are_found_across_months(spark):
+    days = [0, 3, 40, 41, 200, 900, 901]
+    rows = [(k, f, DAY + dt.timedelta(days=d), f"c{k % 3},d\n1,2\n") for f in ("u", None) for k, d in enumerate(days)] + [(50, "u", None, "e\n1\n")]
+    got = {(r.file_id, r.column_name, r.change_kind) for r in D.schema_changes(spark.createDataFrame(rows, SCHEMA).where("feed = 'u'")).collect()}
+    want = {(k, f"c{k % 3}", "added") for k in range(7)} | {(k, f"c{(k - 1) % 3}", "removed") for k in range(1, 7)} | {(0, "d", "added"), (0, "e", "removed")}
+    assert got == want
+    assert D.schema_changes(spark.createDataFrame(rows, SCHEMA).where("feed is null")).count() == 12
