@@ -1,31 +1,41 @@
 """Filling missing fields from similar records: nearest-neighbour hot deck.
 
 Records are hash-blocked on what was observed of them (vessel; one-degree cell; a band of a known field). Within a
-block, ordered by time, the closest donors before and after each incomplete record are found for every field by window
-functions, and the weighted median (numbers) or the majority (categories) of those donors is copied.
+block, in order of time, the nearest donors before and after each incomplete record are found for every field; the closest
+of all these by a distance over time, place and value give the weighted median (numbers) or the majority (categories).
 
-A block that holds too many rows for one task is split into time buckets; the nearest donors outside a bucket are
-carried into it by a summary of first and last donors per bucket, so the split changes no result.
+Blocks are range-partitioned by (block, time), so a hot block lies in many partitions. Each partition is read in order, a
+part at a time; what lies at its ends is told apart, and records that lack donors there find them in a second, small step
+among the donors at the ends of partitions. So where the cuts lie changes no result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import columns as C
-from .skew import heavy_keys
+from ..session import materialize
 
 HOUR = 3_600_000_000
-DAY = 24 * HOUR
-DONOR = "struct<o:{o},t:bigint,la:double,lo:double,s:double,f:boolean>"
 #: Added to the distance of a donor by how it was found.
-LEVELS = {"vessel": 0.0, "place": 0.5, "similar": 5.0}
-FIELDS = ("lat", "lon", "value", "flag")
-
-
-def _donor() -> Column:
-    return F.struct("o", "t", "la", "lo", "s", "f")
+LEVELS = {"vessel": 0.0, "place": 0.5, "similar": 5.0, "global": 50.0}
+#: What is filled: positions, values, flags. A bit of a mask stands for each and for the side (before, after).
+KINDS = ("p", "s", "f")
+SELF = ("o", "v", "t", "la", "lo", "s", "f")
+#: Where a record stands on an axis that it is asked on without having a place there: at its end.
+LAST = 10**18
+#: Records without donors of vessel or place that are sent to all tasks; more of them meet donors by the shuffle all others take.
+FEW_STRAYS = 10_000
+#: Rows that are looked at together.
+PART_ROWS = 200_000
 
 
 def _wrap(x: Column) -> Column:
@@ -33,109 +43,276 @@ def _wrap(x: Column) -> Column:
     return F.pmod(x + 180.0, F.lit(360.0)) - 180.0
 
 
-def _nearest(rows: DataFrame, block_hot: list | bool, width: int, kinds: dict[str, Column], wanted: Column | None = None) -> DataFrame:
-    """rows: block, t, o, la, lo, s, f, rec. For each row with rec: per kind the last donor before and the first after it in its block.
-
-    Ties in time are ordered by o. Returns rec and columns {kind}_p, {kind}_n. block_hot True splits all blocks; wanted
-    then tells the buckets that hold a rec, the others being needed for their summary only.
+def _bits(kind: int) -> int:
+    return 3 << (2 * kind)
+
+
+def _found(block: np.ndarray, gives: list[np.ndarray], want: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows in order of (block, place in it). For every kind and side: for each row that wants it, the k nearest givers of its
+    block, nearest first, as (wanting rows, their givers; -1 where there are fewer)."""
+    out = []
+    for kind in range(3):
+        donors = np.nonzero(gives[kind])[0]
+        for side in range(2):
+            rows = np.nonzero(want & (1 << (2 * kind + side)))[0]
+            at = np.searchsorted(donors, rows)[:, None] + (np.arange(k)[None, :] if side else -1 - np.arange(k)[None, :])
+            ok = (at >= 0) & (at < len(donors))
+            who = np.where(ok, donors[np.clip(at, 0, max(0, len(donors) - 1))] if len(donors) else -1, -1)
+            out.append((rows, np.where((who >= 0) & (block[who] == block[rows][:, None]), who, -1)))
+    return out
+
+
+class _Scan:
+    """One partition of rows in order of (block, x, o), read part by part. See _matched for the columns."""
+
+    def __init__(self, k: int, schema: pa.Schema, final: bool):
+        self.k, self.schema, self.final = k, schema, final
+        self.rows: pa.Table | None = None
+        self.fresh = 0  # rows kept from before, whose wants are settled but for self.pending
+        self.pending = np.zeros(0, np.int64)
+        self.first: int | None = None  # the first block
+        self.head = [k] * 3  # its donors that are still to be told
+        self.told = np.zeros(0, bool)  # of the rows kept: told as an end
+
+    def step(self, new: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        """Take in more rows (None: there are no more) and give what is settled."""
+        t = new if self.rows is None else self.rows if new is None else pa.concat_tables([self.rows, new])
+        if t is None or not t.num_rows:
+            return
+        n = t.num_rows
+        block = t["block"].to_numpy()
+        give = t["give"].to_numpy().astype(bool)
+        valid = lambda c: t[c].is_valid().to_numpy().astype(bool)
+        gives = [give & valid("la") & valid("lo"), give & valid("s"), give & valid("f")]
+        want = t["want"].to_numpy().copy()
+        want[: self.fresh] = self.pending
+        told = np.zeros(n, bool)
+        told[: self.fresh] = self.told
+        if self.first is None:
+            self.first = block[0]
+        open_block = block == block[-1] if new is not None else np.zeros(n, bool)
+        lack = np.zeros(n, np.int32)
+        wait = np.zeros(n, bool)
+        asked = want != 0
+        pieces = []
+        for c, (rows, who) in enumerate(_found(block, gives, want, self.k)):
+            short = who[:, -1] < 0
+            if c % 2:
+                wait[rows[short & open_block[rows]]] = True
+                beyond = short & (block[rows] == block[-1])
+            else:
+                beyond = short & (block[rows] == self.first)
+            if not self.final:
+                lack[rows[beyond]] |= 1 << c
+            pieces.append((c, rows, who, beyond & (not self.final)))
+        ready = asked & ~wait
+        if ready.any() or (new is None and not self.final):
+            yield from self._settled(t, ready, lack, pieces)
+        # the first donors of the first block, the last ones of the last
+        ends = []
+        if not self.final:
+            for kind in range(3):
+                seen = np.nonzero(gives[kind][self.fresh :] & (block[self.fresh :] == self.first))[0][: self.head[kind]] + self.fresh
+                self.head[kind] -= len(seen)
+                ends.append(seen)
+                if new is None:
+                    ends.append(np.nonzero(gives[kind] & (block == block[-1]))[0][-self.k :])
+            at = np.unique(np.concatenate(ends))
+            at = at[~told[at]]
+            told[at] = True
+            if len(at):
+                yield self._batch(t.take(pa.array(at)), np.zeros(len(at), np.int32), True, np.zeros(len(at) + 1, np.int64), t, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if new is None:
+            self.rows = None
+            return
+        begin = int(np.argmax(open_block))
+        keep = int(np.argmax(wait)) if wait.any() else n
+        for kind in range(3):
+            before = np.nonzero(gives[kind][begin:keep])[0]
+            if len(before):
+                keep = min(keep, begin + int(before[-self.k :][0])) if len(before) >= self.k else min(keep, begin + int(before[0]))
+        self.rows, self.fresh = t.slice(keep), n - keep
+        self.pending, self.told = np.where(wait, want, 0)[keep:], told[keep:]
+
+    def _settled(self, t: pa.Table, ready: np.ndarray, lack: np.ndarray, pieces: list) -> Iterator[pa.RecordBatch]:
+        at = np.nonzero(ready)[0]
+        if not len(at):
+            return
+        place = np.full(len(ready), -1, np.int64)
+        place[at] = np.arange(len(at))
+        owner, donor, combo = [], [], []
+        for c, rows, who, beyond in pieces:
+            use = (who >= 0) & (ready[rows] & ~beyond)[:, None]
+            owner.append(np.broadcast_to(place[rows][:, None], who.shape)[use])
+            donor.append(who[use])
+            combo.append(np.full(int(use.sum()), c // 2))
+        owner, donor, combo = np.concatenate(owner), np.concatenate(donor), np.concatenate(combo)
+        order = np.argsort(owner, kind="stable")
+        bounds = np.searchsorted(owner[order], np.arange(len(at) + 1))
+        yield self._batch(t.take(pa.array(at)), lack[at], False, bounds, t, donor[order], combo[order])
+
+    def _batch(self, rows: pa.Table, lack: np.ndarray, end: bool, bounds: np.ndarray, t: pa.Table, donor: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        kept = ("block", "x", "level", *SELF)
+        d = t.select(["o", "t", "la", "lo", "s", "f"]).take(pa.array(donor)).combine_chunks()
+        item = self.schema.field("c").type.value_type
+        one = lambda col, kind_: (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).cast(kind_)
+        flat = pa.StructArray.from_arrays([pa.array(kind.astype(np.int32)), one(rows["level"], pa.string()).take(pa.array(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))), *[one(d[c], item.field(c).type) for c in ("o", "t", "la", "lo", "s", "f")]], fields=list(item))
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat).cast(self.schema.field("c").type)
+        return pa.RecordBatch.from_arrays([*[one(rows[c], self.schema.field(c).type) for c in kept], pa.array(lack), pa.array(np.full(rows.num_rows, end)), lists], schema=self.schema)
+
+
+def _scanned(sorted_rows: DataFrame, k: int, final: bool) -> DataFrame:
+    """_Scan over every partition: block, x, level, the seeker's own columns, lack (mask of what may be beyond the partition), end
+    (whether the row is no seeker but a donor at an end), c (donors: kind, level, o, t, la, lo, s, f)."""
+    kinds = {f.name: f.dataType for f in sorted_rows.schema.fields}
+    item = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("level", T.StringType()), *[T.StructField(c, kinds[c]) for c in ("o", "t", "la", "lo", "s", "f")]])
+    schema = T.StructType([*[T.StructField(c, kinds[c]) for c in ("block", "x", "level", *SELF)], T.StructField("lack", T.IntegerType()), T.StructField("end", T.BooleanType()), T.StructField("c", T.ArrayType(item))])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan, held, size = _Scan(k, arrow, final), [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= PART_ROWS:
+                yield from scan.step(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from scan.step(pa.Table.from_batches(held))
+        yield from scan.step(None)
+
+    return sorted_rows.mapInArrow(run, schema)
+
+
+def _matched(rows: DataFrame, k: int, name: str) -> DataFrame:
+    """rows: block, x, level, give (may be a donor), want (mask of kinds and sides it seeks) and the columns of SELF. For every
+    seeker: level, its own columns and c, the k nearest donors on both sides of x in its block, for each kind it wants; in one
+    row of step 1, and in another one of step 2 if not all of them were found in the first.
+
+    The first step is written to the shared folder; the second one takes what it could not settle: seekers at the ends of
+    partitions, and the donors there, at most 12k rows for each partition.
     """
-    hot = F.lit(True) if block_hot is True else F.col("block").isin(block_hot) if block_hot else F.lit(False)
-    rows = rows.withColumn("bucket", F.when(hot, F.floor(F.col("t") / width)).otherwise(F.lit(0).cast("bigint")))
-    if block_hot:
-        d = _donor()
-        ends = (
-            rows.where(hot)
-            .groupBy("block", "bucket")
-            .agg(*[g(F.when(k, d), F.when(k, F.struct("t", "o"))).alias(f"{side}_{n}") for n, k in kinds.items() for side, g in (("first", F.min_by), ("last", F.max_by))])
-        )
-        by = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        yb = Window.partitionBy("block").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-        carried = [F.last(f"last_{n}", True).over(by) for n in kinds] + [F.last(f"first_{n}", True).over(yb) for n in kinds]
-        extra = ends.select("block", "bucket", F.array(*carried).alias("ds")).select("block", "bucket", F.explode(F.array_distinct("ds")).alias("d"))
-        extra = extra.where("d is not null").select("block", "d.*", "bucket").withColumn("rec", F.lit(None).cast(rows.schema["rec"].dataType))
-        rows = (rows if wanted is None else rows.where(wanted)).unionByName(extra if wanted is None else extra.where(wanted))
-    fwd = Window.partitionBy("block", "bucket").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, -1)
-    bwd = Window.partitionBy("block", "bucket").orderBy(F.desc("t"), F.desc("o")).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows
-    for n, k in kinds.items():
-        out = out.withColumn(f"{n}_k", F.when(k, _donor()))
-    return out.select("rec", *[F.last(f"{n}_k", True).over(w).alias(f"{n}_{s}") for s, w in (("p", fwd), ("n", bwd)) for n in kinds]).where("rec is not null")
-
-
-#: Millionths of a degree in a bucket when a block is ordered by a known field; where donors that lack the field stand.
-STEP, LAST = 250_000, 10**12
-#: Blocks or buckets that are asked for are collected by hash: so many at most.
-SLOTS = 4096
-AXES = ("la", "lo", "s")
-
-
-def _slot(*keys: Column) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
-
-
-def _timeless(base: DataFrame, seekers: DataFrame, nothing: Column, keep: list[str]) -> DataFrame:
-    """Candidates (cp, cs, cf) for rows without time: the donors of the vessel, then of the cell, then of all rows, that stand next to the row
-    by a field it has (latitude, else longitude, else value). A row with nothing but a vessel stands at its vessel's median latitude.
-    """
-    has = {"p": F.col("la").isNotNull() & F.col("lo").isNotNull(), "s": F.col("s").isNotNull(), "f": F.col("f").isNotNull()}
+    one = _scanned(rows.repartitionByRange("block", "x", "o").sortWithinPartitions("block", "x", "o"), k, False)
+    one = materialize(one, name)
+    rest = one.where("end or lack != 0").select("block", "x", "level", F.col("end").alias("give"), F.col("lack").alias("want"), *SELF)
+    two = _scanned(rest.repartition("block").sortWithinPartitions("block", "x", "o"), k, True)
+    had = one.where("not end").select("level", *SELF, "c", F.lit(1).alias("step"))
+    return had.unionByName(two.select("level", *SELF, "c", F.lit(2).alias("step")))
+
+
+def _axis(c: str) -> Column:
+    """Where a record stands on an axis: microseconds, or millionths of a degree."""
+    return F.col(c) if c == "t" else F.round(F.col(c) * 1_000_000).cast("bigint")
+
+
+#: How blocks are made of a record, by name; `all` holds every record.
+def _block(name: str, axis: str) -> Column:
     cell = (F.floor(F.least(F.col("la"), F.lit(89.999999))) + 90) * 360 + F.floor(F.col("lo")) + 180
-    scaled = lambda c: F.round(c * 1_000_000).cast("bigint")
-    axis = F.when(F.col("la").isNotNull(), "la").when(F.col("lo").isNotNull(), "lo").when(has["s"], "s")
-    own = F.coalesce(*AXES)
-    # block by axis, and the seekers that have one
-    levels = {
-        "vessel": (lambda a: F.when(F.col("v").isNotNull(), F.xxhash64("v", a)), F.coalesce(axis, F.lit("la"))),
-        "place": (lambda a: F.when(has["p"] & (a == "la"), cell), axis),
-        "similar": (lambda a: F.when(a.isNotNull(), F.xxhash64(a)), axis),
-    }
-    bare = seekers.where(axis.isNull() & F.col("v").isNotNull())
-    slots = [r[0] for r in bare.select(_slot(F.col("v"))).distinct().collect()]
-    middle = base.where(_slot(F.col("v")).isin(slots) & F.col("v").isNotNull()).groupBy(F.col("v").alias("vm")).agg(F.percentile_approx("la", 0.5, 10_000).alias("middle"))
-    if slots:
-        todo = seekers.join(middle, F.col("v") == F.col("vm"), "left").drop("vm")
+    value = {"vessel": F.col("v"), "place": F.when(F.col("la").isNotNull() & F.col("lo").isNotNull(), cell), "value": F.floor("s").cast("bigint"), "parallel": F.floor(F.col("la") / 5).cast("bigint"), "all": F.lit(0).cast("bigint")}[name]
+    return F.when(value.isNotNull(), F.xxhash64(F.lit(name), F.lit(axis), value))
+
+
+def _asks(stray: DataFrame) -> DataFrame:
+    """Where seekers are asked for that found no donors of vessel or place, or have no time: one row per seeker and level, with
+    rank (levels are tried in its order), of (name, axis) blocks."""
+    timed = F.col("t").isNotNull()
+    own = F.when(F.col("la").isNotNull(), "la").when(F.col("lo").isNotNull(), "lo").when(F.col("s").isNotNull(), "s")
+
+    def ask(level: str, name: str, axis: str, when: Column, x: Column | None = None) -> Column:
+        return F.when(when & _block(name, axis).isNotNull(), F.struct(F.lit(level).alias("level"), _block(name, axis).alias("block"), (_axis(axis) if x is None else x).alias("x"), F.lit(f"{name} {axis}").alias("deck")))
+
+    end = F.lit(LAST).cast("bigint")
+    tries = [
+        *[ask("vessel", "vessel", a, ~timed & (own == a)) for a in ("la", "lo", "s")],
+        ask("vessel", "vessel", "t", ~timed & own.isNull(), end),
+        ask("place", "place", "la", ~timed),
+        ask("similar", "value", "t", timed),
+        ask("similar", "parallel", "t", timed & F.col("s").isNull()),
+        *[ask("similar", "all", a, ~timed & (own == a)) for a in ("la", "lo", "s")],
+        ask("global", "all", "t", F.lit(True), F.coalesce("t", end)),
+    ]
+    a = stray.select(*SELF, "want", F.posexplode(F.array(*tries)).alias("rank", "a")).where("a is not null")
+    return a.select(*SELF, "want", "rank", "a.*")
+
+
+def _decks(base: DataFrame, decks: list[str]) -> Column:
+    """The blocks of a donor in the given decks, each with its place there."""
+    at = [F.struct(_block(*d.split()).alias("block"), _axis(d.split()[1]).alias("x")) for d in decks]
+    return F.filter(F.array(*at), lambda b: b["block"].isNotNull() & b["x"].isNotNull())
+
+
+def _strays(base: DataFrame, stray: DataFrame, k: int) -> DataFrame:
+    """(columns of SELF, c) for seekers without donors so far: those of the first level that has any, for each kind.
+
+    Few of them are sent to all tasks, and each partition of the donors tells its k nearest on each side; otherwise seekers
+    and the donors of the blocks asked for go through _matched.
+    """
+    asks = _asks(stray)
+    few = asks.limit(10 * FEW_STRAYS + 1).collect()
+    if not few:
+        return stray.select(*SELF).withColumn("c", F.lit(None).cast("array<int>")).where("false")
+    decks = sorted({r["deck"] for r in few}) if len(few) <= 10 * FEW_STRAYS else sorted(r["deck"] for r in asks.select("deck").distinct().collect())
+    donors = base.where("(la is not null and lo is not null) or s is not null or f is not null").select(*SELF, F.explode(_decks(base, decks)).alias("b")).select("b.*", *SELF)
+    if len(few) > 10 * FEW_STRAYS:
+        sought = asks.select("block").distinct()
+        givers = donors.join(sought, "block", "left_semi").select("block", "x", F.lit(None).cast("string").alias("level"), F.lit(True).alias("give"), F.lit(0).alias("want"), *SELF)
+        seekers = asks.select("block", "x", F.concat(F.lpad(F.col("rank").cast("string"), 2, "0"), "level").alias("level"), F.lit(False).alias("give"), "want", *SELF)
+        got = _matched(givers.unionByName(seekers), k, "strays").select(*SELF, F.explode("c").alias("d"))
+        got = got.select(*SELF, F.col("d.kind").alias("kind"), F.substring("d.level", 1, 2).cast("int").alias("rank"), F.struct("d.kind", F.expr("substring(d.level, 3)").alias("level"), *[f"d.{c}" for c in ("o", "t", "la", "lo", "s", "f")]).alias("d"))
     else:
-        todo = seekers.withColumn("middle", F.lit(None).cast("double"))
-    todo = todo.select(*keep, "middle", *[nothing.alias(f"c{n}") for n in "psf"])
-    for level, (block, a) in levels.items():
-        lacks = F.lit(False)
-        for n, k in has.items():
-            lacks = lacks | (~k & (F.size(f"c{n}") == 0))
-        x = F.coalesce(scaled(own), scaled(F.col("middle")), F.lit(LAST))
-        asks = todo.withColumns({"block": F.when(lacks, block(a)), "t_": x})
-        bucket = F.floor(F.col("t_") / STEP)
-        key = (lambda: _slot(F.col("block"))) if level != "similar" else (lambda: _slot(F.col("block"), F.floor(F.col("t") / STEP)))
-        sought = asks.where("block is not null").select((_slot(F.col("block")) if level != "similar" else _slot(F.col("block"), bucket)).alias("k"), a.alias("a")).groupBy("k", "a").count().select("k", "a").collect()
-        if not sought:
-            continue
-        axes = sorted({r["a"] for r in sought})
-        among = key().isin(sorted({r["k"] for r in sought}))
-        held = F.explode(F.array(*[F.struct(F.lit(n).alias("a"), F.coalesce(scaled(F.col(n)), F.lit(LAST)).alias("x")) for n in axes]))
-        givers = base.where(has["p"] | has["s"] | has["f"]).select("*", held.alias("h")).withColumn("block", block(F.col("h.a"))).where("block is not null")
-        givers = givers.select("block", F.col("h.x").alias("t"), "o", "la", "lo", "s", "f")
-        if level != "similar":
-            givers = givers.where(among)
-        rec = F.struct(*keep, "middle", "cp", "cs", "cf")
-        none = [F.lit(None).cast(t).alias(n) for n, t in (("la", "double"), ("lo", "double"), ("s", "double"), ("f", "boolean"))]
-        seek = asks.where("block is not null").select("block", F.col("t_").alias("t"), "o", *none, rec.alias("rec"))
-        both = givers.withColumn("rec", F.lit(None).cast(seek.schema["rec"].dataType)).unionByName(seek)
-        wanted = None if level != "similar" else _slot(F.col("block"), F.col("bucket")).isin(sorted({r["k"] for r in sought}))
-        got = _nearest(both, True, STEP, has, wanted)
-        got = got.select("rec.*", *[_found(level, n).alias(f"n{n}") for n in "psf"])
-        got = got.select(*keep, "middle", *[F.when(F.size(f"c{n}") == 0, F.col(f"n{n}")).otherwise(F.col(f"c{n}")).alias(f"c{n}") for n in "psf"])
-        todo = got.unionByName(asks.where("block is null").drop("block", "t_"))
-    return todo.drop("middle")
-
-
-def _found(level: str, name: str) -> Column:
-    """The donors of one kind as an array of (level, donor)."""
-    both = F.filter(F.array(f"{name}_p", f"{name}_n"), lambda x: x.isNotNull())
-    return F.transform(both, lambda d: F.struct(F.lit(level).alias("level"), d.alias("d")))
-
-
-def _joined(have: str, more: str) -> Column:
-    """More candidates, without those there already."""
-    ids = F.transform(have, lambda x: x["d"]["o"])
-    return F.concat(have, F.filter(more, lambda x: ~F.coalesce(F.array_contains(ids, x["d"]["o"]), F.lit(False))))
+        got = _sent(donors, few, base, k)
+    w = Window.partitionBy(*SELF, "kind")
+    best = got.withColumn("least", F.min("rank").over(w)).where("rank = least")
+    return best.groupBy(*SELF).agg(F.collect_set("d").alias("c"))
+
+
+def _sent(donors: DataFrame, asks: list, base: DataFrame, k: int) -> DataFrame:
+    """(columns of SELF, kind, rank, d): the k nearest donors on each side of every ask, which are sent to all tasks."""
+    kinds = {f.name: f.dataType for f in base.schema.fields}
+    blocks = np.array([r["block"] for r in asks], np.int64)
+    xs = np.array([r["x"] for r in asks], np.int64)
+    wants = np.array([r["want"] for r in asks], np.int32)
+    given = ("o", "t", "la", "lo", "s", "f")
+    schema = T.StructType([T.StructField("ask", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("side", T.IntegerType()), T.StructField("x", T.LongType()), *[T.StructField(c, kinds[c]) for c in given]])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+    asked = np.unique(blocks)
+
+    def near(t: pa.Table) -> pa.RecordBatch:
+        t = t.filter(pa.array(asked[np.minimum(np.searchsorted(asked, t["block"].to_numpy()), len(asked) - 1)] == t["block"].to_numpy())).sort_by([("block", "ascending"), ("x", "ascending"), ("o", "ascending")])
+        n, m = t.num_rows, len(asks)
+        block = np.concatenate([t["block"].to_numpy(), blocks])
+        x = np.concatenate([t["x"].to_numpy(), xs])
+        order = np.lexsort((np.concatenate([np.ones(n, np.int8), np.zeros(m, np.int8)]), x, block))
+        valid = lambda c: np.concatenate([t[c].is_valid().to_numpy().astype(bool), np.zeros(m, bool)])[order]
+        found = _found(block[order], [valid("la") & valid("lo"), valid("s"), valid("f")], np.concatenate([np.zeros(n, np.int32), wants])[order], k)
+        ask, combo, who = [], [], []
+        for c, (rows, got) in enumerate(found):
+            use = got >= 0
+            ask.append(np.broadcast_to(order[rows][:, None], got.shape)[use] - n)
+            who.append(order[got[use]])
+            combo.append(np.full(int(use.sum()), c))
+        ask, combo, who = (np.concatenate(z) for z in (ask, combo, who))
+        d = t.take(pa.array(who)).combine_chunks()
+        one = lambda c: (d[c].combine_chunks() if isinstance(d[c], pa.ChunkedArray) else d[c]).cast(arrow.field(c).type)
+        return pa.RecordBatch.from_arrays([pa.array(ask.astype(np.int32)), pa.array((combo // 2).astype(np.int32)), pa.array((combo % 2).astype(np.int32)), *[one(c) for c in ("x", *given)]], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= PART_ROWS:
+                yield near(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield near(pa.Table.from_batches(held))
+
+    got = donors.select("block", *[c for c in schema.names if c not in ("ask", "kind", "side")]).mapInArrow(run, schema)
+    side = F.when(F.col("side") == 0, -F.col("x")).otherwise(F.col("x"))
+    got = got.withColumn("n", F.row_number().over(Window.partitionBy("ask", "kind", "side").orderBy(side, F.col("o")))).where(F.col("n") <= k)
+    table = base.sparkSession.createDataFrame([(n, r["rank"], r["level"], *[r[c] for c in SELF]) for n, r in enumerate(asks)], T.StructType([T.StructField("n_", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("level", T.StringType()), *[T.StructField(f"{c}_", kinds[c]) for c in SELF]]))
+    own = got.join(F.broadcast(table), F.col("ask") == F.col("n_"))
+    return own.select(*[F.col(f"{c}_").alias(c) for c in SELF], "kind", "rank", F.struct("kind", "level", *given).alias("d"))
 
 
 def _weighted(cand: Column, value) -> Column:
@@ -150,7 +327,22 @@ def _weighted(cand: Column, value) -> Column:
     )["r"]
 
 
-def fill_from_similar(
+def _base(df: DataFrame, id_col: str, vessel_col: str, time_col: str, lat_col: str, lon_col: str, value_col: str, flag_col: str, value_range: tuple[float, float]) -> list[Column]:
+    """The columns of SELF: id, hash of the vessel, time, and the usable fields."""
+    lat, lon, val, flag = (C.quoted(x) for x in (lat_col, lon_col, value_col, flag_col))
+    vessel = C.vessel_key(C.quoted(vessel_col))
+    return [
+        C.quoted(id_col).alias("o"),
+        F.when(vessel.isNotNull(), F.xxhash64(vessel)).alias("v"),
+        C.micros_of(df, time_col).alias("t"),
+        F.when(C.usable_lat(lat, lon), lat.cast("double")).alias("la"),
+        F.when(C.usable_lon(lat, lon), F.when(lon > 180, lon.cast("double") - 360).otherwise(lon.cast("double"))).alias("lo"),
+        F.when(C.usable_value(val, flag, value_range), val.cast("double")).alias("s"),
+        flag.cast("boolean").alias("f"),
+    ]
+
+
+def find_fills(
     df: DataFrame,
     id_col: str = "obs_id",
     vessel_col: str = "MMSI",
@@ -160,131 +352,121 @@ def fill_from_similar(
     value_col: str = "sst",
     flag_col: str = "sst_missing",
     value_range: tuple[float, float] = C.VALUE_RANGE,
-    bucket_hours: int = 24,
-    hot_share: float = 0.001,
-    hot_rows: int = 100_000,
+    neighbours: int = 3,
+    donors: int = 4,
 ) -> DataFrame:
-    """Every input row, once, with all its columns and a struct column `fill`.
+    """For the rows of df that lack a field: the columns of SELF (o is the id), n_rows (rows of df equal in all these) and fill.
 
     fill.lat, fill.lon, fill.value, fill.flag hold the usable or filled values; fill.marks is an array with one
-    struct(field, level, donors) for each field that was filled. level is `vessel`, `place`, `similar` (same band of a
-    known field, nearest days) or `global` (median or majority of all usable values, no single donors) or, when the table
-    has no usable value at all, `none` (the value stays null). donors are the ids of the records copied from.
+    struct(field, level, donors) for each field that was filled. level tells where the closest donor was found: `vessel`, `place`,
+    `similar` (the band of a known field, or next to the row by a known field where it has no time), `global` (of all rows:
+    next in time, or the latest ones if there is no time either); `none` means that the table has no usable value at all (it stays
+    null). donors are the ids of the records copied from, the closest first.
 
-    Usable: lat in -90..90, lon in -180..360 and not both 0; value within value_range and not flagged missing; flag not
-    null. Null and NaN are not usable. Rows with a null time or blank vessel are filled from what else is known of them:
-    without time, donors are those of the vessel, else of the place, else of all rows (`similar`), next to the row by a known field.
-    Repeated rows are filled each for itself and may serve each other as donors; ties in time are ordered by id, tied
-    weights of the flag give false. An empty table gives an empty result. A column named `fill` is kept; the new one is
-    then `fill_`. Longitudes are
-    compared modulo 360; fill.lon is in -180..180.
+    neighbours: the nearest donors in time on each side, in the block of the vessel and in that of the place; donors: how many
+    of all these are used, the closest by a distance over hours, degrees, value and level.
     """
-    lat, lon, val, flag = (C.quoted(x) for x in (lat_col, lon_col, value_col, flag_col))
-    la_ok, lo_ok = C.usable_lat(lat, lon), C.usable_lon(lat, lon)
-    base = df.select(
-        F.struct(*[C.quoted(c) for c in df.columns]).alias("row"),
-        C.quoted(id_col).alias("o"),
-        F.xxhash64(C.vessel_key(C.quoted(vessel_col))).alias("v0"),
-        C.vessel_key(C.quoted(vessel_col)).isNotNull().alias("known"),
-        C.micros_of(df, time_col).alias("t"),
-        F.when(la_ok, lat.cast("double")).alias("la"),
-        F.when(lo_ok, F.when(lon > 180, lon.cast("double") - 360).otherwise(lon.cast("double"))).alias("lo"),
-        F.when(C.usable_value(val, flag, value_range), val.cast("double")).alias("s"),
-        flag.cast("boolean").alias("f"),
-    ).withColumn("v", F.when(F.col("known"), F.col("v0"))).drop("v0", "known")
-    o_type = df.schema[id_col].dataType.simpleString()
-    donor_type = DONOR.format(o=o_type)
-    nothing = F.array().cast(f"array<struct<level:string,d:{donor_type}>>")
-    need = F.col("la").isNull() | F.col("lo").isNull() | F.col("s").isNull() | F.col("f").isNull()
-    pos, has_s, has_f = F.col("la").isNotNull() & F.col("lo").isNotNull(), F.col("s").isNotNull(), F.col("f").isNotNull()
-    keep = ["row", "o", "v", "t", "la", "lo", "s", "f"]
-    rec = F.struct(*keep, nothing.alias("cp"), nothing.alias("cs"), nothing.alias("cf"))
-    donor_cols = ["t", "o", "la", "lo", "s", "f"]
-
-    by_vessel = F.col("v").isNotNull() & F.col("t").isNotNull()
-    placed = pos & F.col("t").isNotNull()
-    day = F.floor(F.col("t") / DAY)
-    # one row: medians for what has no donor at all, the span of days, and how many rows each blocking has
-    g = base.agg(
-        *[F.percentile_approx(x, 0.5).alias(x) for x in ("la", "lo", "s")],
-        (F.count_if("f") * 2 > F.count("f")).alias("f"), F.count("f").alias("nf"), F.min(day).alias("d0"), F.max(day).alias("d1"), F.count_if(by_vessel).alias("nv"), F.count_if(placed).alias("np"), F.count_if(need & F.col("t").isNull()).alias("late"),
-    ).first()
-    # rows that a step has nothing for go through it all the same, spread by their id: so no step is computed twice
-    apart = -1 - F.pmod(F.xxhash64("o"), F.lit(1_000_000))
-    no_donor = [F.lit(None).cast(x).alias(n) for n, x in (("la", "double"), ("lo", "double"), ("s", "double"), ("f", "boolean"))]
-
-    # vessel: all rows of the vessel, by time
-    hot_v = heavy_keys(base.where(by_vessel), F.col("v"), hot_share, hot_rows, g["nv"])
-    late, need_t = base.where(need & F.col("t").isNull()), need & F.col("t").isNotNull()
-    rows = base.where(by_vessel | need_t).select(F.when(by_vessel, F.col("v")).otherwise(apart).alias("block"), F.when(by_vessel, F.col("t")).alias("t"), "o", *[F.when(by_vessel, F.col(c)).alias(c) for c in ("la", "lo", "s", "f")], F.when(need_t, rec).alias("rec"))
-    a = _nearest(rows, hot_v, bucket_hours * HOUR, {"p": pos, "s": has_s, "f": has_f})
-    todo = a.select("rec.*", *[_found("vessel", n).alias(f"n{n}") for n in "psf"]).select(*keep, *[F.col(f"n{n}").alias(f"c{n}") for n in "psf"])
-
-    # place: all rows of the one-degree cell, by time
-    cell = (F.floor(F.least(F.col("la"), F.lit(89.999999))) + 90) * 360 + F.floor(F.col("lo")) + 180
-    wants = F.coalesce(placed & (F.col("s").isNull() | F.col("f").isNull()), F.lit(False))
-    hot_c = heavy_keys(base.where(placed), cell, hot_share, hot_rows, g["np"])
-    givers = base.where(placed & (has_s | has_f)).select(cell.alias("block"), *donor_cols)
-    inner = F.struct(*keep, "cp", "cs", "cf")
-    seekers = todo.select(F.when(wants, cell).otherwise(apart).alias("block"), "t", "o", *no_donor, inner.alias("rec"))
-    b = _nearest(givers.withColumn("rec", F.lit(None).cast(seekers.schema["rec"].dataType)).unionByName(seekers), hot_c, bucket_hours * HOUR, {"s": has_s, "f": has_f})
-    todo = b.select("rec.*", *[_found("place", n).alias(f"n{n}") for n in "sf"]).select(*keep, "cp", _joined("cs", "ns").alias("cs"), _joined("cf", "nf").alias("cf"))
-
-    # similar: a deck of one complete record per (band of a known field, day), filled up to all days of its time
-    full = base.where(pos & has_s & has_f & F.col("t").isNotNull())
-    bands = F.array(F.floor("s").cast("int") + 1000, F.floor(F.col("la") / 5).cast("int") + 2000, F.lit(0))
-    deck = full.select(F.explode(bands).alias("band"), day.alias("day"), *donor_cols).groupBy("band", "day")
-    deck = deck.agg(F.min("t").alias("t0"), *[F.min_by(c, "t").alias(c) for c in ("o", "la", "lo", "s", "f")]).withColumnRenamed("t0", "t")
-    deck = deck.select("band", "day", _donor().alias("d"))
-    lacks = ((F.size("cp") == 0) & ~pos) | ((F.size("cs") == 0) & ~has_s) | ((F.size("cf") == 0) & ~has_f)
-    asks = lacks & F.col("t").isNotNull()
-    band = F.when(has_s, F.floor("s").cast("int") + 1000).when(F.col("la").isNotNull(), F.floor(F.col("la") / 5).cast("int") + 2000).otherwise(0)
-    if g["d0"] is not None:
-        # (bands of the value's range and of latitude) x days: its size has nothing to do with the number of rows
-        days = deck.select("band").distinct().select("band", F.explode(F.sequence(F.lit(g["d0"]), F.lit(g["d1"]))).alias("day"))
-        w = Window.partitionBy("band").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-        rev = Window.partitionBy("band").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-        near = days.join(deck, ["band", "day"], "left").select("band", "day", F.last("d", True).over(w).alias("s_p"), F.last("d", True).over(rev).alias("s_n"))
-        near = near.select(F.col("band").cast("bigint").alias("_band"), F.col("day").alias("_day"), _found("similar", "s").alias("ns"))
-        c = todo.withColumns({"_b": F.when(asks, band).otherwise(apart), "_d": F.when(asks, day).otherwise(0)}).join(near, (F.col("_b") == F.col("_band")) & (F.col("_d") == F.col("_day")), "left")
-        todo = c.withColumn("ns", F.coalesce("ns", nothing)).select(*keep, *[F.when(F.size(f"c{n}") == 0, F.col("ns")).otherwise(F.col(f"c{n}")).alias(f"c{n}") for n in "psf"])
-
-    if g["late"]:
-        todo = todo.unionByName(_timeless(base, late, nothing, keep))
-
-    # global: one row of medians, for what has no donor at all
-    def weighed(cand: Column) -> Column:
-        def w(x):
-            d = x["d"]
-            hours = F.coalesce(F.abs(d["t"] - F.col("t")) / HOUR, F.when(d["t"] == LAST, 10_000.0), F.lit(0.0))  # LAST: not known to be near
-            degrees = F.coalesce(F.abs(d["la"] - F.col("la")), F.lit(0.0)) + F.coalesce(F.abs(_wrap(d["lo"] - F.col("lo"))) * F.cos(F.radians(F.coalesce(F.col("la"), d["la"]))), F.lit(0.0))
-            gap = F.coalesce(F.abs(d["s"] - F.col("s")), F.lit(0.0))
-            level = F.element_at(F.create_map(*[F.lit(z) for kv in LEVELS.items() for z in kv]), x["level"])
-            return F.struct(x["level"].alias("level"), d.alias("d"), (1.0 / (1.0 + hours / 6 + degrees * 2 + gap + level)).alias("w"))
-
-        return F.transform(cand, w)
-
-    todo = todo.select(*keep, *[weighed(F.col(f"c{n}")).alias(f"c{n}") for n in "psf"])
-    ref = F.array_max(F.transform("cp", lambda x: F.struct(x["w"].alias("w"), x["d"]["lo"].alias("lo"))))["lo"]
+    base = df.select(*_base(df, id_col, vessel_col, time_col, lat_col, lon_col, value_col, flag_col, value_range))
+    field_of = {"lat": lat_col, "lon": lon_col, "value": value_col, "flag": flag_col}
+    has = {"p": F.col("la").isNotNull() & F.col("lo").isNotNull(), "s": F.col("s").isNotNull(), "f": F.col("f").isNotNull()}
+    masks = {n: F.when(~has[n], F.lit(_bits(k))).otherwise(0) for k, n in enumerate(KINDS)}
+    want = masks["p"] + masks["s"] + masks["f"]
+    known = F.col("t").isNotNull()
+
+    def entry(level: str, when: Column, wants: Column) -> Column:
+        return F.when(when, F.struct(F.lit(level).alias("level"), _block(level, "t").alias("block"), F.col("t").alias("x"), F.lit(True).alias("give"), wants.alias("want")))
+
+    by_vessel = known & F.col("v").isNotNull()
+    by_place = known & has["p"] & (has["s"] | has["f"] | (want > 0))
+    # what has neither goes through by itself, so that every row that lacks something comes out
+    alone = F.when((want > 0) & ~by_vessel & ~by_place, F.struct(F.lit("none").alias("level"), F.xxhash64("o", "t", "la", "lo", "s", "f").alias("block"), F.coalesce("t", F.lit(0).cast("bigint")).alias("x"), F.lit(False).alias("give"), want.alias("want")))
+    entries = F.filter(F.array(entry("vessel", by_vessel, want), entry("place", by_place, want), alone), lambda x: x.isNotNull())
+    rows = base.select(*SELF, F.explode(entries).alias("b")).select("b.*", *SELF)
+    got = _matched(rows, neighbours, "candidates")
+    levels = ("vessel", "place", "none")
+    nothing = F.array().cast(got.schema["c"].dataType)
+    # rows equal in all columns have equal donors: one of them speaks for all
+    found = [F.coalesce(F.max(F.when((F.col("level") == n) & (F.col("step") == k), F.col("c"))), nothing) for n in levels[:2] for k in (1, 2)]
+    got = got.groupBy(*SELF).agg(F.concat(*found).alias("c"), F.greatest(*[F.count_if((F.col("level") == n) & (F.col("step") == 1)) for n in levels]).alias("n_rows"))
+    of = lambda k: F.filter("c", lambda x: x["kind"] == k)
+    missing = sum(((F.when(~has[n] & (F.size(of(k)) == 0), F.lit(_bits(k))).otherwise(0)) for k, n in enumerate(KINDS)), F.lit(0))
+    stray = got.select(*SELF, missing.cast("int").alias("want")).where("want > 0")
+    more = _strays(base, stray, neighbours)
+    same = None
+    for c in SELF:
+        one = F.col(c).eqNullSafe(F.col(f"{c}_"))
+        same = one if same is None else same & one
+    if "kind" in more.schema["c"].dataType.simpleString():
+        more = more.select(*[F.col(c).alias(f"{c}_") for c in SELF], F.col("c").alias("more"))
+        got = got.join(more, same, "left").select(*SELF, "n_rows", F.concat("c", F.coalesce("more", nothing)).alias("c"))
+
+    def weight(d: Column) -> Column:
+        hours = F.coalesce(F.abs(d["t"] - F.col("t")) / HOUR, F.lit(0.0))
+        degrees = F.coalesce(F.abs(d["la"] - F.col("la")), F.lit(0.0)) + F.coalesce(F.abs(_wrap(d["lo"] - F.col("lo"))) * F.cos(F.radians(F.coalesce(F.col("la"), d["la"]))), F.lit(0.0))
+        gap = F.coalesce(F.abs(d["s"] - F.col("s")), F.lit(0.0))
+        level = F.element_at(F.create_map(*[F.lit(z) for kv in LEVELS.items() for z in kv]), d["level"])
+        return 1.0 / (1.0 + hours / 6 + degrees * 2 + gap + level)
+
+    def closest(kind: int) -> Column:
+        """Each donor once, by its best level; the closest come first, ties in order of id."""
+        own = F.transform(of(kind), lambda x: F.struct((-weight(x)).alias("far"), x["o"].alias("o"), x.alias("d"), weight(x).alias("w")))
+        own = F.array_sort(own)
+        first = F.filter(own, lambda x, at: ~F.exists(F.slice(own, 1, at), lambda y: y["o"].eqNullSafe(x["o"]) & y["d"]["t"].eqNullSafe(x["d"]["t"])))
+        return F.slice(first, 1, donors)
+
+    todo = got.select(*SELF, "n_rows", *[closest(k).alias(f"c{n}") for k, n in enumerate(KINDS)])
+    todo = todo.withColumn("ref", F.get("cp", F.lit(0))["d"]["lo"])
     yes = F.aggregate("cf", F.lit(0.0), lambda acc, x: acc + F.when(x["d"]["f"], x["w"]).otherwise(-x["w"]))
     new = {
-        "lat": ("cp", F.col("la"), _weighted(F.col("cp"), lambda d: d["la"]), F.lit(g["la"]).cast("double")),
-        "lon": ("cp", F.col("lo"), _wrap(ref + _weighted(F.col("cp"), lambda d: _wrap(d["lo"] - F.col("ref")))), F.lit(g["lo"]).cast("double")),
-        "value": ("cs", F.col("s"), _weighted(F.col("cs"), lambda d: d["s"]), F.lit(g["s"]).cast("double")),
-        "flag": ("cf", F.col("f"), F.when(F.size("cf") > 0, yes > 0), F.lit(g["f"] if g["nf"] else None).cast("boolean")),
+        "lat": ("cp", F.col("la"), _weighted(F.col("cp"), lambda d: d["la"])),
+        "lon": ("cp", F.col("lo"), _wrap(F.col("ref") + _weighted(F.col("cp"), lambda d: _wrap(d["lo"] - F.col("ref"))))),
+        "value": ("cs", F.col("s"), _weighted(F.col("cs"), lambda d: d["s"])),
+        "flag": ("cf", F.col("f"), F.when(F.size("cf") > 0, yes > 0)),
     }
-    todo = todo.withColumn("ref", ref)
-    level_of = lambda cand: F.element_at(F.transform(cand, lambda x: x["level"]), 1)
     marks, values = [], {}
-    for name, (cand, own, made, anyway) in new.items():
-        todo = todo.withColumn(f"m_{name}", made)
-        filled = F.coalesce(own, F.col(f"m_{name}"), anyway)
-        values[name] = filled
-        level = F.when(F.size(cand) > 0, level_of(F.array_sort(F.col(cand), lambda x, y: F.when(x["w"] > y["w"], -1).when(x["w"] < y["w"], 1).otherwise(0)))).when(anyway.isNotNull(), "global").otherwise("none")
-        field = {"lat": lat_col, "lon": lon_col, "value": value_col, "flag": flag_col}[name]
-        marks.append(F.when(own.isNull(), F.struct(F.lit(field).alias("field"), level.alias("level"), F.transform(cand, lambda x: x["d"]["o"]).alias("donors"))))
+    for name, (cand, own, made) in new.items():
+        values[name] = F.coalesce(own, made)
+        level = F.coalesce(F.get(cand, F.lit(0))["d"]["level"], F.lit("none"))
+        marks.append(F.when(own.isNull(), F.struct(F.lit(field_of[name]).alias("field"), level.alias("level"), F.transform(cand, lambda x: x["o"]).alias("donors"))))
     marks_col = F.filter(F.array(*marks), lambda x: x.isNotNull())
+    return todo.select(*SELF, "n_rows", F.struct(*[v.alias(k) for k, v in values.items()], marks_col.alias("marks")).alias("fill"))
+
+
+def fill_from_similar(
+    df: DataFrame,
+    id_col: str = "obs_id",
+    vessel_col: str = "MMSI",
+    time_col: str = "timestamp",
+    lat_col: str = "lat",
+    lon_col: str = "lon",
+    value_col: str = "sst",
+    flag_col: str = "sst_missing",
+    value_range: tuple[float, float] = C.VALUE_RANGE,
+    neighbours: int = 3,
+    donors: int = 4,
+) -> DataFrame:
+    """Every input row, once, with all its columns and a struct column `fill`, as find_fills describes it.
+
+    Usable: lat in -90..90, lon in -180..360 and not both 0; value within value_range and not flagged missing; flag not
+    null. Null and NaN are not usable. Rows with a null time or blank vessel are filled from what else is known of them:
+    without time, donors are those of the vessel, else of the place, else of all rows, next to the row by a known field.
+    Repeated rows are filled each for itself, all alike, and may serve each other as donors; ties in time are ordered by id, tied
+    weights of the flag give false. An empty table gives an empty result. A column named `fill` is kept; the new one is
+    then `fill_`. Longitudes are compared modulo 360; fill.lon is in -180..180.
+
+    Only the fields above go through the search; rows that lack something (and no others) are then joined with their fill.
+    """
+    args = (id_col, vessel_col, time_col, lat_col, lon_col, value_col, flag_col, value_range)
+    fills = find_fills(df, *args, neighbours=neighbours, donors=donors)
     name = C.free_name(df.columns, "fill")
-    done = todo.select("row.*", F.struct(*[v.alias(k) for k, v in values.items()], marks_col.alias("marks")).alias(name))
-    whole = base.where(~need).select("row.*", F.struct(F.col("la").alias("lat"), F.col("lo").alias("lon"), F.col("s").alias("value"), F.col("f").alias("flag"), F.array().cast(f"array<struct<field:string,level:string,donors:array<{o_type}>>>").alias("marks")).alias(name))
+    row = df.select(F.struct(*[C.quoted(c) for c in df.columns]).alias("row"), *_base(df, *args))
+    need = F.col("la").isNull() | F.col("lo").isNull() | F.col("s").isNull() | F.col("f").isNull()
+    no_marks = F.array().cast(fills.schema["fill"].dataType["marks"].dataType)
+    whole = row.where(~need).select("row.*", F.struct(F.col("la").alias("lat"), F.col("lo").alias("lon"), F.col("s").alias("value"), F.col("f").alias("flag"), no_marks.alias("marks")).alias(name))
+    same = None
+    for c in SELF:
+        one = F.col(c).eqNullSafe(F.col(f"{c}_"))
+        same = one if same is None else same & one
+    fills = fills.select(*[F.col(c).alias(f"{c}_") for c in SELF], F.col("fill").alias("made"))
+    done = row.where(need).join(fills, same).select("row.*", F.col("made").alias(name))
     return done.unionByName(whole)

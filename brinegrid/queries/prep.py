@@ -14,11 +14,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    filled = hotdeck.fill_from_similar(table(spark, sf, "vessel_points"))
-    marks = filled.select("obs_id", F.explode("fill.marks").alias("m"), "fill")
-    # a mark counts with its value: filled from donors or medians, or (without any usable value in the table) left null
+    fills = hotdeck.find_fills(table(spark, sf, "vessel_points"))
+    marks = fills.select(F.col("o").alias("obs_id"), "fill", F.explode(F.flatten(F.array_repeat("fill.marks", F.col("n_rows").cast("int")))).alias("m"))
+    # a mark counts with its value and donors, or (without any usable value in the table) with neither
     made = F.when(F.col("m.field") == "lat", F.col("fill.lat")).when(F.col("m.field") == "lon", F.col("fill.lon")).when(F.col("m.field") == "sst", F.col("fill.value")).otherwise(F.col("fill.flag").cast("double"))
-    return marks.where(made.isNotNull() | (F.col("m.level") == "none")).select("obs_id", F.col("m.field").alias("field"))
+    return marks.where((made.isNotNull() & (F.size("m.donors") > 0)) | (F.col("m.level") == "none")).select("obs_id", F.col("m.field").alias("field"))
 
 
 def p1_filled(spark: SparkSession, sf: str) -> DataFrame:
