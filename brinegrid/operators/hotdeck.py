@@ -205,11 +205,14 @@ def _axis(c: str) -> Column:
     return F.col(c) if c == "t" else F.round(F.col(c) * 1_000_000).cast("bigint")
 
 
-#: How blocks are made of a record, by name; `all` holds every record.
-def _block(name: str, axis: str) -> Column:
+def _key(name: str) -> Column:
+    """What records of a block have in common; `all` holds every record."""
     cell = (F.floor(F.least(F.col("la"), F.lit(89.999999))) + 90) * 360 + F.floor(F.col("lo")) + 180
-    value = {"vessel": F.col("v"), "place": F.when(F.col("la").isNotNull() & F.col("lo").isNotNull(), cell), "value": F.floor("s").cast("bigint"), "parallel": F.floor(F.col("la") / 5).cast("bigint"), "all": F.lit(0).cast("bigint")}[name]
-    return F.when(value.isNotNull(), F.xxhash64(F.lit(name), F.lit(axis), value))
+    return {"vessel": F.col("v"), "place": F.when(F.col("la").isNotNull() & F.col("lo").isNotNull(), cell.cast("bigint")), "value": F.floor("s").cast("bigint"), "parallel": F.floor(F.col("la") / 5).cast("bigint"), "all": F.lit(0).cast("bigint")}[name]
+
+
+def _block(name: str, axis: str) -> Column:
+    return F.when(_key(name).isNotNull(), F.xxhash64(F.lit(name), F.lit(axis), _key(name)))
 
 
 def _asks(stray: DataFrame) -> DataFrame:
@@ -219,7 +222,7 @@ def _asks(stray: DataFrame) -> DataFrame:
     own = F.when(F.col("la").isNotNull(), "la").when(F.col("lo").isNotNull(), "lo").when(F.col("s").isNotNull(), "s")
 
     def ask(level: str, name: str, axis: str, when: Column, x: Column | None = None) -> Column:
-        return F.when(when & _block(name, axis).isNotNull(), F.struct(F.lit(level).alias("level"), _block(name, axis).alias("block"), (_axis(axis) if x is None else x).alias("x"), F.lit(f"{name} {axis}").alias("deck")))
+        return F.when(when & _block(name, axis).isNotNull(), F.struct(F.lit(level).alias("level"), _block(name, axis).alias("block"), _key(name).alias("key"), (_axis(axis) if x is None else x).alias("x"), F.lit(f"{name} {axis}").alias("deck")))
 
     end = F.lit(LAST).cast("bigint")
     tries = [
@@ -235,7 +238,7 @@ def _asks(stray: DataFrame) -> DataFrame:
     return a.select(*SELF, "want", "rank", "a.*")
 
 
-def _decks(base: DataFrame, decks: list[str]) -> Column:
+def _decks(decks: list[str]) -> Column:
     """The blocks of a donor in the given decks, each with its place there."""
     at = [F.struct(_block(*d.split()).alias("block"), _axis(d.split()[1]).alias("x")) for d in decks]
     return F.filter(F.array(*at), lambda b: b["block"].isNotNull() & b["x"].isNotNull())
@@ -251,9 +254,10 @@ def _strays(base: DataFrame, stray: DataFrame, k: int) -> DataFrame:
     few = asks.limit(10 * FEW_STRAYS + 1).collect()
     if not few:
         return stray.select(*SELF).withColumn("c", F.lit(None).cast("array<int>")).where("false")
-    decks = sorted({r["deck"] for r in few}) if len(few) <= 10 * FEW_STRAYS else sorted(r["deck"] for r in asks.select("deck").distinct().collect())
-    donors = base.where("(la is not null and lo is not null) or s is not null or f is not null").select(*SELF, F.explode(_decks(base, decks)).alias("b")).select("b.*", *SELF)
+    donors = base.where("(la is not null and lo is not null) or s is not null or f is not null")
     if len(few) > 10 * FEW_STRAYS:
+        decks = sorted(r["deck"] for r in asks.select("deck").distinct().collect())
+        donors = donors.select(*SELF, F.explode(_decks(decks)).alias("b")).select("b.*", *SELF)
         sought = asks.select("block").distinct()
         givers = donors.join(sought, "block", "left_semi").select("block", "x", F.lit(None).cast("string").alias("level"), F.lit(True).alias("give"), F.lit(0).alias("want"), *SELF)
         seekers = asks.select("block", "x", F.concat(F.lpad(F.col("rank").cast("string"), 2, "0"), "level").alias("level"), F.lit(False).alias("give"), "want", *SELF)
@@ -266,35 +270,59 @@ def _strays(base: DataFrame, stray: DataFrame, k: int) -> DataFrame:
     return best.groupBy(*SELF).agg(F.collect_set("d").alias("c"))
 
 
+def _keys(name: str, t: pa.Table) -> np.ndarray:
+    """The same as _key, of a table whose rows all have it."""
+    num = lambda c: t[c].to_numpy()
+    if name == "place":
+        return (np.floor(np.minimum(num("la"), 89.999999)).astype(np.int64) + 90) * 360 + np.floor(num("lo")).astype(np.int64) + 180
+    return {"vessel": lambda: num("v"), "value": lambda: np.floor(num("s")).astype(np.int64), "parallel": lambda: np.floor(num("la") / 5).astype(np.int64), "all": lambda: np.zeros(t.num_rows, np.int64)}[name]()
+
+
+#: The columns a deck is made of.
+_MADE_OF = {"vessel": ("v",), "place": ("la", "lo"), "value": ("s",), "parallel": ("la",), "all": ()}
+
+
 def _sent(donors: DataFrame, asks: list, base: DataFrame, k: int) -> DataFrame:
     """(columns of SELF, kind, rank, d): the k nearest donors on each side of every ask, which are sent to all tasks."""
     kinds = {f.name: f.dataType for f in base.schema.fields}
-    blocks = np.array([r["block"] for r in asks], np.int64)
-    xs = np.array([r["x"] for r in asks], np.int64)
-    wants = np.array([r["want"] for r in asks], np.int32)
     given = ("o", "t", "la", "lo", "s", "f")
     schema = T.StructType([T.StructField("ask", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("side", T.IntegerType()), T.StructField("x", T.LongType()), *[T.StructField(c, kinds[c]) for c in given]])
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
-    asked = np.unique(blocks)
-
-    def near(t: pa.Table) -> pa.RecordBatch:
-        t = t.filter(pa.array(asked[np.minimum(np.searchsorted(asked, t["block"].to_numpy()), len(asked) - 1)] == t["block"].to_numpy())).sort_by([("block", "ascending"), ("x", "ascending"), ("o", "ascending")])
-        n, m = t.num_rows, len(asks)
-        block = np.concatenate([t["block"].to_numpy(), blocks])
-        x = np.concatenate([t["x"].to_numpy(), xs])
-        order = np.lexsort((np.concatenate([np.ones(n, np.int8), np.zeros(m, np.int8)]), x, block))
+    decks = {}
+    for d in sorted({r["deck"] for r in asks}):
+        own = [n for n, r in enumerate(asks) if r["deck"] == d]
+        pick = lambda c, kind: np.array([asks[n][c] for n in own], kind)  # noqa: B023, E731
+        decks[d] = (np.array(own), pick("key", np.int64), pick("x", np.int64), pick("want", np.int32))
+
+    def near(t: pa.Table, deck: str) -> pa.RecordBatch | None:
+        """t: donors in order of id."""
+        name, axis = deck.split()
+        own, keys, xs, wants = decks[deck]
+        t = t.filter(np.logical_and.reduce([t[c].is_valid().to_numpy() for c in {*_MADE_OF[name], axis}]))
+        key = _keys(name, t)
+        t, key = t.filter(use := np.isin(key, keys)), key[use]
+        n, m = t.num_rows, len(own)
+        if not n:
+            return None
+        at = t[axis].to_numpy() if axis == "t" else np.round(t[axis].to_numpy() * 1_000_000).astype(np.int64)
+        x, key = np.concatenate([at, xs]), np.concatenate([key, keys])
+        order = np.lexsort((np.concatenate([np.ones(n, np.int8), np.zeros(m, np.int8)]), x, key))
         valid = lambda c: np.concatenate([t[c].is_valid().to_numpy().astype(bool), np.zeros(m, bool)])[order]
-        found = _found(block[order], [valid("la") & valid("lo"), valid("s"), valid("f")], np.concatenate([np.zeros(n, np.int32), wants])[order], k)
+        found = _found(key[order], [valid("la") & valid("lo"), valid("s"), valid("f")], np.concatenate([np.zeros(n, np.int32), wants])[order], k)
         ask, combo, who = [], [], []
         for c, (rows, got) in enumerate(found):
             use = got >= 0
-            ask.append(np.broadcast_to(order[rows][:, None], got.shape)[use] - n)
+            ask.append(own[np.broadcast_to(order[rows][:, None], got.shape)[use] - n])
             who.append(order[got[use]])
             combo.append(np.full(int(use.sum()), c))
         ask, combo, who = (np.concatenate(z) for z in (ask, combo, who))
         d = t.take(pa.array(who)).combine_chunks()
         one = lambda c: (d[c].combine_chunks() if isinstance(d[c], pa.ChunkedArray) else d[c]).cast(arrow.field(c).type)
-        return pa.RecordBatch.from_arrays([pa.array(ask.astype(np.int32)), pa.array((combo // 2).astype(np.int32)), pa.array((combo % 2).astype(np.int32)), *[one(c) for c in ("x", *given)]], schema=arrow)
+        return pa.RecordBatch.from_arrays([pa.array(ask.astype(np.int32)), pa.array((combo // 2).astype(np.int32)), pa.array((combo % 2).astype(np.int32)), pa.array(x[who]), *[one(c) for c in given]], schema=arrow)
+
+    def all_near(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).sort_by("o")
+        yield from (b for d in decks if (b := near(t, d)) is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -302,12 +330,12 @@ def _sent(donors: DataFrame, asks: list, base: DataFrame, k: int) -> DataFrame:
             held.append(b)
             size += b.num_rows
             if size >= PART_ROWS:
-                yield near(pa.Table.from_batches(held))
+                yield from all_near(held)
                 held, size = [], 0
         if held:
-            yield near(pa.Table.from_batches(held))
+            yield from all_near(held)
 
-    got = donors.select("block", *[c for c in schema.names if c not in ("ask", "kind", "side")]).mapInArrow(run, schema)
+    got = donors.select(*SELF).mapInArrow(run, schema)
     side = F.when(F.col("side") == 0, -F.col("x")).otherwise(F.col("x"))
     got = got.withColumn("n", F.row_number().over(Window.partitionBy("ask", "kind", "side").orderBy(side, F.col("o")))).where(F.col("n") <= k)
     table = base.sparkSession.createDataFrame([(n, r["rank"], r["level"], *[r[c] for c in SELF]) for n, r in enumerate(asks)], T.StructType([T.StructField("n_", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("level", T.StringType()), *[T.StructField(f"{c}_", kinds[c]) for c in SELF]]))
@@ -400,21 +428,22 @@ def find_fills(
         more = more.select(*[F.col(c).alias(f"{c}_") for c in SELF], F.col("c").alias("more"))
         got = got.join(more, same, "left").select(*SELF, "n_rows", F.concat("c", F.coalesce("more", nothing)).alias("c"))
 
-    def weight(d: Column) -> Column:
+    def far(d: Column) -> Column:
         hours = F.coalesce(F.abs(d["t"] - F.col("t")) / HOUR, F.lit(0.0))
-        degrees = F.coalesce(F.abs(d["la"] - F.col("la")), F.lit(0.0)) + F.coalesce(F.abs(_wrap(d["lo"] - F.col("lo"))) * F.cos(F.radians(F.coalesce(F.col("la"), d["la"]))), F.lit(0.0))
-        gap = F.coalesce(F.abs(d["s"] - F.col("s")), F.lit(0.0))
-        level = F.element_at(F.create_map(*[F.lit(z) for kv in LEVELS.items() for z in kv]), d["level"])
-        return 1.0 / (1.0 + hours / 6 + degrees * 2 + gap + level)
-
-    def closest(kind: int) -> Column:
-        """Each donor once, by its best level; the closest come first, ties in order of id."""
-        own = F.transform(of(kind), lambda x: F.struct((-weight(x)).alias("far"), x["o"].alias("o"), x.alias("d"), weight(x).alias("w")))
-        own = F.array_sort(own)
-        first = F.filter(own, lambda x, at: ~F.exists(F.slice(own, 1, at), lambda y: y["o"].eqNullSafe(x["o"]) & y["d"]["t"].eqNullSafe(x["d"]["t"])))
-        return F.slice(first, 1, donors)
-
-    todo = got.select(*SELF, "n_rows", *[closest(k).alias(f"c{n}") for k, n in enumerate(KINDS)])
+        degrees = F.coalesce(F.abs(d["la"] - F.col("la")), F.lit(0.0)) + F.coalesce(F.abs(_wrap(d["lo"] - F.col("lo"))) * F.coalesce(F.col("wide"), F.cos(F.radians(d["la"]))), F.lit(0.0))
+        level = F.lit(0.0)
+        for n, z in LEVELS.items():
+            level = F.when(d["level"] == n, z).otherwise(level)
+        return hours / 6 + degrees * 2 + F.coalesce(F.abs(d["s"] - F.col("s")), F.lit(0.0)) + level
+
+    got = got.withColumn("wide", F.cos(F.radians("la")))
+    rated = F.transform("c", lambda x: F.struct(x["kind"].alias("kind"), x["o"].alias("o"), x["t"].alias("t"), far(x).alias("far"), x.alias("d")))
+    got = got.withColumn("c", F.array_sort(rated))
+    # a donor found twice counts once, by the nearer level; then the closest come first, ties in order of id
+    again = lambda x, at: F.coalesce((F.get("c", at - 1)["kind"] == x["kind"]) & F.get("c", at - 1)["o"].eqNullSafe(x["o"]) & F.get("c", at - 1)["t"].eqNullSafe(x["t"]), F.lit(False))
+    got = got.withColumn("c", F.filter("c", lambda x, at: (at == 0) | ~again(x, at)))
+    got = got.withColumn("c", F.array_sort(F.transform("c", lambda x: F.struct(x["kind"].alias("kind"), x["far"].alias("far"), x["o"].alias("o"), x["d"].alias("d"), (1.0 / (1.0 + x["far"])).alias("w")))))
+    todo = got.select(*SELF, "n_rows", *[F.slice(of(k), 1, donors).alias(f"c{n}") for k, n in enumerate(KINDS)])
     todo = todo.withColumn("ref", F.get("cp", F.lit(0))["d"]["lo"])
     yes = F.aggregate("cf", F.lit(0.0), lambda acc, x: acc + F.when(x["d"]["f"], x["w"]).otherwise(-x["w"]))
     new = {
