@@ -401,17 +401,18 @@ def find_fills(
     want = masks["p"] + masks["s"] + masks["f"]
     known = F.col("t").isNotNull()
 
-    def entry(level: str, when: Column, wants: Column) -> Column:
-        return F.when(when, F.struct(F.lit(level).alias("level"), _block(level, "t").alias("block"), F.col("t").alias("x"), F.lit(True).alias("give"), wants.alias("want")))
-
     by_vessel = known & F.col("v").isNotNull()
-    by_place = known & has["p"] & (has["s"] | has["f"] | (want > 0))
+    by_place = known & has["p"] & (has["s"] | has["f"] | (F.col("want") > 0))
     # what has neither goes through by itself, so that every row that lacks something comes out
-    alone = F.when((want > 0) & ~by_vessel & ~by_place, F.struct(F.lit("none").alias("level"), F.xxhash64("o", "t", "la", "lo", "s", "f").alias("block"), F.coalesce("t", F.lit(0).cast("bigint")).alias("x"), F.lit(False).alias("give"), want.alias("want")))
-    entries = F.filter(F.array(entry("vessel", by_vessel, want), entry("place", by_place, want), alone), lambda x: x.isNotNull())
-    rows = base.select(*SELF, F.explode(entries).alias("b")).select("b.*", *SELF)
-    got = _matched(rows, neighbours, "candidates")
+    alone = (F.col("want") > 0) & ~by_vessel & ~by_place
     levels = ("vessel", "place", "none")
+    n = F.col("n")
+    rows = base.withColumn("want", want).select("*", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("n"))
+    rows = rows.where(F.when(n == 0, by_vessel).when(n == 1, by_place).otherwise(alone))
+    block = F.when(n == 0, _block("vessel", "t")).when(n == 1, _block("place", "t")).otherwise(F.xxhash64("o", "t", "la", "lo", "s", "f"))
+    level = F.when(n == 0, levels[0]).when(n == 1, levels[1]).otherwise(levels[2])
+    rows = rows.select(block.alias("block"), F.coalesce("t", F.lit(0).cast("bigint")).alias("x"), level.alias("level"), (n < 2).alias("give"), "want", *SELF)
+    got = _matched(rows, neighbours, "candidates")
     nothing = F.array().cast(got.schema["c"].dataType)
     # rows equal in all columns have equal donors: one of them speaks for all
     found = [F.coalesce(F.max(F.when((F.col("level") == n) & (F.col("step") == k), F.col("c"))), nothing) for n in levels[:2] for k in (1, 2)]
