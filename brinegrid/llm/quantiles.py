@@ -6,39 +6,43 @@ Count-sketch of the codes cut to that resolution. A sketch is a table (keys, cel
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import columns as C
 
 BITS, WIDTH, DEPTH = 32, 2048, 5
 #: Stated rank error, as a share of all values, for WIDTH and DEPTH as above.
 EPSILON = 0.01
-RESERVED = {"cell", "v", "w", "code", "level", "node", "hash_row", "h", "_x", "_m", "_neg", "_e", "_f", "n", "q", "value", "one"}
+RESERVED = {"cell", "v", "w", "_x", "band", "cells", "vs", "n", "q", "value", "one"}
 
 
-def with_code(df: DataFrame, x: Column, name: str = "code") -> DataFrame:
-    """df with a column of x's order as an integer in [0, 2^32): the bits of its single-precision form, the sign folded in.
+def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of about so many rows."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
 
-    -0.0 counts as 0.0. Exponent and mantissa are found by arithmetic, in steps that are computed once each.
-    """
-    mag = F.abs(x.cast("float").cast("double"))
-    d = df.select("*", mag.alias("_m"), (x < 0).alias("_neg"))
-    d = d.select("*", F.when(F.col("_m") == 0, -126.0).otherwise(F.least(F.greatest(F.floor(F.log2("_m")).cast("double"), F.lit(-126.0)), F.lit(127.0))).alias("_e"))
-    d = d.select("*", (F.col("_m") * F.pow(F.lit(2.0), -F.col("_e"))).alias("_f"))
-    # log2 can be off by one next to powers of two
-    up, down = F.col("_f") >= 2, (F.col("_f") < 1) & (F.col("_e") > -126)
-    e = F.when(up, F.col("_e") + 1).when(down, F.col("_e") - 1).otherwise(F.col("_e"))
-    f = F.when(up, F.col("_f") / 2).when(down, F.col("_f") * 2).otherwise(F.col("_f"))
-    bits = F.when(F.col("_m") == float("inf"), F.lit(255 << 23)).otherwise(((e + 126) * 2.0**23 + f * 2.0**23).cast("bigint"))
-    code = F.when(F.col("_neg") & (F.col("_m") > 0), F.lit((1 << 31) - 1) - bits).otherwise(bits + F.lit(1 << 31))
-    return d.select(*[C.quoted(c) for c in df.columns], code.alias(name))
+
+def encode(x: np.ndarray) -> np.ndarray:
+    """x's order as integers in [0, 2^32): the bits of the single-precision form, the sign folded in. -0.0 counts as 0.0."""
+    with np.errstate(over="ignore"):
+        bits = (np.asarray(x, np.float64).astype(np.float32) + np.float32(0)).view(np.uint32).astype(np.int64)
+    return np.where(bits >> 31 == 1, 2**31 - 1 - (bits & (2**31 - 1)), bits + 2**31)
 
 
 def decode(code: np.ndarray) -> np.ndarray:
@@ -52,38 +56,87 @@ def _exact_levels(bits: int, width: int) -> int:
     return max(0, bits - (width.bit_length() - 1))
 
 
-def sketch(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, width: int = WIDTH, depth: int = DEPTH, bits: int = BITS, preaggregate: bool = True) -> DataFrame:
+#: Levels whose cells travel together; rows of a chunk; groups a task holds as dense arrays (2.7 MB each with the default sizes).
+BAND, CHUNK_ROWS, MOST_GROUPS = 8, 200_000, 24
+
+
+def _add(dense: np.ndarray, codes: np.ndarray, weights: np.ndarray, bits: int, width: int, depth: int) -> None:
+    """Add the codes of one group to its sketch (levels, rows, buckets)."""
+    exact = _exact_levels(bits, width)
+    for level in range(bits, -1, -1):
+        node = codes >> level
+        if level >= exact:
+            dense[level, 0] += np.bincount(node, weights, width).astype(np.int64)
+            continue
+        at = node_start(node)
+        for row in range(depth):
+            h = node_end(at, level, row)
+            dense[level, row] += np.bincount(np.mod(h, width), np.where((h >> 40) & 1 == 1, weights, -weights), width).astype(np.int64)
+
+
+def sketch(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, width: int = WIDTH, depth: int = DEPTH, bits: int = BITS, chunk_rows: int = CHUNK_ROWS, most_groups: int = MOST_GROUPS) -> DataFrame:
     """(by..., cell, v): the sketch of df's values per group. weight: a column of +1 / -1 (insert, delete).
 
     cell numbers (level, hash row, bucket): (level x depth + row) x width + bucket. Null and NaN values are left out;
-    infinities are values. Equal codes are added up before anything is shuffled, which a linear sketch allows, so a hot
-    group costs no hot task. Grouping columns may hold nulls (a group of its own). An empty table gives an empty sketch.
-    Grouping columns can't be named as in RESERVED.
-
-    preaggregate: rounded readings have few codes, so adding these up first saves most of the work. Where nearly every
-    value is different, set it to false: rows then become cells where they are read, and only cells (at most as many as
-    a sketch has, per group and task) are shuffled. The sketch is the same either way.
+    infinities are values. Rows become a sketch where they are read: every task adds them to arrays of its groups, a chunk at
+    a time, and gives these away when they are many. Only sketches are shuffled, so a hot group costs no hot task, and values
+    that are all different cost no more shuffling than rounded ones. Grouping columns may hold nulls (a group of its own). An
+    empty table gives an empty sketch. Grouping columns can't be named as in RESERVED.
     """
     if RESERVED & {b.lower() for b in by}:
         raise ValueError(f"by must not name one of {sorted(RESERVED)}")
     x = C.quoted(value).cast("double")
     w = C.quoted(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    by_cols = [C.quoted(b) for b in by]
-    given = df.where(x.isNotNull() & ~F.isnan(x)).select(*by_cols, x.alias("_x"), w.alias("w"))
-    codes = with_code(given, F.col("_x"))
-    if preaggregate:
-        codes = codes.groupBy(*by_cols, "code").agg(F.sum("w").alias("w")).where("w <> 0")
-        # codes are few bytes but many cells: spread them over all tasks before they are multiplied
-        codes = codes.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by_cols, F.expr("shiftright(code, 16)"))
-    exact = _exact_levels(bits, width)
-    lv = codes.select(*by_cols, "w", "code", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("level"))
-    rows = F.when(F.col("level") >= exact, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(depth - 1)))
-    lv = lv.select(*by_cols, "w", "level", F.expr("shiftright(code, level)").alias("node"), F.explode(rows).alias("hash_row"))
-    lv = lv.withColumn("h", F.xxhash64("node", "level", "hash_row"))
-    bucket = F.when(F.col("level") >= exact, F.col("node")).otherwise(F.pmod("h", F.lit(width))).cast("int")
-    cell = (F.col("level") * depth + F.col("hash_row")) * width + bucket
-    sign = F.when((F.col("level") >= exact) | (F.expr("shiftright(h, 40) & 1") == 1), F.col("w")).otherwise(-F.col("w"))
-    return lv.select(*by_cols, cell.alias("cell"), sign.alias("v")).groupBy(*by_cols, "cell").agg(F.sum("v").alias("v")).where("v <> 0")
+    by = list(by)
+    given = df.where(x.isNotNull() & ~F.isnan(x)).select(*[C.quoted(b) for b in by], x.alias("_x"), w.alias("w"))
+    fields = [given.schema[b] for b in by]
+    part = T.StructType([*fields, T.StructField("band", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("vs", T.ArrayType(T.LongType()))])
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    size, span = (bits + 1) * depth * width, BAND * depth * width
+
+    def given_away(held: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for key, dense in held.items():
+            flat = dense.reshape(-1)
+            cells = np.nonzero(flat)[0]
+            cuts = np.searchsorted(cells, np.arange(0, size + span, span))
+            n = len(cuts) - 1
+            lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), a) for a in (pa.array(cells.astype(np.int32)), pa.array(flat[cells]))]
+            yield pa.RecordBatch.from_arrays([*[pa.array([k] * n, t) for k, t in zip(key, kinds)], pa.array(np.arange(n, dtype=np.int32)), *lists], names=part.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for t in chunks(batches, chunk_rows):
+            group = np.zeros(t.num_rows, np.int64)
+            for b in by:  # groups are numbered column by column
+                codes = t[b].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                _, group = np.unique(group * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)
+            codes, weights = encode(t["_x"].to_numpy()), t["w"].to_numpy()
+            pairs, inverse = np.unique(group << bits | codes, return_inverse=True)
+            total = np.bincount(inverse, weights).astype(np.int64)
+            _, first = np.unique(group, return_index=True)
+            keys = list(zip(*[t[b].take(pa.array(first)).to_pylist() for b in by])) if by else [()] * len(first)
+            cuts = np.searchsorted(pairs >> bits, np.arange(len(first) + 1))
+            for g, key in enumerate(keys):
+                if key not in held:
+                    if len(held) >= most_groups:
+                        yield from given_away(held)
+                        held.clear()
+                    held[key] = np.zeros((bits + 1, depth, width), np.int64)
+                own = slice(cuts[g], cuts[g + 1])
+                _add(held[key], pairs[own] & ((1 << bits) - 1), total[own], bits, width, depth)
+        yield from given_away(held)
+
+    def merged(t: pa.Table) -> pa.Table:
+        band = t["band"][0].as_py()
+        dense = np.zeros(span, np.int64)
+        for cells, vs in zip(t["cells"], t["vs"]):
+            dense[cells.values.to_numpy() - band * span] += vs.values.to_numpy()
+        at = np.nonzero(dense)[0]
+        zero = pa.array(np.zeros(len(at), np.int64))
+        return pa.table([*[t[b].take(zero) for b in by], pa.array((at + band * span).astype(np.int32)), pa.array(dense[at])], names=[*by, "cell", "v"])
+
+    out = T.StructType([*fields, T.StructField("cell", T.IntegerType()), T.StructField("v", T.LongType())])
+    return given.mapInArrow(run, part).groupBy(*[C.quoted(b) for b in by], "band").applyInArrow(merged, out)
 
 
 def merge_sketches(sketches: Sequence[DataFrame]) -> DataFrame:
@@ -119,16 +172,25 @@ def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 def _hash_int(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
     h = seed + _P5 + np.uint64(4)
-    h ^= x * _P1
+    h = h ^ (x * _P1)
     return _fmix(_rot(h, 23) * _P2 + _P3)
 
 
-def node_hash(node: int, level: int, rows: np.ndarray) -> np.ndarray:
-    """xxhash64(node, level, row) for all rows, as signed numbers."""
+def node_start(node: np.ndarray) -> np.ndarray:
+    """The part of the hash that depends on the node only."""
     with np.errstate(over="ignore"):
-        h = _hash_long(np.full(len(rows), node, np.uint64), np.full(len(rows), 42, np.uint64))
-        h = _hash_int(np.full(len(rows), level, np.uint64), h)
-        return _hash_int(rows.astype(np.uint64), h).astype(np.int64)
+        return _hash_long(np.asarray(node).astype(np.uint64), np.uint64(42))
+
+
+def node_end(start: np.ndarray, level: int, row: int | np.ndarray) -> np.ndarray:
+    """xxhash64(node, level, row) from node_start(node), as signed numbers."""
+    with np.errstate(over="ignore"):
+        return _hash_int(np.asarray(row).astype(np.uint64), _hash_int(np.uint64(level), start)).astype(np.int64)
+
+
+def node_hash(node: int, level: int, rows: np.ndarray) -> np.ndarray:
+    """xxhash64(node, level, row) for all rows."""
+    return node_end(node_start(np.array([node])), level, rows)
 
 
 def _descend(cells: np.ndarray, exact: int, width: int, depth: int, bits: int, total: int, q: float) -> int:
