@@ -80,6 +80,15 @@ def coerce_number(c: Column) -> Column:
     return nan_to_null(c.try_cast("double"))
 
 
+def in_years(time: Column, years: Iterable[int | str]) -> Column:
+    """Whether a time lies in one of the years, as ranges of time, so that a scan can skip by it. Null times don't."""
+    cond = F.lit(False)
+    for y in map(int, years):
+        start, end = (F.make_timestamp_ntz(F.lit(n), *[F.lit(k) for k in (1, 1, 0, 0, 0)]) for n in (y, y + 1))
+        cond = cond | ((time >= start) & (time < end))
+    return cond
+
+
 def wall_micros(c: Column) -> Column:
     """Microseconds since 1970 of a timestamp without zone, whatever the session's zone and its changes of clock."""
     t = c.cast("timestamp_ntz")

@@ -86,7 +86,7 @@ def grid_of_year(table: DataFrame, year: int) -> lookup.Grid:
 
 
 def extract_year(points: DataFrame, grid_table: DataFrame, year: int, tolerance_days: int = 31, tile: int | None = 64) -> DataFrame:
-    p = points.where((F.col("timestamp") >= F.make_timestamp_ntz(F.lit(year), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))) & (F.col("timestamp") < F.make_timestamp_ntz(F.lit(year + 1), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))))
+    p = points.where(C.in_years(F.col("timestamp"), [year]))
     return lookup.lookup(p, grid_of_year(grid_table, year), tolerance_days, tile=tile)
 
 

@@ -7,11 +7,14 @@ equal, so that doubles are equal without rounding. Sums and means are rounded, a
 from __future__ import annotations
 
 import datetime as dt
-import os
-import re
+import json
 import zipfile
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +22,12 @@ from .. import columns as C
 from ..functions import geo, text
 from ..operators import lookup as L
 from ..operators import quality, stratify
-from ..plans import fallback
+from ..plans import fallback, jobs
 from ..plans.jobs import read_grid
 from ..session import fresh_path
 from ..sources import csv_union
-from ..sources.discover import Source, list_files
-from ..sources.grid_source import write_netcdf
+from ..sources.discover import Source, expand_years, list_files
+from ..sources.grid_source import located, open_store, surface_level, write_netcdf
 
 TIMES = tuple(dt.datetime(2024, 1, 1) + dt.timedelta(days=6 * k) for k in range(6))
 LATS = tuple(-85.0 + 10 * k for k in range(18))
@@ -232,7 +235,9 @@ def coerce_and_drop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_year_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy(F.year("l_shipdate").alias("year")).count().withColumnRenamed("count", "n")
+    """Rows written to one folder per year, and counted."""
+    ship = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_shipdate").alias("timestamp"))
+    return jobs.split_by_year(ship, fresh_path(spark, "split"), format="parquet")
 
 
 def distinct_years(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,26 +246,17 @@ def distinct_years(spark: SparkSession, sf: str) -> DataFrame:
 
 def year_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Years given as text, trimmed, blanks dropped; compared as ranges of time so that the scan can use them."""
-    years = [int(y) for y in "1996, ,1998".split(",") if y.strip()]
-    ship = F.col("l_shipdate")
-    cond = F.lit(False)
-    for y in years:
-        cond = cond | ((ship >= F.lit(dt.datetime(y, 1, 1))) & (ship < F.lit(dt.datetime(y + 1, 1, 1))))
-    return table(spark, sf, "lineitem").where(cond).select("l_orderkey", "l_linenumber", F.year("l_shipdate").alias("year"))
+    years = expand_years("1996, ,1998")
+    return table(spark, sf, "lineitem").where(C.in_years(F.col("l_shipdate"), years)).select("l_orderkey", "l_linenumber", F.year("l_shipdate").alias("year"))
 
 
 def bbox_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "vessel_points").where(F.col("lat").between(-20, 35) & F.col("lon").between(-60, 40)).select("obs_id", "lat", "lon")
 
 
-def surface_index(depths: list[float]) -> int:
-    """The level closest to 0, the first on a tie."""
-    return min(range(len(depths)), key=lambda k: abs(depths[k]))
-
-
 def depth_surface(spark: SparkSession, sf: str) -> DataFrame:
     deep = table(spark, sf, "events").select("event_id", (F.col("event_id") % 4).cast("int").alias("depth_idx"), "value")
-    return deep.where(F.col("depth_idx") == surface_index([5.0, -0.5, 0.5, 10.0])).select("event_id", "value")
+    return deep.where(F.col("depth_idx") == surface_level([5.0, -0.5, 0.5, 10.0])).select("event_id", "value")
 
 
 # step 6: unions
@@ -319,6 +315,7 @@ def text_first_number(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.text_first_number(F.col("text")).alias("number"))
 
 
+# The example server and layer.
 BASE, LAYER = "https://tiles.example.invalid/wmts", "SST/daily/thetao"
 
 
@@ -361,8 +358,7 @@ def sample_per_year(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quota_missing(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "vessel_points").where(F.col("sst").isNull() | F.isnan("sst")).where("timestamp is not null").select("obs_id", F.year("timestamp").alias("year"), "lat", "lon")
-    return stratify.quota_per_stratum(v, F.col("year"), F.col("obs_id"), 100, 8)
+    return fallback.missing_points(table(spark, sf, "vessel_points"), 100, 8).select("obs_id", "year", "lat", "lon")
 
 
 def first_n_per_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -386,10 +382,11 @@ def pilot_report(spark: SparkSession, sf: str) -> DataFrame:
 # step 10: sources; each query writes its input in the shared folder first
 
 
-def _local(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one, as a plain path (archives and array files are written by the driver)."""
-    path = re.sub(r"^file:/+", "/", fresh_path(spark, name))
-    os.makedirs(path)
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one."""
+    path = fresh_path(spark, name)
+    files, at = located(path)
+    files.create_dir(at, recursive=True)
     return path
 
 
@@ -397,14 +394,27 @@ def _text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
 
 
+def _zipped(df: DataFrame, folder: str, parts: int) -> list[str]:
+    """Write df, all texts, as CSV members of ZIP archives, one archive for each of so many tasks; null is written as nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, at = located(folder)
+        name = f"{at}/fleet-{TaskContext.get().partitionId()}.zip"
+        with files.open_output_stream(name) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for k, b in enumerate(batches):
+                z.writestr(f"d/part-{k}.CSV", b.to_pandas().to_csv(index=False))
+            z.writestr("readme.txt", "no table")
+        yield pa.RecordBatch.from_arrays([pa.array([folder.rstrip("/") + "/" + name.rsplit("/", 1)[1]])], names=["path"])
+
+    return sorted(r["path"] for r in df.repartition(parts, *df.columns).mapInArrow(run, "path string").collect())
+
+
 def zip_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Two tables with different columns as members of one archive, read back united. Both tables have a fixed size."""
-    path = _local(spark, "zip") + "/fleet.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for t in ("nation", "region"):
-            z.writestr(f"d/{t}.CSV", _text(table(spark, sf, t)).toPandas().to_csv(index=False))
-        z.writestr("readme.txt", "no table")
-    return csv_union.read_sources(spark, [Source("zip", path)])
+    """Two tables with different columns as members of several archives, read back united."""
+    folder = _folder(spark, "zip")
+    fleet = table(spark, sf, "fleet_daily").select("fleet_id", "date", "flag", "geartype", "mmsi_present")
+    paths = _zipped(_text(fleet), folder, 4) + _zipped(_text(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")), _folder(spark, "zip"), 3)
+    return csv_union.read_sources(spark, [Source("zip", p) for p in paths])
 
 
 def mixed_header_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -414,13 +424,53 @@ def mixed_header_scan(spark: SparkSession, sf: str) -> DataFrame:
     return csv_union.read_csv_files(spark, [p for p in list_files(spark, path) if p.endswith(".csv")])
 
 
+def _example_grid(spark: SparkSession, levels: int = 0) -> str:
+    """The example grid as a NetCDF file; with levels, values rise by 100 from level to level, and the second one is at the surface."""
+    v = np.array([[[((t * 1000 + j * 37 + i * 3) % 301) / 10 if (t * 7 + j * 3 + i * 5) % 11 else -999.0 for i in range(36)] for j in range(18)] for t in range(6)])
+    path = _folder(spark, "grid") + "/grid.nc"
+    dims = {"time": 6, **({"depth": levels} if levels else {}), "lat": 18, "lon": 36}
+    if levels:
+        v = np.stack([np.where(v == -999, v, v + 100 * k) for k in range(levels)], axis=1)
+    extra = {"depth": (("depth",), np.array([5.0, 0.5, 10.0, 20.0][:levels]), {})} if levels else {}
+    write_netcdf(path, dims, {"time": (("time",), np.arange(6) * 6.0, {"units": "days since 2024-01-01"}), **extra, "lat": (("lat",), np.array(LATS), {}), "lon": (("lon",), np.array(LONS), {}), "thetao": (tuple(dims), v, {"_FillValue": np.float64(-999)})}, "time")
+    return path
+
+
 def grid_source_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The example grid as a NetCDF file, read back by the data source."""
-    v = np.array([[[((t * 1000 + j * 37 + i * 3) % 301) / 10 if (t * 7 + j * 3 + i * 5) % 11 else -999.0 for i in range(36)] for j in range(18)] for t in range(6)])
-    path = _local(spark, "grid") + "/grid.nc"
-    dims = {"time": 6, "lat": 18, "lon": 36}
-    write_netcdf(path, dims, {"time": (("time",), np.arange(6) * 6.0, {"units": "days since 2024-01-01"}), "lat": (("lat",), np.array(LATS), {}), "lon": (("lon",), np.array(LONS), {}), "thetao": (tuple(dims), v, {"_FillValue": np.float64(-999)})}, "time")
-    return read_grid(spark, [path]).select("ti", "t", "j", "i", "lat", "lon", "v")
+    return read_grid(spark, [_example_grid(spark)]).select("ti", "t", "j", "i", "lat", "lon", "v")
+
+
+def grid_source_window(spark: SparkSession, sf: str) -> DataFrame:
+    """A box of the level next to the surface, and one of a fixed level."""
+    path = _example_grid(spark, 3)
+    surface = read_grid(spark, [path], bbox=(-20, 35, -60, 40)).withColumn("level", F.lit("surface"))
+    fixed = read_grid(spark, [path], depth_index=2, bbox=(-20, 35, -60, 40)).withColumn("level", F.lit("third"))
+    return surface.unionByName(fixed).select("level", "ti", "j", "i", "lat", "lon", "v")
+
+
+def zarr_source_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The example grid as a Zarr v2 store with compressed chunks, read back in a box."""
+    folder = _folder(spark, "grid") + "/grid.zarr"
+    files, at = located(folder)
+    source = open_store(_example_grid(spark))
+
+    def put(name: str, data: bytes) -> None:
+        with files.open_output_stream(f"{at}/{name}") as f:
+            f.write(data)
+
+    for name, dims, chunks in (("time", ["time"], [6]), ("lat", ["lat"], [18]), ("lon", ["lon"], [36]), ("thetao", ["time", "lat", "lon"], [2, 7, 10])):
+        a = np.ascontiguousarray(source.read(name)).astype("<f8")
+        files.create_dir(f"{at}/{name}", recursive=True)
+        attrs = {"_ARRAY_DIMENSIONS": dims, **({"units": "days since 2024-01-01"} if name == "time" else {"_FillValue": -999.0} if name == "thetao" else {})}
+        put(f"{name}/.zattrs", json.dumps(attrs).encode())
+        put(f"{name}/.zarray", json.dumps({"zarr_format": 2, "shape": a.shape, "chunks": chunks, "dtype": "<f8", "compressor": {"id": "zlib", "level": 1}, "fill_value": "NaN", "order": "C", "filters": None}).encode())
+        for idx in np.ndindex(*[-(-s // c) for s, c in zip(a.shape, chunks)]):
+            block = np.zeros(chunks)
+            part = a[tuple(slice(k * c, (k + 1) * c) for k, c in zip(idx, chunks))]
+            block[tuple(slice(0, s) for s in part.shape)] = part
+            put(f"{name}/" + ".".join(map(str, idx)), zlib.compress(block.tobytes()))
+    return read_grid(spark, [folder], bbox=(-20, 35, -60, 40)).select("ti", "t", "j", "i", "lat", "lon", "v")
 
 
 def pilot_run(spark: SparkSession, sf: str) -> DataFrame:
@@ -530,10 +580,15 @@ SQL = {
         from vessel_points where trim(coalesce(MMSI, '')) <> '' and sst between -2.5e0 and 40e0 and not isnan(sst) and not coalesce(sst_missing, false) group by 1""",
 }
 SQL["grid_lookup_tiled"] = SQL["grid_lookup"]
-SQL["zip_csv_scan"] = "select cast(columns(*) as varchar) from (select * from nation union all by name select * from region)"
+SQL["zip_csv_scan"] = """select cast(fleet_id as varchar) as fleet_id, coalesce(cast("date" as varchar), '') as date, coalesce(flag, '') as flag, coalesce(geartype, '') as geartype, coalesce(cast(mmsi_present as varchar), '') as mmsi_present,
+    null as o_orderkey, null as o_orderstatus from fleet_daily union all select null, null, null, null, null, cast(o_orderkey as varchar), o_orderstatus from orders"""
 SQL["mixed_header_scan"] = """select cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey, cast(c_acctbal as varchar) as c_acctbal, c_mktsegment,
     cast(s_suppkey as varchar) as s_suppkey, s_name, cast(s_nationkey as varchar) as s_nationkey, cast(s_acctbal as varchar) as s_acctbal from (select * from customer union all by name select * from supplier)"""
 SQL["grid_source_scan"] = f"""with {GRID_SQL} select cast(ti as int) as ti, timestamp '2024-01-01' + to_days(cast(ti * 6 as int)) as t, cast(j as int) as j, cast(i as int) as i, -85e0 + j * 10e0 as lat, -180e0 + i * 10e0 as lon, v from g"""
+BOX = "-85e0 + j * 10e0 between -20 and 35 and -180e0 + i * 10e0 between -60 and 40"
+SQL["grid_source_window"] = f"""with {GRID_SQL} select level, cast(ti as int) as ti, cast(j as int) as j, cast(i as int) as i, -85e0 + j * 10e0 as lat, -180e0 + i * 10e0 as lon, v + up as v
+    from g, (values ('surface', 100e0), ('third', 200e0)) x(level, up) where {BOX}"""
+SQL["zarr_source_scan"] = SQL["grid_source_scan"] + f" where {BOX}"
 SQL["pilot_run"] = f"""with p as ({SQL["plan_simulate"]}) select obs_id, case when tilerow % 4 <> 0 then tilecol + 0.5e0 end as sst_wmts, case when tilerow % 4 = 0 then 503 else 200 end as status, 1 as attempts, null as error from p"""
 
 QUERIES = {
@@ -546,6 +601,6 @@ QUERIES = {
         union_by_name, union_samples, lon_normalize, tile_geodetic, pixel_in_tile, tile_mercator,
         json_first_number, json_first_number_or_flag, text_first_number, feature_url, iso_time, synthetic_points, year_from_name, request_parameters,
         sample_per_year, quota_missing, first_n_per_source, plan_simulate, pilot_report, graph_snapshots, node_features,
-        zip_csv_scan, mixed_header_scan, grid_source_scan, pilot_run,
+        zip_csv_scan, mixed_header_scan, grid_source_scan, grid_source_window, zarr_source_scan, pilot_run,
     )
 }

@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..columns import quoted
 from ..operators import stratify
@@ -63,19 +67,28 @@ def _unique(names: list[str]) -> list[str]:
     return out
 
 
-def read_csv_files(spark: SparkSession, paths: list[str], multiline: bool = False) -> DataFrame:
+def read_csv_files(spark: SparkSession, paths: list[str], multiline: bool = False, misfits: str | None = None) -> DataFrame:
     """All rows of all files, every value a string; columns a file lacks are null.
 
     Quotes inside quoted fields are doubled. With multiline, quoted fields may hold line breaks; a file is then one task's work.
+    misfits names a last column for the whole text of rows that have more or fewer cells than their header (else null): what
+    lies beyond the header is only there.
     """
     groups = _by_header(spark, paths)
     if not groups:
         return spark.createDataFrame([], T.StructType([]))
     frames = []
     for header, own in groups.items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in _unique(list(header))])
-        frames.append(spark.read.csv(own, schema=schema, header=True, encoding="UTF-8", mode="PERMISSIVE", multiLine=multiline, enforceSchema=True, quote='"', escape='"'))
-    return stratify.union_by_name(*frames)
+        names = _unique(list(header))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *([misfits] if misfits else [])]])
+        r = spark.read.schema(schema).options(header=True, encoding="UTF-8", mode="PERMISSIVE", multiLine=multiline, enforceSchema=True, quote='"', escape='"')
+        frames.append((r.option("columnNameOfCorruptRecord", misfits) if misfits else r).csv(own))
+    out = stratify.union_by_name(*frames)
+    return out.select(*[quoted(c) for c in out.columns if c != misfits], *([quoted(misfits)] if misfits else []))
+
+
+#: What reading an archive or a member can end with when it is damaged, encrypted or packed in an unknown way.
+_DAMAGE = (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, csv.Error)
 
 
 def zip_members(spark: SparkSession, paths: list[str], suffix: str = ".csv") -> DataFrame:
@@ -96,35 +109,47 @@ def zip_members(spark: SparkSession, paths: list[str], suffix: str = ".csv") ->
 
 
 def read_zip_rows(spark: SparkSession, paths: list[str], batch: int = 20_000) -> DataFrame:
-    """(archive, member, row_no, cells): every CSV row of every member as a map of names to texts.
+    """(archive, member, row_no, cells, surplus, error): every CSV row of every member as a map of names to texts.
 
-    An archive is one task's work, read as a stream, member by member; a member needs not fit into memory, an archive does.
+    surplus holds the cells beyond the header (else null). An archive that cannot be opened, and a member that cannot be read
+    to its end, give one row with the reason in error and neither row_no nor cells; what came before it stays.
+    An archive is one task's work, read as a stream, member by member; a member needs not fit into memory, an archive does
+    (2 GB at most).
     """
-    schema = T.StructType([T.StructField("archive", T.StringType()), T.StructField("member", T.StringType()), T.StructField("row_no", T.LongType()), T.StructField("cells", T.MapType(T.StringType(), T.StringType()))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                try:
-                    z = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                with z:
-                    for m in (n for n in z.namelist() if n.lower().endswith(".csv")):
-                        with z.open(m) as f:
+    text = T.StringType()
+    schema = T.StructType([T.StructField("archive", text), T.StructField("member", text), T.StructField("row_no", T.LongType()), T.StructField("cells", T.MapType(text, text)), T.StructField("surplus", T.ArrayType(text)), T.StructField("error", text)])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+
+    def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        member = None
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for member in (n for n in z.namelist() if n.lower().endswith(".csv")):
+                    try:
+                        with z.open(member) as f:
                             rows = csv.reader(io.TextIOWrapper(f, encoding="utf-8-sig", errors="replace", newline=""))
                             names = _unique(next(rows, []))
-                            part, no = [], 0
-                            for r in rows:
-                                no += 1
-                                part.append((path, m, no, dict(zip(names, r))))
-                                if len(part) == batch:
-                                    yield pd.DataFrame(part, columns=schema.names)
-                                    part = []
-                            if part:
-                                yield pd.DataFrame(part, columns=schema.names)
+                            for no, r in enumerate(rows, 1):
+                                yield path, member, no, list(zip(names, r)), r[len(names) :] or None, None
+                    except _DAMAGE as e:
+                        yield path, member, None, None, None, f"{type(e).__name__}: {e}"
+        except _DAMAGE as e:
+            yield path, None, None, None, None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(2**31 - 1)
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1)):
+                rows = rows_of(path.as_py(), content.as_py())
+                while part := list(itertools.islice(rows, batch)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], schema=arrow)
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, schema)
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, schema)
+
+
+def bad_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(archive, member, error): archives and members that could not be read, or not to their end."""
+    return read_zip_rows(spark, paths).where("error is not null").select("archive", "member", "error")
 
 
 def zip_columns(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -140,8 +165,11 @@ def zip_columns(spark: SparkSession, paths: list[str]) -> list[str]:
                     continue
                 with z:
                     for m in (n for n in z.namelist() if n.lower().endswith(".csv")):
-                        with z.open(m) as f:
-                            head = next(csv.reader(io.TextIOWrapper(f, encoding="utf-8-sig", errors="replace", newline="")), [])
+                        try:
+                            with z.open(m) as f:
+                                head = next(csv.reader(io.TextIOWrapper(f, encoding="utf-8-sig", errors="replace", newline="")), [])
+                        except _DAMAGE:  # told by bad_sources
+                            continue
                         yield pd.DataFrame([(path, m, _unique(head))], columns=schema.names)
 
     found = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, schema)
@@ -155,7 +183,7 @@ def read_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
     files = [s.path for s in sources if s.kind == "file"]
     frames = []
     if zips:
-        cells = read_zip_rows(spark, zips)
+        cells = read_zip_rows(spark, zips).where("error is null")
         frames.append(cells.select(*[F.col("cells")[n].alias(n) for n in zip_columns(spark, zips)]))
     if files:
         frames.append(read_csv_files(spark, files))

@@ -6,7 +6,9 @@
 Rows: file, ti, t, j, i, lat, lon, v; dense, with nulls where the array has none. One input partition per stored chunk
 of time slices. Options: path (comma list; folders are Zarr stores), variable (else thetao, sst, tos, else the first with
 three or four dimensions), depth_index (else the level closest to 0), bbox (`lat0,lat1,lon0,lon1`, both ends included).
-NetCDF-4 (HDF5) and blosc-compressed stores are not read: they raise.
+With a bbox only its rows (NetCDF) or the chunks that it touches (Zarr) are read, and of four dimensions only one level.
+Paths with a scheme are opened by pyarrow's file systems (HDFS, S3, GCS), others are local. NetCDF-4 (HDF5) needs the
+optional package h5py and raises without it.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from __future__ import annotations
 import datetime as dt
 import gzip
 import json
-import os
 import re
 import struct
 import zlib
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..columns import GRID_VARIABLES
@@ -33,15 +35,27 @@ _NC_TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1",
 _TIME, _DEPTH, _LAT, _LON = ("time",), ("depth", "lev", "level"), ("latitude", "lat"), ("longitude", "lon", "long")
 
 
+def located(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address, and the path in it."""
+    path = re.sub(r"^file:/+", "/", path)
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def _read_all(files: pafs.FileSystem, path: str) -> bytes:
+    with files.open_input_file(path) as f:
+        return f.read()
+
+
 class NetCDF:
     """A NetCDF classic file (CDF-1, -2, -5): header, attributes, and slices of variables along the first dimension."""
 
     def __init__(self, path: str):
         self.path = path
-        with open(path, "rb") as f:
+        self.files, self.at = located(path)
+        with self.files.open_input_file(self.at) as f:
             head = f.read(4)
             if head[:3] != b"CDF":
-                raise ValueError(f"{path}: not a NetCDF classic file" + (" (HDF5 is not read)" if head[1:4] == b"HDF" else ""))
+                raise ValueError(f"{path}: not a NetCDF classic file")
             self._wide = head[3] == 5
             self._off = ">i4" if head[3] == 1 else ">i8"
             self._f = f
@@ -89,25 +103,28 @@ class NetCDF:
         v = self.vars[name]
         return [self.records if s == 0 else s for _, s in v["dims"]]
 
-    def read(self, name: str, first: int = 0, count: int | None = None) -> np.ndarray:
+    def read(self, name: str, window: tuple[tuple[int, int], ...] = ()) -> np.ndarray:
+        """A variable, or the part of it within (from, to) for its first dimensions. Whole rows of the last dimension are read."""
         v, shape = self.vars[name], self.shape(name)
         kind = np.dtype(v["type"])
-        with open(self.path, "rb") as f:
+        with self.files.open_input_file(self.at) as f:
             if not shape:
                 f.seek(v["begin"])
                 return np.frombuffer(f.read(kind.itemsize), kind)[0]
-            n = shape[0] - first if count is None else count
-            each = int(np.prod(shape[1:], dtype=np.int64))
+            full = [*window, *((0, n) for n in shape[len(window) :])]
+            steps = [int(np.prod(shape[k + 1 :], dtype=np.int64)) * kind.itemsize for k in range(len(shape))]
             if v["record"]:
-                parts = []
-                for k in range(first, first + n):
-                    f.seek(v["begin"] + k * self.record_size)
-                    parts.append(np.frombuffer(f.read(each * kind.itemsize), kind))
-                flat = np.concatenate(parts) if parts else np.zeros(0, kind)
-            else:
-                f.seek(v["begin"] + first * each * kind.itemsize)
-                flat = np.frombuffer(f.read(n * each * kind.itemsize), kind)
-        return flat.reshape([n, *shape[1:]])
+                steps[0] = self.record_size
+            lead = full[: max(len(full) - 2, int(v["record"]))]
+            rest = full[len(lead) :]  # a block of rows, a row, or a single value, for each index of the others
+            (low, high), step = (rest[0], steps[len(lead)]) if rest else ((0, 1), kind.itemsize)
+            parts = []
+            for idx in np.ndindex(*[z - a for a, z in lead]):
+                f.seek(v["begin"] + sum((a + i) * n for (a, _), i, n in zip(lead, idx, steps)) + low * step)
+                parts.append(np.frombuffer(f.read((high - low) * step), kind))
+        flat = np.concatenate(parts) if parts else np.zeros(0, kind)
+        out = flat.reshape([z - a for a, z in full[:-1]] + [shape[-1] if len(rest) == 2 else -1])
+        return out[..., full[-1][0] : full[-1][1]] if len(rest) == 2 else out.reshape([z - a for a, z in full])
 
     def names(self) -> list[str]:
         return list(self.vars)
@@ -123,27 +140,27 @@ class NetCDF:
 
 
 class Zarr:
-    """A Zarr v2 store in a folder: uncompressed, zlib, gzip or zstd chunks."""
+    """A Zarr v2 store in a folder: uncompressed, zlib, gzip, zstd or blosc chunks."""
 
     def __init__(self, path: str):
         self.path = path
+        self.files, self.at = located(path.rstrip("/"))
         self.meta = {}
-        for n in sorted(os.listdir(path)):
-            if os.path.exists(m := os.path.join(path, n, ".zarray")):
-                with open(m) as f:
-                    self.meta[n] = json.load(f)
+        for n in sorted(f.base_name for f in self.files.get_file_info(pafs.FileSelector(self.at)) if f.type == pafs.FileType.Directory):
+            if self._there(m := f"{self.at}/{n}/.zarray"):
+                self.meta[n] = json.loads(_read_all(self.files, m))
         if not self.meta:
             raise ValueError(f"{path}: no Zarr v2 arrays")
 
+    def _there(self, path: str) -> bool:
+        return self.files.get_file_info(path).type == pafs.FileType.File
+
     def names(self) -> list[str]:
         return list(self.meta)
 
     def var_attrs(self, name: str) -> dict:
-        p = os.path.join(self.path, name, ".zattrs")
-        if not os.path.exists(p):
-            return {}
-        with open(p) as f:
-            return json.load(f)
+        p = f"{self.at}/{name}/.zattrs"
+        return json.loads(_read_all(self.files, p)) if self._there(p) else {}
 
     def dim_names(self, name: str) -> list[str]:
         return self.var_attrs(name).get("_ARRAY_DIMENSIONS", [])
@@ -160,11 +177,10 @@ class Zarr:
         fill = m["fill_value"]
         if isinstance(fill, str):
             fill = float(fill.replace("Infinity", "inf"))
-        path = os.path.join(self.path, name, m.get("dimension_separator", ".").join(map(str, idx)))
-        if not os.path.exists(path):
+        path = f"{self.at}/{name}/" + m.get("dimension_separator", ".").join(map(str, idx))
+        if not self._there(path):
             return np.full(m["chunks"], np.nan if fill is None else fill, dtype=kind if fill is not None or kind.kind == "f" else "f8")
-        with open(path, "rb") as f:
-            raw = f.read()
+        raw = _read_all(self.files, path)
         how = (m.get("compressor") or {}).get("id")
         if m.get("filters"):
             raise ValueError(f"{self.path}: filters are not read")
@@ -176,30 +192,104 @@ class Zarr:
             import zstandard
 
             raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=int(np.prod(m["chunks"])) * kind.itemsize)
+        elif how == "blosc":
+            raw = unblosc(raw)
         elif how:
             raise ValueError(f"{self.path}: compressor {how} is not read")
         return np.frombuffer(raw, kind).reshape(m["chunks"], order=m.get("order", "C"))
 
-    def read(self, name: str, first: int = 0, count: int | None = None) -> np.ndarray:
+    def read(self, name: str, window: tuple[tuple[int, int], ...] = ()) -> np.ndarray:
+        """An array, or the part of it within (from, to) for its first dimensions. Only chunks that hold some of it are read."""
         m = self.meta[name]
         shape, chunks = m["shape"], m["chunks"]
-        n = shape[0] - first if count is None else count
-        kind = np.dtype(m["dtype"])
-        out = np.empty([n, *shape[1:]], dtype=kind)
-        lead = range(first // chunks[0], -(-(first + n) // chunks[0]))
-        for idx in np.ndindex(len(lead), *[-(-s // c) for s, c in zip(shape[1:], chunks[1:])]):
-            block = self._chunk(name, (lead[idx[0]], *idx[1:]))
-            lo = lead[idx[0]] * chunks[0]
-            a, z = max(first, lo), min(first + n, lo + chunks[0], shape[0])
-            dst = [slice(a - first, z - first)] + [slice(k * c, min(s, (k + 1) * c)) for k, s, c in zip(idx[1:], shape[1:], chunks[1:])]
-            src = [slice(a - lo, z - lo)] + [slice(0, d.stop - d.start) for d in dst[1:]]
-            out[tuple(dst)] = block[tuple(src)]
+        full = [*window, *((0, n) for n in shape[len(window) :])]
+        out = np.empty([z - a for a, z in full], dtype=np.dtype(m["dtype"]))
+        for idx in np.ndindex(*[-(-z // c) - a // c if z > a else 0 for (a, z), c in zip(full, chunks)]):
+            at = [a // c + k for (a, _), c, k in zip(full, chunks, idx)]
+            span = [(max(a, k * c), min(z, (k + 1) * c)) for (a, z), c, k in zip(full, chunks, at)]
+            block = self._chunk(name, tuple(at))
+            out[tuple(slice(x - a, y - a) for (x, y), (a, _) in zip(span, full))] = block[tuple(slice(x - k * c, y - k * c) for (x, y), c, k in zip(span, chunks, at))]
         return out
 
 
-def open_store(path: str) -> NetCDF | Zarr:
-    path = re.sub(r"^file:/+", "/", path)
-    return Zarr(path) if os.path.isdir(path) or path.rstrip("/").endswith(".zarr") else NetCDF(path)
+# How blosc numbers its compressors, with what reads them here.
+_BLOSC = {1: "lz4_raw", 2: "snappy", 3: "zlib", 4: "zstd"}
+
+
+def unblosc(raw: bytes) -> bytes:
+    """The content of a blosc 1 buffer. Of its compressors, blosclz is not read."""
+    _, _, flags, size, total, block, _ = struct.unpack("<BBBBIII", raw[:16])
+    if flags & 2:  # stored as it is
+        return raw[16 : 16 + total]
+    codec = _BLOSC.get(flags >> 5)
+    if codec is None:
+        raise ValueError("blosc with blosclz is not read")
+
+    def plain(part: bytes, n: int) -> bytes:
+        if len(part) == n:
+            return part
+        return zlib.decompress(part) if codec == "zlib" else pa.decompress(part, n, codec, asbytes=True)
+
+    out = []
+    for k, at in enumerate(struct.unpack(f"<{-(-total // block)}i", raw[16 : 16 + 4 * -(-total // block)])):
+        n = min(block, total - k * block)
+        # a whole block is split into one stream for each byte of an element, unless its header says no
+        streams = size if not flags & 16 and size <= 16 and block // size >= 128 and n == block else 1
+        parts = []
+        for _ in range(streams):
+            (length,) = struct.unpack("<i", raw[at : at + 4])
+            parts.append(plain(raw[at + 4 : at + 4 + length], n // streams))
+            at += 4 + length
+        b = np.frombuffer(b"".join(parts), np.uint8)
+        if flags & 1 and size > 1:
+            m = n // size * size
+            b = np.concatenate([b[:m].reshape(size, -1).T.ravel(), b[m:]])
+        elif flags & 4:
+            m = n // size // 8 * 8 * size
+            bits = np.unpackbits(b[:m].reshape(size * 8, -1), axis=1, bitorder="little")
+            b = np.concatenate([np.packbits(bits.T, axis=1, bitorder="little").ravel(), b[m:]])
+        out.append(b.tobytes())
+    return b"".join(out)
+
+
+class HDF:
+    """A NetCDF-4 (HDF5) file, by the optional package h5py."""
+
+    def __init__(self, path: str):
+        try:
+            import h5py
+        except ImportError:
+            raise ValueError(f"{path}: NetCDF-4 (HDF5) files need the package h5py; or convert them to NetCDF classic or Zarr") from None
+        files, at = located(path)
+        self.path, self._h5 = path, h5py.File(files.open_input_file(at), "r")
+
+    def names(self) -> list[str]:
+        return [n for n, v in self._h5.items() if hasattr(v, "shape")]
+
+    def shape(self, name: str) -> list[int]:
+        return list(self._h5[name].shape)
+
+    def dim_names(self, name: str) -> list[str]:
+        return [d[0].name.rsplit("/", 1)[-1] if len(d) else "" for d in self._h5[name].dims]
+
+    def var_attrs(self, name: str) -> dict:
+        plain = lambda v: v.decode() if isinstance(v, bytes) else v.ravel()[0] if isinstance(v, np.ndarray) and v.size == 1 else v
+        return {k: plain(v) for k, v in self._h5[name].attrs.items() if k not in ("DIMENSION_LIST", "REFERENCE_LIST")}
+
+    def time_chunk(self, name: str) -> int:
+        return (self._h5[name].chunks or [1])[0]
+
+    def read(self, name: str, window: tuple[tuple[int, int], ...] = ()) -> np.ndarray:
+        return self._h5[name][tuple(slice(a, z) for a, z in window) or ...]
+
+
+def open_store(path: str) -> NetCDF | Zarr | HDF:
+    files, at = located(path.rstrip("/"))
+    if at.endswith(".zarr") or files.get_file_info(at).type == pafs.FileType.Directory:
+        return Zarr(path)
+    with files.open_input_file(at) as f:
+        head = f.read(4)
+    return HDF(path) if head[1:4] == b"HDF" else NetCDF(path)
 
 
 def decode_times(values: np.ndarray, units: str) -> list[dt.datetime]:
@@ -244,6 +334,11 @@ def axes(store, variable: str) -> dict:
     return {"times": times, "lats": [float(x) for x in store.read(lat)], "lons": [float(x) for x in store.read(lon)], "depths": levels, "dims": dims}
 
 
+def surface_level(depths: list[float]) -> int:
+    """The level closest to 0, the first on a tie."""
+    return min(range(len(depths)), key=lambda k: abs(depths[k]))
+
+
 class GridDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -290,12 +385,16 @@ class GridReader(DataSourceReader):
         js, is_ = np.arange(len(lats)), np.arange(len(lons))
         if self.bbox:
             js, is_ = js[(lats >= self.bbox[0]) & (lats <= self.bbox[1])], is_[(lons >= self.bbox[2]) & (lons <= self.bbox[3])]
+        level = ()
+        if len(store.shape(v)) == 4:
+            d = self.depth if self.depth is not None else surface_level(ax["depths"])
+            level = ((d, d + 1),)
+        j0, j1, i0, i1 = (js[0], js[-1] + 1, is_[0], is_[-1] + 1) if len(js) and len(is_) else (0, 0, 0, 0)
         for ti in range(first, first + count):
-            a = store.read(v, ti, 1)[0]
-            if a.ndim == 3:
-                d = self.depth if self.depth is not None else min(range(len(ax["depths"])), key=lambda k: abs(ax["depths"][k]))
-                a = a[d]
-            raw = a[np.ix_(js, is_)]
+            if not j1:
+                break
+            a = store.read(v, ((ti, ti + 1), *level, (int(j0), int(j1)), (int(i0), int(i1))))
+            raw = a.reshape(a.shape[-2:])[np.ix_(js - j0, is_ - i0)]
             x = raw.astype(np.float64)
             for k in ("_FillValue", "missing_value"):
                 if k in attrs and attrs[k] is not None:
@@ -346,7 +445,8 @@ def write_netcdf(path: str, dims: dict[str, int], variables: dict[str, tuple[tup
         if r:
             begins[k], at = at, at + sizes[k]
     alone = sum(is_rec) == 1
-    with open(path, "wb") as f:
+    files, at = located(path)
+    with files.open_output_stream(at) as f:
         f.write(head + struct.pack(">ii", 11, len(metas)) + b"".join(m + struct.pack(">q", b) for m, b in zip(metas, begins)))
         big = [arr.astype(arr.dtype.newbyteorder(">")) for _, arr, _ in variables.values()]
         for k, r in enumerate(is_rec):

@@ -1,16 +1,18 @@
 import datetime as dt
 import gzip
 import json
+import struct
 import time
 import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from brinegrid.sources import csv_union, discover, http_lookup, sinks
-from brinegrid.sources.grid_source import GridDataSource, NetCDF, decode_times, open_store, write_netcdf
+from brinegrid.sources.grid_source import GridDataSource, NetCDF, decode_times, open_store, unblosc, write_netcdf
 
 
 def text(path, s):
@@ -163,8 +165,8 @@ def test_unreadable_arrays(tmp_path):
     (tmp_path / "h.nc").write_bytes(b"\x89HDF\r\n\x1a\n" + b"\0" * 50)
     with pytest.raises(ValueError, match="HDF5"):
         open_store(str(tmp_path / "h.nc"))
-    with pytest.raises(ValueError, match="blosc"):
-        open_store(zarr(tmp_path / "z.zarr", "blosc")).read("sst")
+    with pytest.raises(ValueError, match="quantize"):
+        open_store(zarr(tmp_path / "z.zarr", "quantize")).read("sst")
     with pytest.raises(ValueError, match="units"):
         decode_times(np.array([1]), "fortnights after 1900")
 
@@ -206,3 +208,80 @@ def test_year_sink_replaces(spark, tmp_path):
     assert back.count() == 30
     plan = back.where(F.col("year") == 2013)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
+
+
+def blosc(data: bytes, size: int, block: int, codec: int, how: str | None, flags: int) -> bytes:
+    """A blosc 1 buffer, as the format is described."""
+    offsets, body, at = [], b"", 16 + 4 * -(-len(data) // block)
+    for k in range(0, len(data), block):
+        b = np.frombuffer(data[k : k + block], np.uint8)
+        n = len(b)
+        if flags & 1:
+            m = n // size * size
+            b = np.concatenate([b[:m].reshape(-1, size).T.ravel(), b[m:]])
+        elif flags & 4:
+            m = n // size // 8 * 8 * size
+            bits = np.unpackbits(b[:m].reshape(-1, size), axis=1, bitorder="little")
+            b = np.concatenate([np.packbits(bits.T, axis=1, bitorder="little").ravel(), b[m:]])
+        streams = size if not flags & 16 and block // size >= 128 and n == block else 1
+        offsets.append(at + len(body))
+        for part in np.split(b, streams):
+            raw = part.tobytes()
+            packed = zlib.compress(raw) if how == "zlib" else pa.compress(raw, how, asbytes=True)
+            packed = packed if len(packed) < len(raw) else raw
+            body += struct.pack("<i", len(packed)) + packed
+    total = at + len(body)
+    return struct.pack("<BBBBIII", 2, 1, flags | codec << 5, size, len(data), block, total) + struct.pack(f"<{len(offsets)}i", *offsets) + body
+
+
+@pytest.mark.parametrize(("codec", "how"), [(1, "lz4_raw"), (2, "snappy"), (3, "zlib"), (4, "zstd")])
+@pytest.mark.parametrize("flags", [0, 1, 4, 16, 17])
+def test_blosc(codec, how, flags):
+    rng = np.random.default_rng(1)
+    for n, block in ((3000, 8192), (1000, 8000), (7, 8192), (1025, 2048)):
+        data = np.round(rng.normal(10, 3, n), 1).tobytes()
+        assert unblosc(blosc(data, 8, block, codec, how, flags)) == data
+    plain = struct.pack("<BBBBIII", 2, 1, 2, 8, 5, 5, 21) + b"12345"
+    assert unblosc(plain) == b"12345"
+    with pytest.raises(ValueError, match="blosclz"):
+        unblosc(struct.pack("<BBBBIII", 2, 1, 1, 8, 8, 8, 30) + b"\0" * 14)
+
+
+@pytest.mark.parametrize("record", [None, "time"])
+def test_windows_equal_slices(tmp_path, record):
+    p = netcdf(tmp_path / "w.nc", record)
+    a = open_store(p)
+    b = open_store(zarr(tmp_path / "w.zarr", "zlib"))
+    for store, name in ((a, "thetao"), (a, "other"), (a, "depth"), (b, "sst"), (b, "lat")):
+        whole = store.read(name)
+        for window in (((1, 2),), ((0, 2), (1, 2)), ((0, 1), (0, 1), (1, 3)), tuple((0, n) for n in whole.shape), tuple((n - 1, n) for n in whole.shape), ((1, 1),)):
+            window = tuple((min(x, n), min(z, n)) for (x, z), n in zip(window, whole.shape))
+            assert np.array_equal(store.read(name, window), whole[tuple(slice(*w) for w in window)], equal_nan=True)
+
+
+def test_damaged_archives_and_members_are_told(spark, tmp_path):
+    good, bad, torn = tmp_path / "a.zip", tmp_path / "b.zip", tmp_path / "c.zip"
+    long = "q" * 200_000
+    with zipfile.ZipFile(good, "w") as z:
+        z.writestr("x.csv", f'a,b\n1,2,3\n"{long}",5\n')
+    bad.write_bytes(b"no archive at all")
+    with zipfile.ZipFile(torn, "w") as z:
+        z.writestr("y.csv", "a,b\n" + "7,8\n" * 50)
+        z.writestr("z.csv", "a,c\n9,10\n")
+    raw = bytearray(torn.read_bytes())
+    at = raw.index(b"7,8")
+    raw[at : at + 3] = b"6,6"  # its checksum no longer holds
+    torn.write_bytes(bytes(raw))
+    paths = [str(p) for p in (good, bad, torn)]
+    rows = csv_union.read_zip_rows(spark, paths).collect()
+    ok = {(r.member, r.row_no): r for r in rows if r.error is None}
+    assert (ok["x.csv", 1].cells, ok["x.csv", 1].surplus) == ({"a": "1", "b": "2"}, ["3"])
+    assert (ok["x.csv", 2].cells["a"], ok["z.csv", 1].cells) == (long, {"a": "9", "c": "10"})
+    assert sorted((r.archive.rsplit("/", 1)[1], r.member) for r in csv_union.bad_sources(spark, paths).collect()) == [("b.zip", None), ("c.zip", "y.csv")]
+    assert csv_union.read_sources(spark, [discover.Source("zip", p) for p in paths]).where("c = '10'").count() == 1
+
+
+def test_rows_that_do_not_fit_their_header_are_kept(spark, tmp_path):
+    p = text(tmp_path / "m.csv", "a,b\n1,2\n3,4,5\n6\n")
+    got = sorted(map(tuple, csv_union.read_csv_files(spark, [p], misfits="line").collect()))
+    assert got == [("1", "2", None), ("3", "4", "3,4,5"), ("6", None, "6")]
