@@ -24,9 +24,9 @@ def p5_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_size(spark: SparkSession, sf: str) -> DataFrame:
-    """How many are chosen, and whether all are different usable readings; states per loading year, merged."""
-    v = usable(spark, sf).select("obs_id", "sst", F.year("loaded_at").alias("y"))
-    states = [sampling.sample_state(v.where(F.col("y") % 2 == k), 1000, seed=k) for k in (0, 1)]
+    """How many are chosen, and whether all are different usable readings; states of chunks with even and odd numbers (or none), merged."""
+    v = usable(spark, sf).select("obs_id", "sst", F.pmod(F.coalesce("chunk_id", F.lit(0).cast("bigint")), F.lit(2)).alias("piece"))
+    states = [sampling.sample_state(v.where(F.col("piece") == k), 1000, seed=k) for k in (0, 1)]
     s = sampling.sample(sampling.merge_states(states, 1000))
     return s.join(v, "obs_id", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("obs_id").alias("n_different"))
 
@@ -83,7 +83,7 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL = {
     "p5_size": """select least(1000, count(*)) as n, least(1000, count(*)) as n_different from vessel_points
-        where loaded_at is not null and sst between -2.5e0 and 40e0 and not isnan(sst) and not coalesce(sst_missing, false)""",
+        where sst between -2.5e0 and 40e0 and not isnan(sst) and not coalesce(sst_missing, false)""",
     "p8_whole": "select count(distinct doc_id) as n_texts, true as all_fit, true as no_gaps, true as divided_only_if_long from documents",
     "p7_within_bound": """
         select year("timestamp") as year, count(*) as n, true as p50_within, true as p90_within, true as p99_within
