@@ -25,6 +25,18 @@ def p1_filled(spark: SparkSession, sf: str) -> DataFrame:
     return hotdeck.fill_from_similar(table(spark, sf, "vessel_points")).select("obs_id", "MMSI", "timestamp", "fill.lat", "fill.lon", F.col("fill.value").alias("sst"), F.col("fill.flag").alias("sst_missing"), "fill.marks")
 
 
+def p1_from_donors(spark: SparkSession, sf: str) -> DataFrame:
+    """Per field, how many gaps were filled, and how many of the values are those of one of their donors."""
+    v = table(spark, sf, "vessel_points")
+    m = hotdeck.find_fills(v).select("o", "fill", F.explode("fill.marks").alias("m")).select("o", F.col("m.field").alias("field"), F.explode("m.donors").alias("donor"), "fill")
+    value = lambda lat, sst, flag: F.when(F.col("field") == "lat", lat).when(F.col("field") == "sst", sst).when(F.col("field") == "sst_missing", flag.cast("double"))
+    m = m.where("field <> 'lon'")  # a longitude is turned around its closest donor and may differ in its last digit
+    own = v.select(F.col("obs_id").alias("donor"), F.when(C.usable_lat(F.col("lat"), F.col("lon")), F.col("lat")).alias("lat"), F.when(C.usable_value(F.col("sst"), F.col("sst_missing")), F.col("sst")).alias("sst"), "sst_missing")
+    both = m.join(own, "donor").select("o", "field", (value(F.col("fill.lat"), F.col("fill.value"), F.col("fill.flag")) == value(F.col("lat"), F.col("sst"), F.col("sst_missing"))).alias("same"))
+    each = both.groupBy("o", "field").agg(F.max("same").alias("same"))
+    return each.groupBy("field").agg(F.count(F.lit(1)).alias("n_filled"), F.count_if("same").alias("n_from_donors"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return records.failed_records(records.parse_records(table(spark, sf, "raw_lines"))).select("line_id")
 
@@ -37,6 +49,12 @@ def p2_report(spark: SparkSession, sf: str) -> DataFrame:
     return records.failure_report(records.parse_records(table(spark, sf, "raw_lines")))
 
 
+def p2_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Records and failures of each file."""
+    r = records.failure_report(records.parse_records(table(spark, sf, "raw_lines").where("line_no is distinct from 1")))
+    return r.groupBy("file_name").agg(F.sum("n_rows").alias("n_records"), F.coalesce(F.sum(F.when(F.col("reason").isNotNull(), F.col("n_rows"))), F.lit(0)).alias("n_failed"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return proximity.pairs_within(table(spark, sf, "vessel_points")).select("obs_a", "obs_b")
 
@@ -132,6 +150,8 @@ SQL = {
         union all select obs_id, 'sst' from vessel_points
             where not (coalesce(sst between -2.5e0 and 40e0 and not isnan(sst), false) and not coalesce(sst_missing, false))
         union all select obs_id, 'sst_missing' from vessel_points where sst_missing is null""",
+    "p1_from_donors": """select field, count(*) as n_filled, count(*) as n_from_donors from (__P1__) where field <> 'lon' group by 1""",
+    "p2_files": f"with {RAW} select file_name, count(*) as n_records, count(*) filter (not valid) as n_failed from h group by 1",
     "p2_found": f"with {RAW} select line_id from h where not valid",
     "p2_valid": f"""with {RAW}, e as (select *, regexp_extract_all(line, '([^,"\\r\\n]*|"(?:[^"]|"")*")(?:,|$)', 1) as x from h where valid),
         u as (select *, list_transform(x, lambda t: case when starts_with(t, '"') then replace(t[2:-2], '""', '"') else t end) as y from e)
@@ -175,4 +195,6 @@ SQL = {
     "p6_rows": "select * replace (" + ", ".join(f"case when not isnan({c}) then {c} end as {c}" for c in ("lat", "lon", "sst")) + "), " + ", ".join(f"coalesce(isnan({c}), false) as {c}_is_nan" for c in ("lat", "lon", "sst")) + " from vessel_points",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p2_found, p2_valid, p2_report, p3_found, p3_regions, p4_found, p4_consistent, p4_canonical, p4_alternatives, p6_found, p6_rows)}
+SQL["p1_from_donors"] = SQL["p1_from_donors"].replace("__P1__", SQL["p1_found"])
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p1_from_donors, p2_found, p2_valid, p2_report, p2_files, p3_found, p3_regions, p4_found, p4_consistent, p4_canonical, p4_alternatives, p6_found, p6_rows)}
