@@ -9,7 +9,8 @@ Python code runs per byte.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +51,31 @@ NEXT_IN_FILE[BREAK] = [START, START, QUOTED, START, START]
 CLASS = np.zeros(256, dtype=np.uint8)
 CLASS[ord(",")], CLASS[ord('"')], CLASS[ord("\n")], CLASS[ord("\r")] = COMMA, QUOTE, BREAK, BREAK
 
-# The header of the fleet files and the years they cover.
-FLEET_HEADER = ("date", "cell_ll_lat", "cell_ll_lon", "flag", "geartype", "hours", "fishing_hours", "mmsi_present")
-YEARS = (2012, 2019)
+
+
+@dataclass(frozen=True)
+class Field:
+    """A field of a record: its name, kind (date, number, integer or text), whether a record fails that lacks a readable value, and
+    the limits of a value (years for dates), both included."""
+
+    name: str
+    kind: str = "text"
+    strict: bool = False
+    low: float | None = None
+    high: float | None = None
+
+
+# The fields of the fleet files, the years they cover and the ranges of positions.
+FLEET = (
+    Field("date", "date", True, 2012, 2019),
+    Field("cell_ll_lat", "number", True, -90, 90),
+    Field("cell_ll_lon", "number", True, -180, 180),
+    Field("flag"),
+    Field("geartype"),
+    Field("hours", "number"),
+    Field("fishing_hours", "number"),
+    Field("mmsi_present", "integer"),
+)
 BLOCK_BYTES = 4 << 20
 NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
@@ -114,20 +137,9 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, chunk: int = 64, table: np.n
     return grid[s_row, s_col], owner[s_row], error, last
 
 
-RECORD = T.StructType(
-    [
-        T.StructField("date", T.DateType()),
-        T.StructField("cell_ll_lat", T.DoubleType()),
-        T.StructField("cell_ll_lon", T.DoubleType()),
-        T.StructField("flag", T.StringType()),
-        T.StructField("geartype", T.StringType()),
-        T.StructField("hours", T.DoubleType()),
-        T.StructField("fishing_hours", T.DoubleType()),
-        T.StructField("mmsi_present", T.IntegerType()),
-    ]
-)
+#: Spark and Arrow types by kind of field.
+_KINDS = {"date": (T.DateType(), pa.date32()), "number": (T.DoubleType(), pa.float64()), "integer": (T.IntegerType(), pa.int32()), "text": (T.StringType(), pa.string())}
 ERROR = T.StructType([T.StructField("reason", T.StringType()), T.StructField("field", T.StringType()), T.StructField("offset", T.LongType())])
-RECORD_ARROW = pa.struct([("date", pa.date32()), ("cell_ll_lat", pa.float64()), ("cell_ll_lon", pa.float64()), ("flag", pa.string()), ("geartype", pa.string()), ("hours", pa.float64()), ("fishing_hours", pa.float64()), ("mmsi_present", pa.int32())])
 ERROR_ARROW = pa.struct([("reason", pa.string()), ("field", pa.string()), ("offset", pa.int64())])
 
 
@@ -180,7 +192,7 @@ def _integers(text: pa.Array) -> pa.Array:
     return pa.array(x, mask=~(ok & (x >= -(2**31)) & (x < 2**31))).cast(pa.int32())
 
 
-def _days(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _days(text: pa.Array, low: float | None, high: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Days since 1970 and the code of what is wrong (0: nothing)."""
     t = pc.utf8_trim(text, " ")
     ok = matches(t, DATE)
@@ -189,12 +201,31 @@ def _days(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for x, (a, z) in ((y, (0, 4)), (m, (5, 7)), (d, (8, 10))):
         x[ok] = pc.utf8_slice_codeunits(good, a, z).cast(pa.int64()).to_numpy(zero_copy_only=False)
     leap = (m == 2) & ((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0)))
-    real = ok & (m >= 1) & (m <= 12) & (d >= 1) & (d <= _MONTH_DAYS[np.clip(m, 0, 12)] + leap)
+    real = ok & (m >= 1) & (m <= 12) & (d >= 1) & (d <= _MONTH_DAYS[np.clip(m, 0, 12)] + leap) & (y > 0)
     days = ((y - 1970) * 12 + m - 1).astype("datetime64[M]").astype("datetime64[D]").astype(np.int64) + d - 1
-    code = np.where(~ok, _CODE["not a date"], np.where(~real, _CODE["no such day"], np.where((y < YEARS[0]) | (y > YEARS[1]), _CODE["year out of range"], 0)))
+    code = np.where(~ok, _CODE["not a date"], np.where(~real, _CODE["no such day"], np.where(_outside(y, low, high), _CODE["year out of range"], 0)))
     return days, code
 
 
+def _outside(x: np.ndarray, low: float | None, high: float | None) -> np.ndarray:
+    return ~((x >= (-np.inf if low is None else low)) & (x <= (np.inf if high is None else high)))
+
+
+def _values(field: Field, text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of a field, null where they can't be read, and the code of what is wrong (0: nothing)."""
+    if field.kind == "text":
+        return text.cast(pa.string()), np.zeros(len(text), np.int64)
+    if field.kind == "date":
+        days, code = _days(text, field.low, field.high)
+        return pa.array(days.astype(np.int32), mask=code > 0).cast(pa.date32()), code
+    x, ok = _numbers(text)
+    code = np.where(~ok, _CODE["not a number"], np.where(_outside(x, field.low, field.high), _CODE["out of range"], 0))
+    if field.kind == "number":
+        return pa.array(x, mask=code > 0), code
+    whole = _integers(text)
+    return whole, np.where(whole.is_null().to_numpy(zero_copy_only=False), np.maximum(code, _CODE["not a number"]), code)
+
+
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 bounds of n texts; null is empty."""
     texts = pc.fill_null(pa.concat_arrays([texts.cast(pa.large_string())]), "")
@@ -222,15 +253,15 @@ def _spread(values: pa.Array, rows: np.ndarray, n: int) -> pa.Array:
     return values.take(pa.array(at, mask=~there))
 
 
-def _read(lines: pa.Array, header: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Records and errors of one batch; both are null for header lines."""
+def _read(lines: pa.Array, header: np.ndarray, layout: tuple[Field, ...]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Unread fields, records and errors of one batch; all are null for header lines."""
     n = len(lines)
     null = lines.is_null().to_numpy(zero_copy_only=False)
     data, offsets = raw_bytes(lines)
     seps, owner, broken, last = tokenize(data, offsets)
     begin, end = offsets[:-1], offsets[1:]
     fields = np.bincount(owner, minlength=n) + 1
-    want = len(FLEET_HEADER)
+    want = len(layout)
 
     code, where, which = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     bounds = np.searchsorted(owner, np.arange(n + 1))
@@ -257,39 +288,45 @@ def _read(lines: pa.Array, header: np.ndarray) -> tuple[pa.Array, pa.Array]:
     if len(rows):
         cuts[:, 1:want] = seps[bounds[rows][:, None] + np.arange(want - 1)]
     f = [texts_of(data, cuts[:, k] + 1, cuts[:, k + 1]) for k in range(want)]
-    days, bad_day = _days(f[0])
-    (lat, ok_lat), (lon, ok_lon) = _numbers(f[1]), _numbers(f[2])
-    judge = lambda x, ok, most: np.where(~ok, _CODE["not a number"], np.where(np.abs(x) <= most, 0, _CODE["out of range"]))
-    for k, bad in enumerate((bad_day, judge(lat, ok_lat, 90), judge(lon, ok_lon, 180))):
-        new = (bad > 0) & (code[rows] == 0)
-        code[rows[new]], which[rows[new]], where[rows[new]] = bad[new], k, (cuts[:, k] + 1 - begin[rows])[new]
+    read = [_values(x, t) for x, t in zip(layout, f)]
+    for k, (x, (_, bad)) in enumerate(zip(layout, read)):
+        if x.strict:
+            new = (bad > 0) & (code[rows] == 0)
+            code[rows[new]], which[rows[new]], where[rows[new]] = bad[new], k, (cuts[:, k] + 1 - begin[rows])[new]
 
     good = code[rows] == 0
     keep = pa.array(good)
-    free = [pa.array(x, mask=~ok) for x, ok in (_numbers(f[5]), _numbers(f[6]))]
-    values = [pa.array(days.astype(np.int32)).cast(pa.date32()), pa.array(lat), pa.array(lon), f[3].cast(pa.string()), f[4].cast(pa.string()), *free, _integers(f[7])]
     there = np.zeros(n, bool)
     there[rows[good]] = True
-    record = pa.StructArray.from_arrays([_spread(v.filter(keep), rows[good], n) for v in values], fields=list(RECORD_ARROW), mask=pa.array(~there))
+    types = [pa.field(x.name, _KINDS[x.kind][1]) for x in layout]
+    record = pa.StructArray.from_arrays([_spread(v.filter(keep), rows[good], n) for v, _ in read], fields=types, mask=pa.array(~there))
+    # what is written in a free field but can't be read as its type
+    unread = np.zeros((n, want), bool)
+    for k, (x, (_, bad)) in enumerate(zip(layout, read)):
+        if not x.strict and x.kind != "text":
+            unread[rows, k] = (bad > 0) & good & ~pc.equal(pc.binary_length(pc.utf8_trim(f[k], " ")), 0).to_numpy(zero_copy_only=False)
+    row, col = np.nonzero(unread)
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array([x.name for x in layout]).take(pa.array(col)))
     words = pa.array(REASONS).take(pa.array(code))
-    names = pa.array(FLEET_HEADER).take(pa.array(which, mask=which < 0))
+    names = pa.array([x.name for x in layout]).take(pa.array(which, mask=which < 0))
     error = pa.StructArray.from_arrays([words, names, pa.array(where, mask=where < 0)], fields=list(ERROR_ARROW), mask=pa.array(code == 0))
-    return record, error
+    return lists.take(pa.array(np.arange(n), mask=~there)), record, error
 
 
-def parse_records(df: DataFrame, line_col: str = "line", number_col: str | None = "line_no") -> DataFrame:
-    """Every row of df with two struct columns: `record` (typed fields; null for failures) and `error` (reason, field,
-    offset in bytes from the record's start; null for valid rows). Both are null for header lines (number_col = 1).
+def parse_records(df: DataFrame, line_col: str = "line", number_col: str | None = "line_no", layout: Sequence[Field] = FLEET) -> DataFrame:
+    """Every row of df with three more columns: `unread` (of valid rows, the names of free fields that hold something their type can't
+    read), `record` (a struct of the layout's fields; null for failures) and `error` (reason, field, offset in bytes from the
+    record's start; null for valid rows). All are null for header lines (number_col = 1).
 
     Existing columns of those names are kept; the new ones then get underscores. A null line fails as `no record`, an
-    empty one as `too few fields`. Repeated rows are judged each for itself. Fields other than date and position are
-    free: what can't be read as their type is null. An empty table gives an empty result. No shuffle.
+    empty one as `too few fields`. Repeated rows are judged each for itself. Strict fields must be readable and within their
+    limits; the others are free: what can't be read as their type is null. An empty table gives an empty result. No shuffle.
     """
     taken = df.columns
-    rec, err = C.free_name(taken, "record"), C.free_name(taken, "error")
-    if rec.lower() == err.lower():
-        err += "_"
-    schema = T.StructType([*df.schema.fields, T.StructField(rec, RECORD), T.StructField(err, ERROR)])
+    layout = tuple(layout)
+    rec, err, odd = (C.free_name(taken, n) for n in ("record", "error", "unread"))
+    record = T.StructType([T.StructField(x.name, _KINDS[x.kind][0]) for x in layout])
+    schema = T.StructType([*df.schema.fields, T.StructField(odd, T.ArrayType(T.StringType())), T.StructField(rec, record), T.StructField(err, ERROR)])
     at = taken.index(line_col)
     num = taken.index(number_col) if number_col else None
 
@@ -297,7 +334,7 @@ def parse_records(df: DataFrame, line_col: str = "line", number_col: str | None
         for b in batches:
             for part in parts_of(b, at):
                 header = pc.fill_null(pc.equal(part.column(num), 1), False).to_numpy(zero_copy_only=False).astype(bool) if num is not None else np.zeros(part.num_rows, bool)
-                yield pa.RecordBatch.from_arrays([*part.columns, *_read(part.column(at), header)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *_read(part.column(at), header, layout)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -339,29 +376,31 @@ def split_records(files: DataFrame, content_col: str = "content") -> DataFrame:
     return files.select(*[C.quoted(f.name) for f in rest], C.quoted(content_col)).mapInArrow(run, schema)
 
 
+def _added(parsed: DataFrame) -> tuple[str, str, str]:
+    """The columns that parse_records added: unread, record, error."""
+    return tuple(parsed.columns[-3:])
+
+
 def valid_records(parsed: DataFrame) -> DataFrame:
     """The typed rows, with what identified them. Field names of the record win; clashing input columns get underscores."""
-    rec = next(c for c in reversed(parsed.columns) if c.startswith("record"))
-    err = next(c for c in reversed(parsed.columns) if c.startswith("error"))
-    names = list(RECORD.names)
+    added = _added(parsed)
+    names = list(parsed.schema[added[1]].dataType.names)
     others = []
     for c in parsed.columns:
-        if c not in (rec, err):
+        if c not in added:
             new = C.free_name(names, c)
             names.append(new)
             others.append(C.quoted(c).alias(new))
-    return parsed.where(C.quoted(rec).isNotNull()).select(f"{rec}.*", *others)
+    return parsed.where(C.quoted(added[1]).isNotNull()).select(f"{added[1]}.*", *others)
 
 
 def failed_records(parsed: DataFrame) -> DataFrame:
     """The other rows, with reason, field and offset."""
-    rec = next(c for c in reversed(parsed.columns) if c.startswith("record"))
-    err = next(c for c in reversed(parsed.columns) if c.startswith("error"))
-    return parsed.where(C.quoted(err).isNotNull()).drop(rec)
+    odd, rec, err = _added(parsed)
+    return parsed.where(C.quoted(err).isNotNull()).drop(rec, odd)
 
 
 def failure_report(parsed: DataFrame, by: str = "file_name") -> DataFrame:
     """Rows, failures and failures by reason for each file."""
-    err = next(c for c in reversed(parsed.columns) if c.startswith("error"))
-    reason = C.quoted(err)["reason"]
+    reason = C.quoted(_added(parsed)[2])["reason"]
     return parsed.groupBy(by, reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))

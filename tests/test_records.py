@@ -1,4 +1,5 @@
 import csv
+import datetime as dt
 import io
 import random
 import re
@@ -156,3 +157,15 @@ def test_records_of_whole_files(spark):
     assert set(got) == {1, 2, 3, 6}
     parsed = R.parse_records(R.split_records(df.where("file_id = 6").drop("line")))
     assert {x.error.reason for x in parsed.where("error is not null").collect()} == {"quote inside a plain field", "too few fields", "quote never closed"}
+
+
+def test_other_layouts_and_unread_fields(spark):
+    layout = (R.Field("k", "integer", True, 1, 9), R.Field("day", "date"), R.Field("x", "number"), R.Field("note"))
+    lines = ["1,2020-02-29,1.5,a", "12,2020-01-01,1,b", "x,2020-01-01,1,c", "2,soon,oops,d", "3,,,e", "4,2020-01-01,1", " 5 ,1999-12-31,1e400,"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "n int, line string")
+    out = {r.n: r for r in R.parse_records(df, number_col=None, layout=layout).collect()}
+    assert {k: r.error.reason for k, r in out.items() if r.error} == {1: "out of range", 2: "not a number", 5: "too few fields"}
+    assert (tuple(out[0].record), out[0].unread) == ((1, dt.date(2020, 2, 29), 1.5, "a"), [])
+    assert (tuple(out[3].record), out[3].unread, out[1].unread) == ((2, None, None, "d"), ["day", "x"], None)
+    assert (tuple(out[4].record), out[4].unread) == ((3, None, None, "e"), [])
+    assert R.valid_records(R.parse_records(df, number_col=None, layout=layout)).columns == ["k", "day", "x", "note", "n", "line"]
