@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the pattern of the first number in a text.
+_TEXT_NUMBER = r"[-+]?[0-9]*\.?[0-9]+"
 _STRINGS = r'"(\\.|[^"\\])*"'
 _NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
 
@@ -24,7 +26,7 @@ def json_first_number_or_flag(text: Column) -> Column:
 
 
 def text_first_number(text: Column) -> Column:
-    return F.regexp_extract(text, r"[-+]?[0-9]*\.?[0-9]+", 0).try_cast("double")
+    return F.regexp_extract(text, _TEXT_NUMBER, 0).try_cast("double")
 
 
 def year_in_name(name: Column, pattern: str = r"combined_(\d+)\.csv") -> Column:
@@ -46,15 +48,30 @@ def plain_time(ts: Column) -> Column:
     return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
 
 
-# The parameters of a feature-info request, in order.
-_REQUEST = ("SERVICE=WMTS", "REQUEST=GetFeatureInfo", "VERSION=1.0.0")
+# The parameters of a feature-info request, in order; None where the value is that of the request.
+_REQUEST = (
+    ("SERVICE", "WMTS"),
+    ("REQUEST", "GetFeatureInfo"),
+    ("VERSION", "1.0.0"),
+    ("LAYER", None),
+    ("STYLE", ""),
+    ("TILEMATRIXSET", None),
+    ("TILEMATRIX", None),
+    ("TILEROW", None),
+    ("TILECOL", None),
+    ("I", None),
+    ("J", None),
+    ("INFOFORMAT", None),
+    ("FORMAT", "image/png"),
+    ("TIME", None),
+)
 
 
 def feature_url(base: Column | str, layer: str, matrix_set: str, matrix: Column, col: Column, row: Column, i: Column, j: Column, time: Column, info: str = "application/json") -> Column:
     """The address of one lookup. Values are not percent-encoded; the base may already have a query part."""
     b = F.lit(base) if isinstance(base, str) else base
-    pairs = [("LAYER", F.lit(layer)), ("STYLE", F.lit("")), ("TILEMATRIXSET", F.lit(matrix_set)), ("TILEMATRIX", matrix), ("TILEROW", row), ("TILECOL", col), ("I", i), ("J", j), ("INFOFORMAT", F.lit(info)), ("FORMAT", F.lit("image/png")), ("TIME", time)]
-    rest = F.concat_ws("&", *[F.lit(x) for x in _REQUEST], *[F.concat(F.lit(k + "="), v.cast("string")) for k, v in pairs])
+    own = {"LAYER": F.lit(layer), "TILEMATRIXSET": F.lit(matrix_set), "TILEMATRIX": matrix, "TILEROW": row, "TILECOL": col, "I": i, "J": j, "INFOFORMAT": F.lit(info), "TIME": time}
+    rest = F.concat_ws("&", *[F.concat(F.lit(k + "="), F.lit(v) if v is not None else own[k].cast("string")) for k, v in _REQUEST])
     return F.concat(b, F.when(F.endswith(b, F.lit("?")), "").when(F.contains(b, F.lit("?")), "&").otherwise("?"), rest)
 
 

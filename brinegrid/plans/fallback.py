@@ -25,6 +25,7 @@ def plan_requests(points: DataFrame, per_year: int, zoom: int, base: str, layer:
 
 def plan_document(plan: DataFrame, layer: str, zoom: int, sample_size: int, matrix_set: str = "EPSG:4326", generated_at: dt.datetime | None = None) -> DataFrame:
     """The plan as one JSON document. It lists the sampled points only, a bounded number."""
+    # The keys of the document, here and in pilot_document.
     row = F.struct("lat", "lon", "time", "tilecol", "tilerow", "i", "j", "url")
     years = plan.groupBy(F.col("year").cast("string").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(row)).alias("examples"))
     entry = F.struct(F.col("n").alias("examples_count"), "examples")

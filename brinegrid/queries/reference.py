@@ -332,11 +332,15 @@ def iso_time(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", text.utc_time(F.col("ts")).alias("utc"), text.plain_time(F.col("ts")).alias("plain"), F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("day"))
 
 
+# The first sample point's latitude and longitude, and the day and time of all.
+SAMPLE_LAT, SAMPLE_LON, SAMPLE_TIME = -10.0, 20.0, "-06-15T00:00:00Z"
+
+
 def synthetic_points(spark: SparkSession, sf: str) -> DataFrame:
     """Three example points for each year that the orders cover."""
     years = table(spark, sf, "orders").select(F.year("o_orderdate").alias("year")).distinct()
     k = years.select("year", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
-    return k.select("year", (F.lit(-10.0) + F.col("k")).alias("lat"), (F.lit(20.0) + F.col("k")).alias("lon"), F.concat(F.col("year").cast("string"), F.lit("-06-15T00:00:00Z")).alias("time"))
+    return k.select("year", (F.lit(SAMPLE_LAT) + F.col("k")).alias("lat"), (F.lit(SAMPLE_LON) + F.col("k")).alias("lon"), F.concat(F.col("year").cast("string"), F.lit(SAMPLE_TIME)).alias("time"))
 
 
 def year_from_name(spark: SparkSession, sf: str) -> DataFrame:
